@@ -116,3 +116,96 @@ def conflicts_pair(spark, sf):
 def conflicts_single(spark, sf):
     c = _composites(spark, sf)
     return LG.conflict_members(c, LG.composite_stats(c), 1)
+
+
+# ---------------------------------------------------------------- entity dump
+
+
+from taxalake.operators import entities as EN  # noqa: E402
+from taxalake.operators import merge as MG  # noqa: E402
+from taxalake.session import scratch_path  # noqa: E402
+from taxalake.sinks.snapshot import materialize  # noqa: E402
+
+
+def terms_of(spark, sf):
+    return EN.terms_from_lines(A.entity_dump_lines(spark, sf))
+
+
+def stored_terms(spark, sf):
+    """Parsed terms written to Parquet and read back (the build job's stage)."""
+    return materialize(terms_of(spark, sf), scratch_path(spark, "terms"))
+
+
+@query
+def entity_prefilter(spark, sf):
+    lines = EN.prefilter_lines(A.entity_dump_lines(spark, sf))
+    return lines.select(
+        F.regexp_extract("line", r'"id":"(Q[0-9]+)"', 1).alias("entity_id"),
+        F.col("line").endswith(",").alias("trailing_comma"),
+    )
+
+
+@query
+def entity_terms(spark, sf):
+    t = terms_of(spark, sf)
+    return t.select(
+        "id",
+        F.array_join("names", "|").alias("names"),
+        F.array_join("rankIds", "|").alias("rank_ids"),
+        F.array_join("parentIds", "|").alias("parent_ids"),
+        F.array_join("sameAsIds", "|").alias("same_as_ids"),
+    )
+
+
+@query
+def entity_links(spark, sf):
+    links = EN.entity_links(stored_terms(spark, sf))
+    return materialize(links, scratch_path(spark, "entity-links"))
+
+
+@query
+def multi_valued_names(spark, sf):
+    return EN.multi_valued(terms_of(spark, sf), "names")
+
+
+@query
+def multi_valued_ranks(spark, sf):
+    return EN.multi_valued(terms_of(spark, sf), "rankIds")
+
+
+@query
+def multi_valued_parents(spark, sf):
+    return EN.multi_valued(terms_of(spark, sf), "parentIds")
+
+
+@query
+def same_as_histogram(spark, sf):
+    return EN.same_as_histogram(terms_of(spark, sf))
+
+
+@query
+def distinct_entities(spark, sf):
+    return EN.distinct_entities(EN.entity_links(terms_of(spark, sf)))
+
+
+@query
+def distinct_ids_by_prefix(spark, sf):
+    return EN.distinct_ids_by_prefix(EN.entity_links(terms_of(spark, sf)))
+
+
+# ---------------------------------------------------------------- merge
+
+
+@query
+def merge_cache(spark, sf):
+    return MG.merge_cache(A.resolver_cache(spark, sf), terms_of(spark, sf))
+
+
+@query
+def merge_rewire(spark, sf):
+    return MG.rewire(A.resolver_map(spark, sf), terms_of(spark, sf))
+
+
+@query
+def merge_map(spark, sf):
+    return MG.merge_map(A.resolver_map(spark, sf), terms_of(spark, sf))

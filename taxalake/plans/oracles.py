@@ -107,3 +107,79 @@ from members m join stats s on m.composite = s.composite where s.repeats > 0 and
 select m.composite, m.ext, s.repeats::bigint as repeats, s.key_length::bigint as key_length
 from members m join stats s on m.composite = s.composite where s.repeats > 0 and s.key_length = 1""",
 }
+
+# ---------------------------------------------------------------- entity dump and merge
+
+TERMS = """
+taxa as (
+  select p_partkey as k, p_name, p_type, p_size from part where p_partkey % 5 <> 0 and p_partkey % 11 <> 0
+),
+terms as (
+  select 'Q' || cast(k as varchar) as id,
+    p_name || case when k % 7 = 0 then '|' || p_type else '' end as names,
+    case when k % 7 = 0 then 2 else 1 end as n_names,
+    case when k % 6 <> 0 then 'Q' || cast(p_size as varchar) else '' end as rank_ids,
+    case when k % 6 <> 0 then 1 else 0 end as n_ranks,
+    'Q' || cast(k % 10 as varchar) || case when k % 13 = 0 then '|Q' || cast(k % 9 as varchar) else '' end as parent_ids,
+    case when k % 13 = 0 then 2 else 1 end as n_parents,
+    concat_ws('|', case when k % 2 = 0 and k % 8 <> 0 then 'NCBI:' || cast(k as varchar) end,
+                   case when k % 3 = 0 then 'GBIF:' || cast(k as varchar) end) as same_as_ids,
+    (k % 2 = 0 and k % 8 <> 0)::int + (k % 3 = 0)::int as n_same_as,
+    k, p_name, p_size
+  from taxa
+),
+elinks as (
+  select id as entity, 'NCBI:' || cast(k as varchar) as ext from terms where k % 2 = 0 and k % 8 <> 0
+  union all
+  select id, 'GBIF:' || cast(k as varchar) from terms where k % 3 = 0
+),
+full_terms as (select * from terms where n_ranks > 0 and n_same_as > 0)"""
+
+RESOLVER = """
+resolver as (
+  select case when c_custkey % 17 = 0 then null else 'EOL:' || cast(c_custkey as varchar) end as providedTaxonId,
+         c_name as providedTaxonName,
+         case when c_custkey % 2 = 0 then 'NCBI:' else 'GBIF:' end || cast(c_custkey as varchar) as resolvedTaxonId,
+         c_mktsegment as resolvedTaxonName
+  from customer
+),
+rewired as (
+  select r.providedTaxonId, r.providedTaxonName, 'WD:' || t.id as resolvedTaxonId, t.p_name as resolvedTaxonName
+  from resolver r join elinks l on r.resolvedTaxonId = l.ext join full_terms t on t.id = l.entity
+)"""
+
+ORACLES.update(
+    {
+        "entity_prefilter": """
+select 'Q' || cast(p_partkey as varchar) as entity_id, false as trailing_comma
+from part where p_partkey % 5 <> 0 or p_partkey % 11 = 0""",
+        "entity_terms": f"with {TERMS} select id, names, rank_ids, parent_ids, same_as_ids from terms",
+        "entity_links": f"with {TERMS} select entity, ext from elinks",
+        "multi_valued_names": f"""with {TERMS}
+select n_names::bigint as n_values, id, names as joined from terms where n_names > 1""",
+        "multi_valued_ranks": f"""with {TERMS}
+select n_ranks::bigint as n_values, id, rank_ids as joined from terms where n_ranks > 1""",
+        "multi_valued_parents": f"""with {TERMS}
+select n_parents::bigint as n_values, id, parent_ids as joined from terms where n_parents > 1""",
+        "same_as_histogram": f"""with {TERMS}
+select n_same_as::bigint as n_ids, count(*)::bigint as n_entities from terms group by n_same_as""",
+        "distinct_entities": f"with {TERMS} select count(distinct entity)::bigint as n_entities from elinks",
+        "distinct_ids_by_prefix": f"""with {TERMS}
+select split_part(ext, ':', 1) as prefix, count(distinct ext)::bigint as n_ids from elinks group by prefix""",
+        "merge_cache": f"""with {TERMS}
+select case when c_custkey % 2 = 0 then 'NCBI:' else 'GBIF:' end || cast(c_custkey as varchar) as id,
+       c_name as name, c_mktsegment as rank, null::varchar as commonNames, c_name as path,
+       case when c_custkey % 2 = 0 then 'NCBI:' else 'GBIF:' end || cast(c_custkey as varchar) as pathIds,
+       c_mktsegment as pathNames, null::varchar as externalUrl, null::varchar as thumbnailUrl
+from customer
+union
+select 'WD:' || id, p_name, 'WD:' || rank_ids, '',
+       repeat(' | ', n_parents) || p_name,
+       replace('WD:' || parent_ids, '|', ' | WD:') || ' | WD:' || id,
+       repeat(' | ', n_parents) || 'WD:' || rank_ids,
+       'https://www.wikidata.org/wiki/' || id, ''
+from full_terms""",
+        "merge_rewire": f"with {TERMS}, {RESOLVER} select * from rewired",
+        "merge_map": f"with {TERMS}, {RESOLVER} select * from resolver union select * from rewired",
+    }
+)
