@@ -188,8 +188,9 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Untyped item rows (all text) from orders, with planted faults.
 
     ItemID is ``x<key>`` if key%97=0 (bad int), one space if key%89=0 (blank ->
-    null); CreationDate is ``n/a`` if key%101=0 (bad date). ``rn`` is the row
-    number in the dump (the order key).
+    null); CreationDate is ``n/a`` if key%101=0 (bad date); LocalID holds a
+    line break (needs quoting in TSV). ``rn`` is the row number in the dump
+    (the order key).
     """
     o = read_table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
@@ -207,7 +208,7 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("CallNumber"),
         F.lit(None).cast("string").alias("VolumeInfo"),
         F.concat(F.lit("item/"), ks).alias("ItemURL"),
-        F.concat(F.lit("local "), ks).alias("LocalID"),
+        F.concat(F.lit("local\n"), ks).alias("LocalID"),
         F.date_format("o_orderdate", "yyyy").alias("Year"),
         F.col("o_orderstatus").alias("InstitutionName"),
         F.lit(None).cast("string").alias("ZQuery"),
@@ -262,3 +263,40 @@ def embedding_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
         (v % 180).cast("int").alias("base_lon"),
         F.col("embedding").alias("values"),
     )
+
+
+# ---------------------------------------------------------------- specimen records
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specimen-style records from events: flat fields, one array field and a
+    ``data`` struct (one nesting level)."""
+    e = read_table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").cast("string").alias("uuid"),
+        F.col("event_type").alias("genus"),
+        F.col("value").cast("int").alias("individualcount"),
+        F.col("ts").alias("datemodified"),
+        (F.col("user_id") % 2 == 0).alias("hasimage"),
+        F.array(F.col("event_type")).alias("commonnames"),
+        F.struct(
+            F.date_format("ts", "yyyy-MM-dd").alias("dwc:eventDate"),
+            F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+        ).alias("data"),
+    )
+
+
+def field_meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field-metadata documents (column ``value``), one per event: each event
+    type is announced as a float field; ``flags`` is a nested non-data key."""
+    e = read_table(spark, sf_dir, "events")
+    t = F.col("event_type")
+    doc = F.concat(
+        F.lit('{"uuid":{"fieldName":"uuid","type":"string"},"'),
+        t,
+        F.lit('":{"fieldName":"'),
+        t,
+        F.lit('","type":"float"},"data":{"dwc:eventDate":{"fieldName":"data.dwc:eventDate","type":"string"},'),
+        F.lit('"k":{"fieldName":"data.k","type":"long"}},"flags":{"x":{}}}'),
+    )
+    return e.select(doc.alias("value"))

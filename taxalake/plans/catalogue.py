@@ -209,3 +209,258 @@ def merge_rewire(spark, sf):
 @query
 def merge_map(spark, sf):
     return MG.merge_map(A.resolver_map(spark, sf), terms_of(spark, sf))
+
+
+# ---------------------------------------------------------------- typed ingest
+
+
+from taxalake.functions.casts import ITEM_COLUMNS, ITEM_RULES, SUBJECT_RULES  # noqa: E402
+from taxalake.operators import validate as V  # noqa: E402
+
+
+def typed_items(spark, sf):
+    return V.type_rows(A.raw_items(spark, sf), ITEM_RULES)
+
+
+@query
+def typed_ingest(spark, sf):
+    good, _ = V.split_valid(typed_items(spark, sf))
+    return good
+
+
+@query
+def typed_ingest_required(spark, sf):
+    good, _ = V.split_valid(V.type_rows(A.raw_subjects(spark, sf), SUBJECT_RULES))
+    return good
+
+
+@query
+def reject_report(spark, sf):
+    return V.reject_report(typed_items(spark, sf))
+
+
+@query
+def error_budget(spark, sf):
+    return V.apply_error_budget(typed_items(spark, sf), order="rn", budget=50)
+
+
+@query
+def row_slice(spark, sf):
+    # the reference's slice of the item dump: last 181461 lines, first 15000 of them
+    o = read_table(spark, sf, "orders")
+    return V.row_slice(o, "o_orderkey", tail=181_461, head=15_000)
+
+
+# ---------------------------------------------------------------- files: write and read back
+
+
+from taxalake.sinks import snapshot as SN  # noqa: E402
+from taxalake.sources import delimited as DL  # noqa: E402
+from taxalake.session import read_table  # noqa: E402
+
+
+@query
+def ingest_tsv_roundtrip(spark, sf):
+    """Item dump written as quoted TSV (line breaks inside fields), read back
+    with the dump reader, typed and validated."""
+    raw = A.raw_items(spark, sf)
+    path = scratch_path(spark, "items-tsv")
+    cols = ["rn"] + list(ITEM_COLUMNS)
+    SN.export_delimited(raw.select(*cols), path, sep="\t", header=True)
+    back = DL.read_quoted_table(spark, path, cols).withColumn("rn", F.col("rn").cast("bigint"))
+    good, _ = V.split_valid(V.type_rows(back, ITEM_RULES))
+    return good
+
+
+@query
+def delimited_roundtrip(spark, sf):
+    """Customer written as bz2 header TSV (many files), read back typed."""
+    c = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    path = scratch_path(spark, "customer-tsv")
+    c.write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "bzip2").csv(path)
+    schema = "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string"
+    return DL.read_delimited(spark, path, sep="\t", header=True, schema=schema)
+
+
+@query
+def headerless_csv_scan(spark, sf):
+    """Orders written as headerless CSV over many files, scanned by glob with a
+    typed schema."""
+    o = read_table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("o_orderdate"),
+        "o_orderpriority",
+    )
+    path = scratch_path(spark, "orders-csv")
+    o.write.mode("overwrite").option("header", False).csv(path)
+    schema = (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate date, o_orderpriority string"
+    )
+    return DL.read_delimited(spark, f"{path}/*.csv", sep=",", header=False, schema=schema)
+
+
+@query
+def snapshot_roundtrip(spark, sf):
+    """Write (fail if present), overwrite, read back."""
+    o = read_table(spark, sf, "orders")
+    path = SN.snapshot_name(scratch_path(spark, "snap"), "orders", "20240101T000000")
+    SN.write_snapshot(o, path)
+    SN.write_snapshot(o, path, overwrite=True)
+    return spark.read.parquet(path)
+
+
+@query
+def snapshot_partition_scan(spark, sf):
+    """Events in a source=/date= layout; the newest date of one source."""
+    e = read_table(spark, sf, "events").select(
+        "event_id", "user_id", "value", "props",
+        F.col("event_type").alias("source"), F.date_format("ts", "yyyyMMdd").alias("date"),
+    )
+    base = scratch_path(spark, "events-by-source")
+    SN.write_snapshot(e, base, partition_by=("source", "date"))
+    table = spark.read.parquet(base)
+    out = SN.latest_snapshot(table, "click")
+    return out.select("event_id", "user_id", "value", "props", "source", F.col("date").cast("string").alias("date"))
+
+
+@query
+def editions_counts(spark, sf):
+    e = read_table(spark, sf, "events")
+    written = SN.write_editions(e, scratch_path(spark, "editions"), "events", "20240101T000000")
+    return SN.edition_counts(spark, written)
+
+
+@query
+def edition_ordered(spark, sf):
+    """The first 100k orders by key (an ordered edition)."""
+    o = read_table(spark, sf, "orders")
+    written = SN.write_editions(
+        o, scratch_path(spark, "editions-ordered"), "orders", "20240101T000000", {"100k": 100_000}, order=["o_orderkey"]
+    )
+    return spark.read.parquet(written["100k"])
+
+
+# ---------------------------------------------------------------- texts, manifests, listings, samples
+
+
+from taxalake.operators import manifest as MF  # noqa: E402
+from taxalake.operators import sideload as SL  # noqa: E402
+
+
+def _items_with_text(spark, sf):
+    items = read_table(spark, sf, "part").select("p_partkey", "p_name")
+    texts = read_table(spark, sf, "documents").select("doc_id", "text")
+    return SL.sideload_text(items, texts, key="p_partkey", text_key="doc_id")
+
+
+@query
+def sideload_text(spark, sf):
+    return _items_with_text(spark, sf)
+
+
+@query
+def text_coverage(spark, sf):
+    return SL.text_coverage(_items_with_text(spark, sf))
+
+
+@query
+def hash_sample(spark, sf):
+    return SL.hash_sample(read_table(spark, sf, "documents"), "doc_id", 0.1)
+
+
+@query
+def missing_manifest(spark, sf):
+    keys = read_table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("barcode"))
+    present = (
+        read_table(spark, sf, "part")
+        .where(F.col("p_size") < 20)
+        .select(MF.file_name(F.col("p_partkey").cast("string"), F.lit("_djvu.txt")).alias("file"))
+    )
+    return MF.missing_manifest(keys, present)
+
+
+@query
+def listing_links(spark, sf):
+    pages = read_table(spark, sf, "pages")
+    return MF.listing_links(pages, line_sep="<li>", must_contain=("href=",), must_start="<a ")
+
+
+# ---------------------------------------------------------------- records and field catalogues
+
+
+from taxalake.operators import catalog as CT  # noqa: E402
+
+
+def _records_path(spark, sf):
+    path = scratch_path(spark, "records")
+    A.records(spark, sf).write.mode("overwrite").parquet(path)
+    return path
+
+
+@query
+def records_scan(spark, sf):
+    fields = ["uuid", "genus", "individualcount", "flags", "data.dwc:eventDate", "commonnames"]
+    return CT.read_records(spark, _records_path(spark, sf), fields=fields)
+
+
+@query
+def term_filter(spark, sf):
+    c = read_table(spark, sf, "customer")
+    return CT.term_filter(c, {"c_mktsegment": "Building", "c_nationkey": 7})
+
+
+@query
+def as_array_fields(spark, sf):
+    recs = CT.read_records(spark, _records_path(spark, sf), array_fields=("genus", "commonnames"),
+                           where={"genus": "click"})
+    return recs.select(
+        "uuid",
+        F.array_join("genus", "|").alias("genus"),
+        F.size("genus").cast("bigint").alias("n_genus"),
+        F.array_join("commonnames", "|").alias("commonnames"),
+    )
+
+
+@query
+def boolean_projection(spark, sf):
+    e = read_table(spark, sf, "events")
+    return e.select("event_id", (F.col("event_type") == "click").alias("is_click"))
+
+
+@query
+def field_inventory(spark, sf):
+    return CT.json_field_inventory(read_table(spark, sf, "events"), "props")
+
+
+@query
+def field_catalog(spark, sf):
+    return CT.catalog_fields(A.field_meta_docs(spark, sf), types=True)
+
+
+@query
+def field_drift(spark, sf):
+    meta = CT.catalog_fields(A.field_meta_docs(spark, sf), types=True)
+    table = CT.schema_fields_df(spark, A.records(spark, sf))
+    return CT.field_drift(meta, table, "meta", "table")
+
+
+@query
+def probe_fields(spark, sf):
+    expected = {"rn": "bigint", "ItemID": "int", "TitleID": "int", "ThumbnailPageID": "int", "CreationDate": "timestamp"}
+    return CT.probe_fields(A.raw_items(spark, sf), expected)
+
+
+# ---------------------------------------------------------------- tiles and grids
+
+
+from taxalake.functions import geometry as GEO  # noqa: E402
+
+
+@query
+def tile_name_parse(spark, sf):
+    return GEO.parse_tile_name(A.tile_names(spark, sf), "fname")
+
+
+@query
+def grid_cells(spark, sf):
+    return GEO.grid_cells(A.embedding_grids(spark, sf), samples=8)

@@ -183,3 +183,218 @@ from full_terms""",
         "merge_map": f"with {TERMS}, {RESOLVER} select * from resolver union select * from rewired",
     }
 )
+
+# ---------------------------------------------------------------- typed ingest
+
+
+def _int(x: str) -> str:
+    return (
+        f"(case when {x} is null or trim({x}) = '' then null "
+        f"when regexp_full_match({x}, '\\s*[+-]?[0-9]+\\s*') then try_cast(trim({x}) as integer) end)"
+    )
+
+
+def _ok_int(x: str) -> str:
+    return f"({x} is null or trim({x}) = '' or {_int(x)} is not null)"
+
+
+_DATE_FORMATS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d', '%Y/%m/%d']"
+
+
+def _date(x: str) -> str:
+    return f"(case when {x} is null or trim({x}) = '' then null else cast(try_strptime(trim({x}), {_DATE_FORMATS}) as date) end)"
+
+
+def _ok_date(x: str) -> str:
+    return f"({x} is null or trim({x}) = '' or {_date(x)} is not null)"
+
+
+RAW_ITEMS = """
+raw as (
+  select o_orderkey as rn,
+    case when o_orderkey % 97 = 0 then 'x' || cast(o_orderkey as varchar)
+         when o_orderkey % 89 = 0 then ' ' else cast(o_orderkey as varchar) end as ItemID,
+    cast(o_custkey as varchar) as TitleID,
+    case when o_orderpriority = '5-LOW' then '' else cast(o_custkey as varchar) end as ThumbnailPageID,
+    'bc' || cast(o_orderkey as varchar) as BarCode,
+    o_orderstatus as MARCItemID, o_orderpriority as CallNumber, null::varchar as VolumeInfo,
+    'item/' || cast(o_orderkey as varchar) as ItemURL,
+    'local' || chr(10) || cast(o_orderkey as varchar) as LocalID,
+    strftime(o_orderdate, '%Y') as Year, o_orderstatus as InstitutionName, null::varchar as ZQuery,
+    case when o_orderkey % 101 = 0 then 'n/a' else strftime(o_orderdate, '%Y-%m-%d %H:%M') end as CreationDate
+  from orders
+)"""
+
+TYPED_ITEMS = f"""{RAW_ITEMS},
+typed as (
+  select rn, {_int('ItemID')} as itemid, {_int('TitleID')} as titleid, {_int('ThumbnailPageID')} as thumbnailpageid,
+    BarCode as barcode, MARCItemID as marcitemid, CallNumber as callnumber, VolumeInfo as volumeinfo,
+    ItemURL as itemurl, LocalID as localid, Year as year, InstitutionName as institutionname, ZQuery as zquery,
+    {_date('CreationDate')} as creationdate,
+    {_ok_int('ItemID')} as ok_itemid, {_ok_int('TitleID')} as ok_titleid,
+    {_ok_int('ThumbnailPageID')} as ok_thumbnailpageid, {_ok_date('CreationDate')} as ok_creationdate
+  from raw
+),
+checked as (
+  select *, ok_itemid and ok_titleid and ok_thumbnailpageid and ok_creationdate as ok from typed
+)"""
+
+ITEM_OUT = (
+    "rn, itemid, titleid, thumbnailpageid, barcode, marcitemid, callnumber, volumeinfo, itemurl, localid, year, "
+    "institutionname, zquery, creationdate"
+)
+
+ORACLES.update(
+    {
+        "typed_ingest": f"with {TYPED_ITEMS} select {ITEM_OUT} from checked where ok",
+        "ingest_tsv_roundtrip": f"with {TYPED_ITEMS} select {ITEM_OUT} from checked where ok",
+        "typed_ingest_required": f"""
+with raw as (
+  select o_orderkey as rn, cast(o_custkey as varchar) as TitleID, o_orderpriority as Subject,
+    case when o_orderstatus = 'P' then null else strftime(o_orderdate, '%Y-%m-%d') end as CreationDate
+  from orders
+)
+select rn, {_int('TitleID')} as titleid, Subject as subject, {_date('CreationDate')} as creationdate from raw
+where {_ok_int('TitleID')} and {_int('TitleID')} is not null and {_ok_date('CreationDate')} and {_date('CreationDate')} is not null""",
+        "reject_report": f"""with {TYPED_ITEMS}
+select reason, count(*)::bigint as n_rows from (
+  select 'itemid' as reason from checked where not ok_itemid
+  union all select 'titleid' from checked where not ok_titleid
+  union all select 'thumbnailpageid' from checked where not ok_thumbnailpageid
+  union all select 'creationdate' from checked where not ok_creationdate
+) group by reason""",
+        "error_budget": f"""with {TYPED_ITEMS},
+cut as (select case when count(*) > 50 then max(rn) end as c from (select rn from checked where not ok order by rn limit 51))
+select {ITEM_OUT} from checked where ok and ((select c from cut) is null or rn < (select c from cut))""",
+        "row_slice": """
+select * from (select * from orders order by o_orderkey desc limit 181461) order by o_orderkey limit 15000""",
+        "delimited_roundtrip": "select c_custkey, c_name, c_nationkey, c_mktsegment from customer",
+        "headerless_csv_scan": """
+select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(o_orderdate as date) as o_orderdate, o_orderpriority
+from orders""",
+        "snapshot_roundtrip": "select * from orders",
+        "snapshot_partition_scan": """
+with e as (
+  select event_id, user_id, value, props, event_type as source, strftime(ts, '%Y%m%d') as date from events
+)
+select * from e where source = 'click' and date = (select max(date) from e where source = 'click')""",
+        "editions_counts": """
+select 'all' as edition, count(*)::bigint as n_rows from events
+union all select '100k', least(count(*), 100000)::bigint from events
+union all select '1M', least(count(*), 1000000)::bigint from events""",
+        "edition_ordered": "select * from orders order by o_orderkey limit 100000",
+        "sideload_text": """
+select p_partkey, p_name, d.text as ocrtext from part left join documents d on p_partkey = d.doc_id""",
+        "text_coverage": """
+select count(*)::bigint as n_rows, count(d.text)::bigint as n_with_text
+from part left join documents d on p_partkey = d.doc_id""",
+        "hash_sample": """
+select * from documents
+where cast(concat('0x', substr(md5(cast(doc_id as varchar)), 1, 8)) as bigint) % 1000 < 100""",
+        "missing_manifest": """
+with specs as (
+  select cast(s_suppkey as varchar) as key, s.suffix from supplier, (values ('_djvu.txt'), ('_files.xml')) s(suffix)
+),
+present as (select distinct cast(p_partkey as varchar) || '_djvu.txt' as file from part where p_size < 20)
+select key || suffix as file, key, suffix, 'data/mirror/' || key || suffix as local_fn,
+       'http://archive.org/download/' || key || '/' || key || suffix as remote_fn, null::varchar as problem
+from specs where key || suffix not in (select file from present)""",
+        "listing_links": """
+select page_id, coalesce(string_split(piece, '"')[2], '') as link
+from (select page_id, unnest(string_split(html, '<li>')) as piece from pages)
+where starts_with(piece, '<a ') and contains(piece, 'href=')""",
+        "records_scan": """
+select cast(event_id as varchar) as uuid, event_type as genus, cast(trunc(value) as integer) as individualcount,
+       strftime(ts, '%Y-%m-%d') as "data.dwc:eventDate"
+from events""",
+        "term_filter": "select * from customer where lower(c_mktsegment) = 'building' and cast(c_nationkey as varchar) = '7'",
+        "as_array_fields": """
+select cast(event_id as varchar) as uuid, event_type as genus, 1::bigint as n_genus, event_type as commonnames
+from events where lower(event_type) = 'click'""",
+        "boolean_projection": "select event_id, event_type = 'click' as is_click from events",
+        "field_inventory": """
+select field, count(*)::bigint as n_records from (select unnest(json_keys(props)) as field from events) group by field""",
+    }
+)
+
+META = """
+meta as (
+  select 'uuid' as field, 'string' as type
+  union select distinct event_type, 'float' from events
+  union select 'data.dwc:eventDate', 'string'
+  union select 'data.k', 'long'
+  union select 'flags', 'COMPLEX'
+),
+tbl as (
+  select * from (values ('uuid', 'string'), ('genus', 'string'), ('individualcount', 'integer'),
+    ('datemodified', 'timestamp_ntz'), ('hasimage', 'boolean'), ('commonnames', 'array'),
+    ('data.dwc:eventDate', 'string'), ('data.k', 'long')) t(field, type)
+  where exists (select 1 from events)
+)"""
+
+_PROBE = (
+    "select '{f}' as field, '{t}' as expected, "
+    "count(*) filter (where {c} is not null and trim(cast({c} as varchar)) <> '')::bigint as n_present, "
+    "count(*) filter (where {c} is not null and trim(cast({c} as varchar)) <> '' "
+    "and try_cast(trim(cast({c} as varchar)) as {dt}) is null)::bigint as n_bad from raw"
+)
+
+_TILES = """
+t as (
+  select s_suppkey,
+    case when s_suppkey % 10 = 9 then 'bad' || cast(s_suppkey as varchar)
+    else (case when s_suppkey % 2 = 0 then 'n' else 'S' end) || lpad(cast(s_suppkey % 60 as varchar), 2, '0')
+      || (case when s_suppkey % 3 = 0 then 'E' else 'w' end) || lpad(cast(s_suppkey % 180 as varchar), 3, '0') || '.hgt'
+    end as fname
+  from supplier
+),
+b as (select *, upper(substr(fname, 1, greatest(length(fname) - 4, 0))) as tile from t),
+m as (select *, regexp_matches(tile, '^([NS])([0-9]+)([EW])([0-9]+)') as ok from b)"""
+
+_PAT = "'^([NS])([0-9]+)([EW])([0-9]+)'"
+
+ORACLES.update(
+    {
+        "field_catalog": f"with {META} select field, type from meta",
+        "field_drift": f"""with {META},
+me as (select distinct field || '::' || type as entry from meta),
+te as (select distinct field || '::' || type as entry from tbl)
+select entry, 'meta' as only_in from me where entry not in (select entry from te)
+union all
+select entry, 'table' from te where entry not in (select entry from me)""",
+        "probe_fields": f"""with {RAW_ITEMS}, p as (
+  {_PROBE.format(f='rn', t='bigint', c='rn', dt='bigint')}
+  union all {_PROBE.format(f='ItemID', t='int', c='ItemID', dt='integer')}
+  union all {_PROBE.format(f='TitleID', t='int', c='TitleID', dt='integer')}
+  union all {_PROBE.format(f='ThumbnailPageID', t='int', c='ThumbnailPageID', dt='integer')}
+  union all {_PROBE.format(f='CreationDate', t='timestamp', c='CreationDate', dt='timestamp')}
+)
+select field, expected, n_present, n_bad, n_bad = 0 as ok from p""",
+        "tile_name_parse": f"""with {_TILES}
+select s_suppkey, fname, tile, ok,
+  case when ok then case when regexp_extract(tile, {_PAT}, 1) = 'N' then 1 else -1 end end as lat_sign,
+  case when ok then try_cast(regexp_extract(tile, {_PAT}, 2) as integer) end as base_lat,
+  case when ok then case when regexp_extract(tile, {_PAT}, 3) = 'E' then 1 else -1 end end as lon_sign,
+  case when ok then try_cast(regexp_extract(tile, {_PAT}, 4) as integer) end as base_lon,
+  case when not ok then 'bad name' end as reason
+from m""",
+        "grid_cells": """
+with g as (
+  select vec_id as grid_id, case when vec_id % 2 = 0 then 1 else -1 end as lat_sign, (vec_id % 60)::int as base_lat,
+    case when label % 2 = 0 then 1 else -1 end as lon_sign, (vec_id % 180)::int as base_lon, embedding
+  from embeddings
+),
+c as (
+  select grid_id, lat_sign, base_lat, lon_sign, base_lon,
+    unnest(embedding) as height, unnest(generate_series(0, len(embedding) - 1)) as pos
+  from g
+)
+select grid_id, (pos % 8)::int as x, (pos // 8)::int as y,
+  lat_sign * (base_lat + (7 - (pos // 8))::double / 7.0) - 1.0 / 14 as lat_min,
+  lat_sign * (base_lat + (7 - (pos // 8))::double / 7.0) + 1.0 / 14 as lat_max,
+  lon_sign * (base_lon + (pos % 8)::double / 7.0) - 1.0 / 14 as lon_min,
+  lon_sign * (base_lon + (pos % 8)::double / 7.0) + 1.0 / 14 as lon_max,
+  height
+from c""",
+    }
+)
