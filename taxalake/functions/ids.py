@@ -16,8 +16,7 @@ SOURCE_GLOBI = "GLOBI"
 SOURCES = (SOURCE_GLOBI, SOURCE_OTT, SOURCE_WD)
 
 # Characters Java's String.trim removes: every code point <= U+0020.
-_JAVA_TRIM_LEFT = r"^[\x00-\x20]+"
-_JAVA_TRIM_RIGHT = r"[\x00-\x20]+$"
+_JAVA_TRIM_CHARS = "".join(chr(i) for i in range(0x21))
 
 
 def col_of(c) -> Column:
@@ -40,23 +39,22 @@ def prefixed(prefix: str, c) -> Column:
 
 
 def java_trim(c) -> Column:
-    """Trim like Java's String.trim (spaces, tabs and other control chars)."""
-    return F.regexp_replace(F.regexp_replace(col_of(c), _JAVA_TRIM_LEFT, ""), _JAVA_TRIM_RIGHT, "")
+    """Trim like Java's String.trim (spaces, tabs and other control chars); no regex."""
+    return F.btrim(col_of(c), F.lit(_JAVA_TRIM_CHARS))
 
 
 def java_split(c, sep_regex: str) -> Column:
     """Split like Java's String.split(regex): trailing empty strings are dropped.
 
-    A text without a match gives a one-element array (also for the empty text).
+    A text without a match gives a one-element array (also the empty text);
+    a text made only of separators gives an empty array.
     """
     c = col_of(c)
-    parts = F.split(c, sep_regex, -1)
-    stripped = F.split(F.regexp_replace(c, f"(?:{sep_regex})+$", ""), sep_regex, -1)
+    stripped = F.regexp_replace(c, f"(?:{sep_regex})+$", "")
     return (
         F.when(c.isNull(), F.lit(None))
-        .when(~c.rlike(sep_regex), parts)
-        .when(F.regexp_replace(c, f"(?:{sep_regex})+$", "") == "", F.array().cast("array<string>"))
-        .otherwise(stripped)
+        .when((stripped == "") & (c != ""), F.array().cast("array<string>"))
+        .otherwise(F.split(stripped, sep_regex, -1))
     )
 
 

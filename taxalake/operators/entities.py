@@ -72,7 +72,10 @@ def parse_entities(lines: DataFrame, schemes=ID_SCHEMES, mode: str = "FAILFAST",
     for the strict deep-key rule.
     """
     parsed = F.from_json(F.col(col), entity_schema(schemes), {"mode": mode})
-    return lines.select(parsed.alias("e"), F.col(col).alias("line"))
+    # The parse sits inside a generator: later filters on the entity cannot be
+    # pushed below it, so each line is parsed once (not once per referenced
+    # field, which alias substitution during pushdown would otherwise cause).
+    return lines.select(F.explode(F.array(parsed)).alias("e"), F.col(col).alias("line"))
 
 
 def _values(prop: str) -> Column:

@@ -139,7 +139,8 @@ def entity_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             p846.alias("P846"),
         ).alias("claims"),
     )
-    return p.select(F.concat(F.to_json(entity), F.lit(",")).alias("value"))
+    # built inside a generator so that filters on the line do not re-run to_json
+    return p.select(F.explode(F.array(F.concat(F.to_json(entity), F.lit(",")))).alias("value"))
 
 
 def resolver_map(spark: SparkSession, sf_dir: str) -> DataFrame:
