@@ -80,5 +80,11 @@ def read_delimited(
 
 
 def read_pipe_table(spark: SparkSession, path: str) -> DataFrame:
-    """A header file split on ``|`` whose fields keep stray tabs, trimmed."""
-    return read_delimited(spark, path, sep="|", header=True, trim=True)
+    """A header file split on ``|`` whose fields (and header names) keep stray
+    tabs: values and names are trimmed; an empty name becomes ``_c<i>``."""
+    df = read_delimited(spark, path, sep="|", header=True, trim=True)
+    names = [n.strip(_TRIM) or f"_c{i}" for i, n in enumerate(df.columns)]
+    return df.toDF(*names)
+
+
+_TRIM = "".join(chr(i) for i in range(0x21))
