@@ -18,21 +18,21 @@ def read_texts(
     key: str = "barcode",
     null_on_bad_utf8: bool = False,
 ) -> DataFrame:
-    """One row per file: (key, text), key taken from ``<key><suffix>``.
+    """One row per file: (key, text), key taken from the name ``<key><suffix>``.
 
-    ``path`` is a folder or glob; only files ending in ``suffix`` are read.
+    ``path`` is a folder or glob; only files ending in ``suffix`` are read,
+    each whole (a file is one task's unit, files spread over tasks by size).
     Bytes that are not UTF-8 become U+FFFD; ``null_on_bad_utf8=True`` gives
     null text for such files instead, as the reference's reader does.
+    Zero-length files are skipped by Spark's file sources, so an empty file
+    reads as no text (the reference reads it as an empty string).
     """
-    pattern = "*" + suffix
-    df = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .text(path)
-        .select(F.col("_metadata.file_name").alias("_file"), F.col("value").alias("text"))
+    files = (
+        spark.read.format("binaryFile")
+        .option("pathGlobFilter", "*" + suffix)
+        .load(path)
+        .select(F.regexp_extract("path", r"([^/]*)$", 1).alias("_file"), F.col("content").cast("string").alias("_t"))
     )
+    text = F.try_validate_utf8("_t") if null_on_bad_utf8 else F.col("_t")
     esc = suffix.replace(".", r"\.")
-    out = df.select(F.regexp_extract("_file", f"^(.*){esc}$", 1).alias(key), "text")
-    if null_on_bad_utf8:
-        out = out.withColumn("text", F.when(~F.col("text").contains("�"), F.col("text")))
-    return out
+    return files.select(F.regexp_extract("_file", f"^(.*){esc}$", 1).alias(key), text.alias("text"))
