@@ -13,6 +13,32 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Session settings the jobs rely on. Static (estimate-based) broadcast is off:
+# a join side is broadcast only by AQE, after its shuffle has measured it.
+# AQE also coalesces small shuffle partitions and splits skewed join
+# partitions at run time.
+JOB_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def job_session(app: str = "taxalake") -> SparkSession:
+    """Session for spark-submit jobs: master and resources come from the
+    submit command; JOB_CONF fills only settings the user did not set."""
+    spark = SparkSession.builder.appName(app).getOrCreate()
+    given = spark.sparkContext.getConf()
+    for k, v in JOB_CONF.items():
+        if not given.contains(k):
+            spark.conf.set(k, v)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "taxalake") -> SparkSession:
     """A local session tuned like the tests and bench expect (UI off, AQE on, UTC)."""
     spark = (
@@ -22,6 +48,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.autoBroadcastJoinThreshold", JOB_CONF["spark.sql.autoBroadcastJoinThreshold"])
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", JOB_CONF["spark.sql.adaptive.autoBroadcastJoinThreshold"])
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
