@@ -7,14 +7,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date formats accepted by nullable_date, tried in order. The time part is
-# dropped by the date type.
+# Date formats accepted by nullable_date, tried in order, each with the
+# shape a text must have to be tried (so a text is parsed only by formats it
+# can match). The time part is dropped by the date type.
 DEFAULT_DATE_FORMATS = (
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{1,2}/\d{1,2}$"),
 )
 
 _INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
@@ -34,9 +35,15 @@ def nullable_int(c: Column) -> tuple[Column, Column]:
 
 
 def nullable_date(c: Column, formats=DEFAULT_DATE_FORMATS) -> tuple[Column, Column]:
-    """Null or blank -> null; else one of the listed formats, or the row is bad."""
+    """Null or blank -> null; else one of the listed formats, or the row is bad.
+    ``formats`` holds (pattern, shape regex) pairs or bare patterns."""
     t = F.trim(c)
-    parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("date")
+    tries = []
+    for f in formats:
+        pattern, shape = f if isinstance(f, tuple) else (f, None)
+        parsed_f = F.try_to_timestamp(t, F.lit(pattern))
+        tries.append(F.when(t.rlike(shape), parsed_f) if shape else parsed_f)
+    parsed = F.coalesce(*tries).cast("date")
     value = F.when(_blank(c), F.lit(None).cast("date")).otherwise(parsed)
     ok = _blank(c) | parsed.isNotNull()
     return value, ok

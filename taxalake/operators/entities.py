@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from taxalake.functions.once import select_once
+
 # Fixed values that must equal the reference's for equal results.
 # Instance-of property and the taxon class; name, rank and parent properties.
 INSTANCE_OF = "P31"
@@ -72,10 +74,9 @@ def parse_entities(lines: DataFrame, schemes=ID_SCHEMES, mode: str = "FAILFAST",
     for the strict deep-key rule.
     """
     parsed = F.from_json(F.col(col), entity_schema(schemes), {"mode": mode})
-    # The parse sits inside a generator: later filters on the entity cannot be
-    # pushed below it, so each line is parsed once (not once per referenced
-    # field, which alias substitution during pushdown would otherwise cause).
-    return lines.select(F.explode(F.array(parsed)).alias("e"), F.col(col).alias("line"))
+    # Parsed once per line: without the barrier, filter pushdown would copy
+    # the parse into every predicate that reads a field of the entity.
+    return select_once(lines, parsed.alias("e"), F.col(col).alias("line"))
 
 
 def _values(prop: str) -> Column:

@@ -242,19 +242,18 @@ def composite_ids(comps: DataFrame) -> DataFrame:
 def composite_stats(comps: DataFrame) -> DataFrame:
     """Per composite: n_ids, repeats (ids minus distinct id prefixes), key_length.
 
-    Two-level aggregate (composite, scheme) -> composite, so a composite that
-    covers a large share of all ids is combined map-side.
+    The distinct-prefix count is aggregated on (composite, prefix) map-side
+    before the shuffle on the composite, so a composite that covers a large
+    share of all ids sends one row per partition, not its ids.
     """
-    per_scheme = (
+    return (
         composite_ids(comps)
-        .withColumn("scheme", prefix_of("ext"))
-        .groupBy("composite", "scheme")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return per_scheme.groupBy("composite").agg(
-        F.sum("n").cast("bigint").alias("n_ids"),
-        (F.sum("n") - F.count(F.lit(1))).cast("bigint").alias("repeats"),
-        key_length(F.col("composite")).alias("key_length"),
+        .groupBy("composite")
+        .agg(
+            F.count(F.lit(1)).cast("bigint").alias("n_ids"),
+            (F.count(F.lit(1)) - F.count_distinct(prefix_of("ext"))).cast("bigint").alias("repeats"),
+            key_length(F.col("composite")).alias("key_length"),
+        )
     )
 
 

@@ -6,22 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxalake.functions.casts import DEFAULT_DATE_FORMATS, Rule
+from taxalake.functions.once import select_once
 
 
 def type_rows(raw: DataFrame, rules: list[Rule], keep=("rn",), date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
-    """Apply typing rules: the typed columns, the kept columns, ``_ok`` and
-    ``_bad_columns`` (names of the columns that failed, in rule order)."""
+    """Apply typing rules: the kept columns, the typed columns, ``_ok`` and
+    ``_bad`` (names of the columns that failed, in rule order, joined by ``,``).
+
+    Plain boolean and string expressions only (no lambdas), so the whole
+    step stays in generated code; each rule is evaluated once per row even
+    when a filter on ``_ok`` follows.
+    """
     applied = [(r, *r.apply(date_formats)) for r in rules]
-    fails = F.filter(
-        F.array(*[F.when(~ok, F.lit(r.name)) for r, _, ok in applied]), lambda x: x.isNotNull()
-    )
+    ok = F.lit(True)
+    for _, _, o in applied:
+        ok = ok & o
+    bad = F.concat_ws(",", *[F.when(~o, F.lit(r.name)) for r, _, o in applied])
     cols = [F.col(k) for k in keep] + [v.alias(r.name) for r, v, _ in applied]
-    return raw.select(*cols, fails.alias("_bad_columns")).withColumn("_ok", F.size("_bad_columns") == 0)
+    return select_once(raw, *cols, ok.alias("_ok"), bad.alias("_bad"))
 
 
 def split_valid(typed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good rows without the flag columns, bad rows with ``_bad_columns``)."""
-    good = typed.where("_ok").drop("_ok", "_bad_columns")
+    """(good rows without the flag columns, bad rows with ``_bad``)."""
+    good = typed.where("_ok").drop("_ok", "_bad")
     bad = typed.where(~F.col("_ok")).drop("_ok")
     return good, bad
 
@@ -49,16 +56,16 @@ def apply_error_budget(
         n_bad = typed.where(~F.col("_ok")).count()
         if n_bad > budget:
             raise ValueError(f"{n_bad} bad rows exceed the error budget of {budget}")
-        return good.drop("_ok", "_bad_columns")
+        return good.drop("_ok", "_bad")
     cut = error_cutoff(typed, order, budget)
-    return good.where(cut.isNull() | (F.col(order) < cut)).drop("_ok", "_bad_columns")
+    return good.where(cut.isNull() | (F.col(order) < cut)).drop("_ok", "_bad")
 
 
 def reject_report(typed: DataFrame) -> DataFrame:
     """Bad rows per failing column (a row failing two columns counts twice)."""
     return (
         typed.where(~F.col("_ok"))
-        .select(F.explode("_bad_columns").alias("reason"))
+        .select(F.explode(F.split("_bad", ",")).alias("reason"))
         .groupBy("reason")
         .agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
     )
@@ -66,7 +73,7 @@ def reject_report(typed: DataFrame) -> DataFrame:
 
 def bad_rows(typed: DataFrame, order: str = "rn") -> DataFrame:
     """Bad rows with their row number and failing columns joined by ``,``."""
-    return typed.where(~F.col("_ok")).select(order, F.array_join("_bad_columns", ",").alias("reason"))
+    return typed.where(~F.col("_ok")).select(order, F.col("_bad").alias("reason"))
 
 
 def row_slice(df: DataFrame, order: str, tail: int, head: int) -> DataFrame:
