@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from taxalake.functions.casts import DEFAULT_DATE_FORMATS, Rule
 from taxalake.functions.once import select_once
+from taxalake.operators.topk import top_n
 
 
 def type_rows(raw: DataFrame, rules: list[Rule], keep=("rn",), date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
@@ -58,7 +59,7 @@ def apply_error_budget(
             raise ValueError(f"{n_bad} bad rows exceed the error budget of {budget}")
         return good.drop("_ok", "_bad")
     cut = error_cutoff(typed, order, budget)
-    return good.where(cut.isNull() | (F.col(order) < cut)).drop("_ok", "_bad")
+    return good.where(F.coalesce(F.col(order) < cut, F.lit(True))).drop("_ok", "_bad")
 
 
 def reject_report(typed: DataFrame) -> DataFrame:
@@ -78,6 +79,5 @@ def bad_rows(typed: DataFrame, order: str = "rn") -> DataFrame:
 
 def row_slice(df: DataFrame, order: str, tail: int, head: int) -> DataFrame:
     """``tail -N | head -M``: the last ``tail`` rows by ``order``, then the
-    first ``head`` of those. Two bounded top-k steps."""
-    last = df.orderBy(F.col(order).desc()).limit(tail)
-    return last.orderBy(F.col(order).asc()).limit(head)
+    first ``head`` of those. Two bounded top-n steps (``operators.topk``)."""
+    return top_n(top_n(df, order, tail, ascending=False), order, head, ascending=True)

@@ -7,6 +7,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxalake.operators.topk import first_rows, top_n
+
 # Fixed values that must equal the reference's for equal results.
 STAMP_FORMAT = "%Y%m%dT%H%M%S"
 EDITION_SIZES = {"100k": 100_000, "1M": 1_000_000}
@@ -47,14 +49,19 @@ def write_editions(
     The full data is written once; the editions are read back from that
     snapshot, so the source is scanned once. Without ``order`` an edition is
     any ``n`` rows (as the reference); with ``order`` it is the first ``n`` by
-    that key (a distributed top-k).
+    that key. Neither funnels the table into one task (see ``operators.topk``).
     """
     spark = df.sparkSession
     full = write_snapshot(df, snapshot_name(base, name, stamp), overwrite)
     written = {"all": full}
     src = spark.read.parquet(full)
     for label, n in sizes.items():
-        part = src.orderBy(*order).limit(n) if order else src.limit(n)
+        if order and len(order) == 1:
+            part = top_n(src, order[0], n)
+        elif order:
+            part = src.orderBy(*order).limit(n)
+        else:
+            part = first_rows(src, n)
         written[label] = write_snapshot(part, snapshot_name(base, name, stamp, label), overwrite)
     return written
 
@@ -82,8 +89,8 @@ def latest_snapshot(df: DataFrame, source: str) -> DataFrame:
     """Rows of the newest ``date`` partition of one source.
 
     ``df`` is a table partitioned by ``source``/``date``; both filters hit
-    partition columns, so only the chosen folder is read (the newest date
-    comes from partition values, a metadata-only aggregate).
+    partition columns, so only the chosen folder is read; the newest date is
+    a scalar subquery over a partition column (no data columns are read).
     """
     newest = df.where(F.col("source") == source).agg(F.max("date").alias("_d"))
     return df.where((F.col("source") == source) & (F.col("date") == newest.scalar()))
