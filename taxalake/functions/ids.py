@@ -24,8 +24,9 @@ def col_of(c) -> Column:
 
 
 def prefix_of(c) -> Column:
-    """Text before the first ``:`` (whole text when there is none)."""
-    return F.split_part(col_of(c), F.lit(":"), F.lit(1))
+    """Text before the first ``:`` (whole text when there is none); no array
+    is built, unlike ``split_part``."""
+    return F.substring_index(col_of(c), ":", 1)
 
 
 def scala_str(c) -> Column:
@@ -50,7 +51,9 @@ def java_split(c, sep_regex: str) -> Column:
     a text made only of separators gives an empty array.
     """
     c = col_of(c)
-    stripped = F.regexp_replace(c, f"(?:{sep_regex})+$", "")
+    literal = len(sep_regex) == 1 and sep_regex not in ".$|()[{^?*+\\"
+    # one plain separator character: strip the tail without a regex
+    stripped = F.rtrim(c, F.lit(sep_regex)) if literal else F.regexp_replace(c, f"(?:{sep_regex})+$", "")
     return (
         F.when(c.isNull(), F.lit(None))
         .when((stripped == "") & (c != ""), F.array().cast("array<string>"))
