@@ -12,8 +12,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxalake.functions import geometry as GEO
+from taxalake.functions.casts import ITEM_COLUMNS, ITEM_RULES, SUBJECT_RULES
+from taxalake.operators import catalog as CT
+from taxalake.operators import entities as EN
 from taxalake.operators import linkgraph as LG
+from taxalake.operators import manifest as MF
+from taxalake.operators import merge as MG
+from taxalake.operators import sideload as SL
+from taxalake.operators import validate as V
 from taxalake.plans import adapters as A
+from taxalake.session import read_table
+from taxalake.session import scratch_path
+from taxalake.sinks import snapshot as SN
+from taxalake.sinks.snapshot import materialize
+from taxalake.sources import delimited as DL
+from taxalake.sources.text import read_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,12 +135,6 @@ def conflicts_single(spark, sf):
 # ---------------------------------------------------------------- entity dump
 
 
-from taxalake.operators import entities as EN  # noqa: E402
-from taxalake.operators import merge as MG  # noqa: E402
-from taxalake.session import scratch_path  # noqa: E402
-from taxalake.sinks.snapshot import materialize  # noqa: E402
-
-
 def terms_of(spark, sf):
     return EN.terms_from_lines(A.entity_dump_lines(spark, sf))
 
@@ -145,6 +153,15 @@ def entity_prefilter(spark, sf):
     )
 
 
+@query
+def entity_dump_scan(spark, sf):
+    """The dump as bz2 text files (many splits), read back as lines and parsed."""
+    path = scratch_path(spark, "entity-dump")
+    A.entity_dump_lines(spark, sf).write.option("compression", "bzip2").text(path)
+    t = EN.terms_from_lines(read_lines(spark, path))
+    return t.select("id", F.array_join("sameAsIds", "|").alias("same_as_ids"), F.size("names").cast("bigint").alias("n_names"))
+
+
 @query
 def entity_terms(spark, sf):
     t = terms_of(spark, sf)
@@ -214,10 +231,6 @@ def merge_map(spark, sf):
 # ---------------------------------------------------------------- typed ingest
 
 
-from taxalake.functions.casts import ITEM_COLUMNS, ITEM_RULES, SUBJECT_RULES  # noqa: E402
-from taxalake.operators import validate as V  # noqa: E402
-
-
 def typed_items(spark, sf):
     return V.type_rows(A.raw_items(spark, sf), ITEM_RULES)
 
@@ -254,11 +267,6 @@ def row_slice(spark, sf):
 # ---------------------------------------------------------------- files: write and read back
 
 
-from taxalake.sinks import snapshot as SN  # noqa: E402
-from taxalake.sources import delimited as DL  # noqa: E402
-from taxalake.session import read_table  # noqa: E402
-
-
 @query
 def ingest_tsv_roundtrip(spark, sf):
     """Item dump written as quoted TSV (line breaks inside fields), read back
@@ -343,10 +351,6 @@ def edition_ordered(spark, sf):
 # ---------------------------------------------------------------- texts, manifests, listings, samples
 
 
-from taxalake.operators import manifest as MF  # noqa: E402
-from taxalake.operators import sideload as SL  # noqa: E402
-
-
 def _items_with_text(spark, sf):
     items = read_table(spark, sf, "part").select("p_partkey", "p_name")
     texts = read_table(spark, sf, "documents").select("doc_id", "text")
@@ -388,9 +392,6 @@ def listing_links(spark, sf):
 # ---------------------------------------------------------------- records and field catalogues
 
 
-from taxalake.operators import catalog as CT  # noqa: E402
-
-
 def _records_path(spark, sf):
     path = scratch_path(spark, "records")
     A.records(spark, sf).write.mode("overwrite").parquet(path)
@@ -453,9 +454,6 @@ def probe_fields(spark, sf):
 # ---------------------------------------------------------------- tiles and grids
 
 
-from taxalake.functions import geometry as GEO  # noqa: E402
-
-
 @query
 def tile_name_parse(spark, sf):
     return GEO.parse_tile_name(A.tile_names(spark, sf), "fname")

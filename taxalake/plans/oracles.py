@@ -155,6 +155,7 @@ select 'Q' || cast(p_partkey as varchar) as entity_id, false as trailing_comma
 from part where p_partkey % 5 <> 0 or p_partkey % 11 = 0""",
         "entity_terms": f"with {TERMS} select id, names, rank_ids, parent_ids, same_as_ids from terms",
         "entity_links": f"with {TERMS} select entity, ext from elinks",
+        "entity_dump_scan": f"with {TERMS} select id, same_as_ids, n_names::bigint as n_names from terms",
         "multi_valued_names": f"""with {TERMS}
 select n_names::bigint as n_values, id, names as joined from terms where n_names > 1""",
         "multi_valued_ranks": f"""with {TERMS}
