@@ -23,7 +23,10 @@ _ORDERABLE = (T.NumericType, T.DateType, T.TimestampType)
 
 
 def _partitions(df: DataFrame) -> int:
-    return df.rdd.getNumPartitions()
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (Spark Connect): ask the data
+        return df.agg(F.max(F.spark_partition_id()).alias("p")).first().p + 1
 
 
 def first_rows(df: DataFrame, n: int, funnel_rows: int = FUNNEL_ROWS) -> DataFrame:
