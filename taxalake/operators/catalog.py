@@ -31,17 +31,44 @@ def select_fields(df: DataFrame, fields) -> DataFrame:
     return df.select(*[_ref(f).alias(f) for f in fields])
 
 
+def _field_type(df: DataFrame, name: str):
+    parts = name.split(".", 1)
+    dt = df.schema[parts[0]].dataType
+    if len(parts) == 2 and isinstance(dt, T.StructType):
+        dt = dt[parts[1]].dataType
+    return dt
+
+
+def _term(c: Column, dt, value) -> Column:
+    """Exact-term test of one field. Text is compared lower-cased (the index
+    stores analysed terms); numbers and booleans are compared as typed values,
+    which Parquet can push into its scan."""
+    v = str(value).lower()
+    if isinstance(dt, T.NumericType):
+        try:
+            num = int(v) if v.lstrip("+-").isdigit() else float(v)
+        except ValueError:
+            return F.lit(False)
+        return c == F.lit(num)
+    if isinstance(dt, T.BooleanType):
+        return c == F.lit(v == "true") if v in ("true", "false") else F.lit(False)
+    return F.lower(c.cast("string")) == v
+
+
+def _element_term(dt, value):
+    return lambda x: _term(x, dt, value)
+
+
 def term_filter(df: DataFrame, terms: dict, array_fields=()) -> DataFrame:
-    """Conjunction of exact-term filters; values are compared lower-cased, as
-    the index stores analysed terms. Array fields match when any element does."""
+    """Conjunction of exact-term filters. Array fields match when any element does."""
     cond = F.lit(True)
     for field, value in terms.items():
-        v = str(value).lower()
         c = _ref(field)
-        if field in array_fields:
-            cond = cond & F.exists(c, lambda x: F.lower(x) == v)
+        dt = _field_type(df, field)
+        if isinstance(dt, T.ArrayType):
+            cond = cond & F.exists(c, _element_term(dt.elementType, value))
         else:
-            cond = cond & (F.lower(c.cast("string")) == v)
+            cond = cond & _term(c, dt, value)
     return df.where(cond)
 
 

@@ -85,3 +85,19 @@ def test_probe_fields(spark):
 def test_json_inventory(spark):
     df = spark.createDataFrame([('{"k": 1, "j": 2}',), ('{"k": 3}',), (None,)], "props string")
     assert {(r.field, r.n_records) for r in CT.json_field_inventory(df, "props").collect()} == {("k", 2), ("j", 1)}
+
+
+def test_numeric_term_is_pushed(spark, tmp_path):
+    pq = str(tmp_path / "r.parquet")
+    spark.read.schema(SCHEMA).json(write_records(tmp_path)).write.parquet(pq)
+    df = CT.read_records(spark, pq, where={"individualcount": "5", "hasimage": "FALSE"})
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    pushed = [ln for ln in buf.getvalue().splitlines() if ln.startswith("PushedFilters")][0]
+    assert "EqualTo(individualcount,5)" in pushed and "hasimage" in pushed
+    assert df.count() == 0
+    assert CT.read_records(spark, pq, where={"individualcount": 5}).count() == 1
