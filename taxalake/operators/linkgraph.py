@@ -123,14 +123,17 @@ def id_profile(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
         .groupBy("ext", "source")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return per_source.groupBy("ext").agg(
-        prefix_of(F.first("ext")).alias("scheme"),
+    # fixed-width buffers only (no first(string)), so both steps are hash aggregates
+    prof = per_source.groupBy("ext").agg(
         F.sum("n").alias("n_links"),
         F.count(F.lit(1)).alias("n_sources"),
         F.max(F.col("source") == SOURCE_OTT).alias("has_ott"),
         F.max(F.col("source") == SOURCE_WD).alias("has_wd"),
         F.max(F.col("source") == SOURCE_GLOBI).alias("has_globi"),
     )
+    return prof.select(
+        "ext", prefix_of("ext").alias("scheme"), "n_links", "n_sources", "has_ott", "has_wd", "has_globi"
+    )
 
 
 def region_of(profile: DataFrame) -> Column:
