@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taxalake.functions.once import select_once
+
 # Fixed values that must equal the reference's for equal results:
 # fields left out of the record and media loads because they do not read.
 BAD_RECORD_FIELDS = ("associatedsequences", "commonnames", "flags", "mediarecords", "recordids")
@@ -133,7 +135,7 @@ def schema_fields_df(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame(schema_fields(df), "field string, type string")
 
 
-_META_VALUE = "map<string, string>"
+_FIELD = "struct<fieldName: string, type: string>"
 
 
 def catalog_fields(meta_docs: DataFrame, col: str = "value", types: bool = False) -> DataFrame:
@@ -141,26 +143,29 @@ def catalog_fields(meta_docs: DataFrame, col: str = "value", types: bool = False
 
     A top-level key whose object has ``fieldName`` is a field; under ``data``
     every child with ``fieldName`` is ``data.<child>``. With ``types=True``:
-    (field, type), where other nested keys are ``COMPLEX``.
+    (field, type), where other nested keys are ``COMPLEX``. Each document
+    and each value is parsed once.
     """
-    top = meta_docs.select(F.explode(F.from_json(F.col(col), f"map<string, string>")).alias("k", "v"))
-    own = F.get_json_object("v", "$.fieldName")
-    own_type = F.get_json_object("v", "$.type")
-    plain = top.where(F.col("k") != "data")
+    top = meta_docs.select(F.explode(F.from_json(F.col(col), "map<string, string>")).alias("k", "v"))
+    is_data = F.col("k") == "data"
+    parsed = select_once(
+        top,
+        F.col("k"),
+        F.when(~is_data, F.from_json("v", _FIELD)).alias("f"),
+        F.when(is_data, F.from_json("v", f"map<string, {_FIELD}>")).alias("d"),
+    )
+    plain = parsed.where(F.col("d").isNull())
+    own = F.col("f.fieldName")
     if types:
         top_rows = plain.select(
-            F.when(own.isNotNull(), own).otherwise(F.col("k")).alias("field"),
-            F.when(own.isNotNull(), own_type).otherwise(F.lit(COMPLEX)).alias("type"),
+            F.coalesce(own, F.col("k")).alias("field"),
+            F.when(own.isNotNull(), F.col("f.type")).otherwise(F.lit(COMPLEX)).alias("type"),
         )
     else:
         top_rows = plain.where(own.isNotNull()).select(F.col("k").alias("field"))
-    data = top.where(F.col("k") == "data").select(
-        F.explode(F.from_json("v", _META_VALUE)).alias("dk", "dv")
-    ).where(F.get_json_object("dv", "$.fieldName").isNotNull())
+    data = parsed.select(F.explode("d").alias("dk", "dv")).where(F.col("dv.fieldName").isNotNull())
     if types:
-        data_rows = data.select(
-            F.get_json_object("dv", "$.fieldName").alias("field"), F.get_json_object("dv", "$.type").alias("type")
-        )
+        data_rows = data.select(F.col("dv.fieldName").alias("field"), F.col("dv.type").alias("type"))
     else:
         data_rows = data.select(F.concat(F.lit("data."), F.col("dk")).alias("field"))
     return top_rows.unionByName(data_rows).distinct()
