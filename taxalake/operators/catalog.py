@@ -107,9 +107,9 @@ def read_records(
     df = as_array(df, [f for f in array_fields if f in df.columns])
     if where:
         df = term_filter(df, where, array_fields)
-    if fields is not None:
-        df = select_fields(df, exclude_fields(fields, exclude))
-    return df
+    if fields is None:  # no include list: every column but the known-bad ones
+        return df.drop(*[c for c in exclude if c in df.columns])
+    return select_fields(df, exclude_fields(fields, exclude))
 
 
 # ---------------------------------------------------------------- catalogues

@@ -413,7 +413,7 @@ def term_filter(spark, sf):
 @query
 def as_array_fields(spark, sf):
     recs = CT.read_records(spark, _records_path(spark, sf), array_fields=("genus", "commonnames"),
-                           where={"genus": "click"})
+                           where={"genus": "click"}, exclude=())
     return recs.select(
         "uuid",
         F.array_join("genus", "|").alias("genus"),

@@ -240,6 +240,7 @@ def main(argv=None) -> None:
     r.add_argument("--name", required=True)
     r.add_argument("--stamp", required=True)
     r.add_argument("--where", help='JSON object of exact terms, e.g. {"genus": "acer"}')
+    r.add_argument("--media", action="store_true", help="media records: leave out the media list of bad fields")
     e = sub.add_parser("elevation")
     e.add_argument("--src", required=True)
     e.add_argument("--out", required=True)
@@ -259,7 +260,10 @@ def main(argv=None) -> None:
         res = ingest_items(spark, args.items, args.mirror, args.out, args.budget, sample=args.sample, subjects=args.subjects)
     elif args.job == "load-records":
         where = json.loads(args.where) if args.where else None
-        res = load_records(spark, args.src, args.base, args.name, args.stamp, fmt=args.format, meta=args.meta, where=where)
+        exclude = CT.BAD_MEDIA_FIELDS if args.media else CT.BAD_RECORD_FIELDS
+        res = load_records(
+            spark, args.src, args.base, args.name, args.stamp, fmt=args.format, meta=args.meta, where=where, exclude=exclude
+        )
     else:
         res = convert_elevation(spark, args.src, args.out, convention=args.convention)
     print(json.dumps(res))

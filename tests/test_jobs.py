@@ -57,3 +57,25 @@ def test_ingest_items_and_records(spark, tmp_path):
     full = spark.read.parquet(ed["all"])
     assert set(full.columns) == {"uuid", "genus", "data.dwc:eventDate"} and full.count() > 0
     assert spark.read.parquet(ed["100k"]).count() == full.count()
+
+
+def test_cli_elevation_and_records(spark, tmp_path, capsys):
+    import numpy as np
+
+    d = tmp_path / "dem3"
+    d.mkdir()
+    (d / "N10E020.hgt").write_bytes(np.arange(1201 * 1201, dtype=np.int64).astype(">i2").tobytes())
+    (d / "bad.hgt").write_bytes(b"\x00" * 10)
+    out = str(tmp_path / "elevation.parquet")
+    J.main(["elevation", "--src", str(d), "--out", out])
+    res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert spark.read.parquet(res["cells"]).count() == 1201 * 1201
+    assert [r.reason for r in spark.read.parquet(res["rejects"]).collect()] == ["bad name"]
+    src = str(tmp_path / "media.parquet")
+    A.records(spark, SF_SMALL).write.parquet(src)
+    J.main(["load-records", "--src", src, "--base", str(tmp_path / "m"), "--name", "idigbio-media",
+            "--stamp", "20240101T000000", "--where", '{"genus": "view"}', "--media"])
+    res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    full = spark.read.parquet(res["all"])
+    assert "commonnames" not in full.columns and "uuid" in full.columns  # every column but the bad ones
+    assert full.where(F.col("genus") != "view").count() == 0

@@ -52,7 +52,7 @@ def test_pushdown_to_parquet(spark, tmp_path):
 
 def test_array_hint_and_term_on_array(spark, tmp_path):
     df = CT.read_records(spark, write_records(tmp_path), fmt="json", schema=SCHEMA,
-                         array_fields=("genus", "commonnames"), where={"commonnames": "Swamp Maple"})
+                         array_fields=("genus", "commonnames"), where={"commonnames": "Swamp Maple"}, exclude=())
     rows = df.collect()
     assert [r.uuid for r in rows] == ["b"] and rows[0].genus == ["acer"]
 
