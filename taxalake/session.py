@@ -22,6 +22,9 @@ JOB_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # AQE only merges shuffle partitions: start fine enough for TB-sized
+    # shuffles, and let it coalesce small ones down to the advisory size.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
