@@ -7,7 +7,7 @@ lost executor recomputes from those files, not from the raw input).
 
 Run with spark-submit::
 
-    spark-submit -m taxalake.plans.jobs build-graph --dump latest-all.json.bz2 --out /data/wd
+    spark-submit --py-files taxalake.zip taxalake/plans/jobs.py build-graph --dump latest-all.json.bz2 --out /data/wd
     python -m taxalake.plans.jobs analyze --wd-links ... --ott ... --globi-map ... --out ...
 """
 
