@@ -10,9 +10,10 @@ Scale notes
   computed from ``(ext, source)`` / ``(ext, term)`` rows that are combined
   map-side first, so an id holding a third of all links costs one row per
   partition before the shuffle, not one task holding all its links.
-* The only arrays built are the "other terms" of an id with GLOBI terms,
-  after pre-aggregation to distinct terms with a multiplicity; a composite
-  key *is* that sorted list, so its size is the size of the result itself.
+* The only arrays built are the distinct terms of an id (each with its
+  multiplicity, after the map-side combined ``(ext, term)`` aggregate), used
+  to build composite keys; a composite key *is* the sorted list of an id's
+  other terms, so its size is the size of the result itself.
 * Composite membership stays in long form ``(composite, ext)``; group-level
   numbers come from two-level aggregates, never from collected id lists.
 """
