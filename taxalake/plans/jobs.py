@@ -18,6 +18,7 @@ import json
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from taxalake.functions.casts import ITEM_COLUMNS, ITEM_RULES, SUBJECT_COLUMNS, SUBJECT_RULES
 from taxalake.operators import catalog as CT
@@ -28,7 +29,7 @@ from taxalake.operators import validate as V
 from taxalake.operators.sideload import bernoulli_sample, sideload_text
 from taxalake.sinks import snapshot as SN
 from taxalake.sources import raster as RS
-from taxalake.sources.delimited import read_delimited, read_pipe_table, read_quoted_table
+from taxalake.sources.delimited import read_delimited, read_pipe_table, read_quoted_table, row_order
 from taxalake.sources.text import read_lines, read_texts
 
 
@@ -149,18 +150,19 @@ def ingest_items(
     The output must not exist yet (rerun guard). Rejected rows are written
     next to it with their failing columns.
     """
-    raw = read_quoted_table(spark, item_dump, list(ITEM_COLUMNS)).withColumnRenamed("_row", "rn")
-    typed = V.type_rows(raw, ITEM_RULES, keep=("rn",))
+    raw = read_quoted_table(spark, item_dump, list(ITEM_COLUMNS))
+    typed = V.type_rows(raw.withColumn("rn", row_order(raw)), ITEM_RULES, keep=("rn",))
     good = V.apply_error_budget(typed, "rn", budget, on_exceed).drop("rn")
     if sample is not None:
         good = bernoulli_sample(good, sample)
     if mirror:
         good = sideload_text(good, read_texts(spark, mirror, null_on_bad_utf8=True), key="barcode")
     paths = {"items": SN.write_snapshot(good, out)}
-    paths["rejects"] = SN.write_snapshot(V.bad_rows(typed), out.rstrip("/") + "-rejects")
+    rejects = V.bad_rows(typed).select(F.col("rn._file").alias("file"), F.col("rn._row").alias("row"), "reason")
+    paths["rejects"] = SN.write_snapshot(rejects, out.rstrip("/") + "-rejects")
     if subjects:
-        sraw = read_quoted_table(spark, subjects, list(SUBJECT_COLUMNS)).withColumnRenamed("_row", "rn")
-        st = V.type_rows(sraw, SUBJECT_RULES, keep=("rn",))
+        sraw = read_quoted_table(spark, subjects, list(SUBJECT_COLUMNS))
+        st = V.type_rows(sraw.withColumn("rn", row_order(sraw)), SUBJECT_RULES, keep=("rn",))
         paths["subjects"] = SN.write_snapshot(V.apply_error_budget(st, "rn", budget, on_exceed).drop("rn"), out.rstrip("/") + "-subjects")
     return paths
 

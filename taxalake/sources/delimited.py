@@ -30,8 +30,8 @@ def read_quoted_table(
 
     All columns are read as text; typing is a separate, validated step.
     A short row (unescaped line break) keeps its row with nulls and is
-    flagged in ``_corrupt``. ``_row`` is an order key that follows file order
-    (not a line number). Quoted line breaks make a file one split, so split a
+    flagged in ``_corrupt``. ``_file`` and ``_row`` give the row order within
+    the dump (``row_order``), not line numbers. Quoted line breaks make a file one split, so split a
     large dump into many files for parallel reads.
     """
     df = (
@@ -47,10 +47,17 @@ def read_quoted_table(
         .csv(path)
     )
     if with_row_order:
-        df = df.withColumn("_row", F.monotonically_increasing_id())
+        # (file, position): ids grow in read order within a task, and a task
+        # reads each of its files whole, so this orders rows as in the files
+        df = df.withColumn("_file", F.col("_metadata.file_name")).withColumn("_row", F.monotonically_increasing_id())
     return df
 
 
+def row_order(df: DataFrame) -> F.Column:
+    """Order key of rows read by ``read_quoted_table``: (file name, position)."""
+    return F.struct("_file", "_row")
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,

@@ -100,3 +100,22 @@ def test_row_slice(spark):
     df = spark.range(1, 1001).withColumnRenamed("id", "rn")
     out = [r.rn for r in V.row_slice(df, "rn", tail=300, head=5).collect()]
     assert out == [701, 702, 703, 704, 705]
+
+
+def test_error_budget_over_many_files(spark, tmp_path):
+    """Budget order follows (file, row): 30 bad rows in a.txt, 30 in b.txt ->
+    the 51st bad row is in b.txt; a.txt's good rows all stay."""
+    from taxalake.sources.delimited import row_order
+
+    d = tmp_path / "dump"
+    d.mkdir()
+    for name, start in (("a.txt", 0), ("b.txt", 1000)):
+        lines = []
+        for i in range(60):
+            lines.append(item(itemid=str(start + i)) if i % 2 == 0 else item(itemid="bad"))
+        write_tsv(d / name, lines, bom=False)
+    raw = read_quoted_table(spark, str(d), list(ITEM_COLUMNS))
+    t = V.type_rows(raw.withColumn("rn", row_order(raw)), ITEM_RULES, keep=("rn",))
+    kept = sorted(r.itemid for r in V.apply_error_budget(t, "rn", budget=50).collect())
+    # a.txt: all 30 good rows; b.txt: good rows before its 21st bad row (line 41)
+    assert kept == list(range(0, 60, 2)) + list(range(1000, 1041, 2))
