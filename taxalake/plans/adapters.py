@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from taxalake.functions.once import select_once
 from taxalake.session import read_table
 
 
@@ -139,8 +140,8 @@ def entity_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             p846.alias("P846"),
         ).alias("claims"),
     )
-    # built inside a generator so that filters on the line do not re-run to_json
-    return p.select(F.explode(F.array(F.concat(F.to_json(entity), F.lit(",")))).alias("value"))
+    # computed once per row, so filters on the line do not re-run to_json
+    return select_once(p, F.concat(F.to_json(entity), F.lit(",")).alias("value"))
 
 
 def resolver_map(spark: SparkSession, sf_dir: str) -> DataFrame:
