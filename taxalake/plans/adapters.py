@@ -2,29 +2,26 @@
 
 Every adapter reads whole tables. Row content is chosen by value mappings
 (``CASE`` on column values), never by dropping rows, so each adapter's
-output grows with the tables. The matching DuckDB text of each adapter is in
-``taxalake.plans.oracles``.
+output grows with the tables. Adapters are written as Spark SQL expressions
+(``selectExpr``): one call per column instead of one per expression node.
+The matching DuckDB text of each adapter is in ``taxalake.plans.oracles``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxalake.functions.once import select_once
 from taxalake.session import read_table
 
 
-def ext_id(k: Column) -> Column:
+def ext_sql(k: str) -> str:
     """External id ``SCHEME:k``; the scheme cycles over five values by ``k % 5``."""
-    scheme = (
-        F.when(k % 5 == 0, "NCBI")
-        .when(k % 5 == 1, "GBIF")
-        .when(k % 5 == 2, "WORMS")
-        .when(k % 5 == 3, "IF")
-        .otherwise("ITIS")
+    return (
+        f"concat(CASE ({k}) % 5 WHEN 0 THEN 'NCBI' WHEN 1 THEN 'GBIF' WHEN 2 THEN 'WORMS' "
+        f"WHEN 3 THEN 'IF' ELSE 'ITIS' END, ':', cast({k} AS string))"
     )
-    return F.concat(scheme, F.lit(":"), k.cast("string"))
 
 
 # ---------------------------------------------------------------- taxon graphs
@@ -36,29 +33,21 @@ def ott_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``R`` rows list two ids and end with a comma (Java split drops the empty
     tail); ``A`` rows pad the id with a tab and a space (Java trim removes them).
     """
-    li = read_table(spark, sf_dir, "lineitem")
-    k = F.col("l_partkey")
-    one = F.lower(ext_id(k))
-    sourceinfo = (
-        F.when(F.col("l_returnflag") == "R", F.concat(one, F.lit(","), F.lower(ext_id(k + 1)), F.lit(",")))
-        .when(F.col("l_returnflag") == "A", F.concat(F.lit("\t"), one, F.lit(" ")))
-        .otherwise(one)
-    )
-    return li.select(
-        (F.col("l_suppkey") % 10).cast("string").alias("uid"),
-        F.col("l_orderkey").cast("string").alias("parent_uid"),
-        F.concat(F.lit("taxon "), F.col("l_linenumber").cast("string")).alias("name"),
-        F.col("l_linestatus").alias("rank"),
-        sourceinfo.alias("sourceinfo"),
+    one = f"lower({ext_sql('l_partkey')})"
+    return read_table(spark, sf_dir, "lineitem").selectExpr(
+        "cast(l_suppkey % 10 AS string) AS uid",
+        "cast(l_orderkey AS string) AS parent_uid",
+        "concat('taxon ', cast(l_linenumber AS string)) AS name",
+        "l_linestatus AS rank",
+        f"CASE WHEN l_returnflag = 'R' THEN concat({one}, ',', lower({ext_sql('l_partkey + 1')}), ',') "
+        f"WHEN l_returnflag = 'A' THEN concat(chr(9), {one}, ' ') ELSE {one} END AS sourceinfo",
     )
 
 
 def wd_entity_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wikidata-style (entity, ext) pairs from part."""
-    p = read_table(spark, sf_dir, "part")
-    return p.select(
-        F.concat(F.lit("Q"), F.col("p_size").cast("string")).alias("entity"),
-        ext_id(F.col("p_partkey") * 2).alias("ext"),
+    return read_table(spark, sf_dir, "part").selectExpr(
+        "concat('Q', cast(p_size AS string)) AS entity", f"{ext_sql('p_partkey * 2')} AS ext"
     )
 
 
@@ -69,39 +58,29 @@ def globi_taxon_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     (printed ``null``), priority 4 resolves into WD (filtered out), priority 5
     has no resolved id (filtered out).
     """
-    o = read_table(spark, sf_dir, "orders")
-    st, pr = F.col("o_orderstatus"), F.col("o_orderpriority")
-    p_row = st == "P"
-    pid = F.when(p_row & (pr == "3-MEDIUM"), F.lit(None).cast("string")).otherwise(st)
-    rid = (
-        F.when(p_row & (pr == "5-LOW"), F.lit(None).cast("string"))
-        .when(p_row & (pr == "4-NOT SPECIFIED"), F.concat(F.lit("WD:Q"), F.col("o_custkey").cast("string")))
-        .otherwise(ext_id(F.col("o_custkey") * 3))
-    )
-    return o.select(
-        pid.alias("providedTaxonId"),
-        pr.alias("providedTaxonName"),
-        rid.alias("resolvedTaxonId"),
-        pr.alias("resolvedTaxonName"),
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM' THEN CAST(NULL AS string) "
+        "ELSE o_orderstatus END AS providedTaxonId",
+        "o_orderpriority AS providedTaxonName",
+        "CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN CAST(NULL AS string) "
+        "WHEN o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED' THEN concat('WD:Q', cast(o_custkey AS string)) "
+        f"ELSE {ext_sql('o_custkey * 3')} END AS resolvedTaxonId",
+        "o_orderpriority AS resolvedTaxonName",
     )
 
 
 # ---------------------------------------------------------------- entity dump
 
 
-def _claim(value: Column) -> Column:
-    return F.struct(
-        F.struct(
-            F.lit("value").alias("snaktype"),
-            F.struct(value.alias("value")).alias("datavalue"),
-        ).alias("mainsnak"),
-        F.lit("statement").alias("type"),
+def _claim(value: str) -> str:
+    return (
+        "named_struct('mainsnak', named_struct('snaktype', 'value', 'datavalue', "
+        f"named_struct('value', {value})), 'type', 'statement')"
     )
 
 
-def _item(qid: Column) -> Column:
-    num = F.regexp_extract(qid, r"^Q([0-9]+)$", 1).cast("bigint")
-    return F.struct(F.lit("item").alias("entity-type"), num.alias("numeric-id"), qid.alias("id"))
+def _item(num: str) -> str:
+    return f"named_struct('entity-type', 'item', 'numeric-id', cast({num} AS bigint), 'id', concat('Q', cast({num} AS string)))"
 
 
 def entity_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,75 +90,57 @@ def entity_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     P31 = Q5 if k%5=0 else Q16521, plus a second Q16521 claim if k%11=0;
     P225 = p_name, plus p_type if k%7=0; P105 = Q<p_size> unless k%6=0;
     P171 = Q<k%10>, plus Q<k%9> if k%13=0; P685 = k if even, plus "7" if
-    k%8=0; P846 = k if k%3=0.
+    k%8=0; P846 = k if k%3=0. Absent claims are left out of the JSON.
     """
-    p = read_table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    q = lambda c: F.concat(F.lit("Q"), c.cast("string"))
-    p31_first = _claim(_item(F.when(k % 5 == 0, F.lit("Q5")).otherwise(F.lit("Q16521"))))
-    p31 = F.when(k % 11 == 0, F.array(p31_first, _claim(_item(F.lit("Q16521"))))).otherwise(F.array(p31_first))
-    p225 = F.when(k % 7 == 0, F.array(_claim(F.col("p_name")), _claim(F.col("p_type")))).otherwise(
-        F.array(_claim(F.col("p_name")))
-    )
-    p105 = F.when(k % 6 != 0, F.array(_claim(_item(q(F.col("p_size"))))))
-    p171 = F.when(k % 13 == 0, F.array(_claim(_item(q(k % 10))), _claim(_item(q(k % 9))))).otherwise(
-        F.array(_claim(_item(q(k % 10))))
-    )
-    ks = k.cast("string")
-    p685 = F.when(k % 8 == 0, F.array(_claim(ks), _claim(F.lit("7")))).when(k % 2 == 0, F.array(_claim(ks)))
-    p846 = F.when(k % 3 == 0, F.array(_claim(ks)))
-    entity = F.struct(
-        F.lit("item").alias("type"),
-        q(k).alias("id"),
-        F.struct(
-            p31.alias("P31"),
-            p225.alias("P225"),
-            p105.alias("P105"),
-            p171.alias("P171"),
-            p685.alias("P685"),
-            p846.alias("P846"),
-        ).alias("claims"),
-    )
+    first = _claim(f"CASE WHEN p_partkey % 5 = 0 THEN {_item('5')} ELSE {_item('16521')} END")
+    taxon = _claim(_item("16521"))
+    key = "cast(p_partkey AS string)"
+    claims = {
+        "P31": f"CASE WHEN p_partkey % 11 = 0 THEN array({first}, {taxon}) ELSE array({first}) END",
+        "P225": f"CASE WHEN p_partkey % 7 = 0 THEN array({_claim('p_name')}, {_claim('p_type')}) "
+        f"ELSE array({_claim('p_name')}) END",
+        "P105": f"CASE WHEN p_partkey % 6 <> 0 THEN array({_claim(_item('p_size'))}) END",
+        "P171": f"CASE WHEN p_partkey % 13 = 0 THEN array({_claim(_item('p_partkey % 10'))}, {_claim(_item('p_partkey % 9'))}) "
+        f"ELSE array({_claim(_item('p_partkey % 10'))}) END",
+        "P685": f"CASE WHEN p_partkey % 8 = 0 THEN array({_claim(key)}, {_claim(chr(39) + '7' + chr(39))}) "
+        f"WHEN p_partkey % 2 = 0 THEN array({_claim(key)}) END",
+        "P846": f"CASE WHEN p_partkey % 3 = 0 THEN array({_claim(key)}) END",
+    }
+    claims_sql = ", ".join(f"'{p}', {v}" for p, v in claims.items())
+    entity = f"named_struct('type', 'item', 'id', concat('Q', {key}), 'claims', named_struct({claims_sql}))"
     # computed once per row, so filters on the line do not re-run to_json
-    return select_once(p, F.concat(F.to_json(entity), F.lit(",")).alias("value"))
+    return select_once(read_table(spark, sf_dir, "part"), F.expr(f"concat(to_json({entity}), ',')").alias("value"))
+
+
+def _rid(key: str) -> str:
+    return f"CASE WHEN {key} % 2 = 0 THEN concat('NCBI:', cast({key} AS string)) ELSE concat('GBIF:', cast({key} AS string)) END"
 
 
 def resolver_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GloBI taxon map (providedTaxonId, providedTaxonName, resolvedTaxonId,
     resolvedTaxonName) from customer, for the merge job."""
-    c = read_table(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
-    ks = key.cast("string")
-    return c.select(
-        F.when(key % 17 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("EOL:"), ks)).alias(
-            "providedTaxonId"
-        ),
-        F.col("c_name").alias("providedTaxonName"),
-        F.when(key % 2 == 0, F.concat(F.lit("NCBI:"), ks)).otherwise(F.concat(F.lit("GBIF:"), ks)).alias(
-            "resolvedTaxonId"
-        ),
-        F.col("c_mktsegment").alias("resolvedTaxonName"),
+    return read_table(spark, sf_dir, "customer").selectExpr(
+        "CASE WHEN c_custkey % 17 = 0 THEN CAST(NULL AS string) ELSE concat('EOL:', cast(c_custkey AS string)) END "
+        "AS providedTaxonId",
+        "c_name AS providedTaxonName",
+        f"{_rid('c_custkey')} AS resolvedTaxonId",
+        "c_mktsegment AS resolvedTaxonName",
     )
 
 
 def resolver_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GloBI taxon cache rows (TaxonCache shape) from customer; the empty
     columns are null, as a header TSV reads them back."""
-    c = read_table(spark, sf_dir, "customer")
-    key = F.col("c_custkey")
-    ks = key.cast("string")
-    rid = F.when(key % 2 == 0, F.concat(F.lit("NCBI:"), ks)).otherwise(F.concat(F.lit("GBIF:"), ks))
-    null = F.lit(None).cast("string")
-    return c.select(
-        rid.alias("id"),
-        F.col("c_name").alias("name"),
-        F.col("c_mktsegment").alias("rank"),
-        null.alias("commonNames"),
-        F.col("c_name").alias("path"),
-        rid.alias("pathIds"),
-        F.col("c_mktsegment").alias("pathNames"),
-        null.alias("externalUrl"),
-        null.alias("thumbnailUrl"),
+    return read_table(spark, sf_dir, "customer").selectExpr(
+        f"{_rid('c_custkey')} AS id",
+        "c_name AS name",
+        "c_mktsegment AS rank",
+        "CAST(NULL AS string) AS commonNames",
+        "c_name AS path",
+        f"{_rid('c_custkey')} AS pathIds",
+        "c_mktsegment AS pathNames",
+        "CAST(NULL AS string) AS externalUrl",
+        "CAST(NULL AS string) AS thumbnailUrl",
     )
 
 
@@ -194,42 +155,34 @@ def raw_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     line break (needs quoting in TSV). ``rn`` is the row number in the dump
     (the order key).
     """
-    o = read_table(spark, sf_dir, "orders")
-    key = F.col("o_orderkey")
-    ks = key.cast("string")
-    item = F.when(key % 97 == 0, F.concat(F.lit("x"), ks)).when(key % 89 == 0, F.lit(" ")).otherwise(ks)
-    created = F.when(key % 101 == 0, F.lit("n/a")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"))
-    thumb = F.when(F.col("o_orderpriority") == "5-LOW", F.lit("")).otherwise(F.col("o_custkey").cast("string"))
-    return o.select(
-        key.alias("rn"),
-        item.alias("ItemID"),
-        F.col("o_custkey").cast("string").alias("TitleID"),
-        thumb.alias("ThumbnailPageID"),
-        F.concat(F.lit("bc"), ks).alias("BarCode"),
-        F.col("o_orderstatus").alias("MARCItemID"),
-        F.col("o_orderpriority").alias("CallNumber"),
-        F.lit(None).cast("string").alias("VolumeInfo"),
-        F.concat(F.lit("item/"), ks).alias("ItemURL"),
-        F.concat(F.lit("local\n"), ks).alias("LocalID"),
-        F.date_format("o_orderdate", "yyyy").alias("Year"),
-        F.col("o_orderstatus").alias("InstitutionName"),
-        F.lit(None).cast("string").alias("ZQuery"),
-        created.alias("CreationDate"),
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS rn",
+        "CASE WHEN o_orderkey % 97 = 0 THEN concat('x', cast(o_orderkey AS string)) "
+        "WHEN o_orderkey % 89 = 0 THEN ' ' ELSE cast(o_orderkey AS string) END AS ItemID",
+        "cast(o_custkey AS string) AS TitleID",
+        "CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE cast(o_custkey AS string) END AS ThumbnailPageID",
+        "concat('bc', cast(o_orderkey AS string)) AS BarCode",
+        "o_orderstatus AS MARCItemID",
+        "o_orderpriority AS CallNumber",
+        "CAST(NULL AS string) AS VolumeInfo",
+        "concat('item/', cast(o_orderkey AS string)) AS ItemURL",
+        "concat('local', chr(10), cast(o_orderkey AS string)) AS LocalID",
+        "date_format(o_orderdate, 'yyyy') AS Year",
+        "o_orderstatus AS InstitutionName",
+        "CAST(NULL AS string) AS ZQuery",
+        "CASE WHEN o_orderkey % 101 = 0 THEN 'n/a' ELSE date_format(o_orderdate, 'yyyy-MM-dd HH:mm') END AS CreationDate",
     )
 
 
 def raw_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Untyped subject rows (TitleID, Subject, CreationDate) from orders; both
     TitleID and CreationDate are required. Status ``P`` rows have no date."""
-    o = read_table(spark, sf_dir, "orders")
-    created = F.when(F.col("o_orderstatus") == "P", F.lit(None).cast("string")).otherwise(
-        F.date_format("o_orderdate", "yyyy-MM-dd")
-    )
-    return o.select(
-        F.col("o_orderkey").alias("rn"),
-        F.col("o_custkey").cast("string").alias("TitleID"),
-        F.col("o_orderpriority").alias("Subject"),
-        created.alias("CreationDate"),
+    return read_table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS rn",
+        "cast(o_custkey AS string) AS TitleID",
+        "o_orderpriority AS Subject",
+        "CASE WHEN o_orderstatus = 'P' THEN CAST(NULL AS string) ELSE date_format(o_orderdate, 'yyyy-MM-dd') END "
+        "AS CreationDate",
     )
 
 
@@ -239,31 +192,25 @@ def raw_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tile file names from supplier keys, mixed case on purpose; key%10=9 gives
     a name that does not parse."""
-    s = read_table(spark, sf_dir, "supplier")
-    key = F.col("s_suppkey")
-    lat_l = F.when(key % 2 == 0, F.lit("n")).otherwise(F.lit("S"))
-    lon_l = F.when(key % 3 == 0, F.lit("E")).otherwise(F.lit("w"))
-    good = F.concat(
-        lat_l, F.lpad((key % 60).cast("string"), 2, "0"), lon_l, F.lpad((key % 180).cast("string"), 3, "0"), F.lit(".hgt")
-    )
-    return s.select(
-        key.alias("s_suppkey"),
-        F.when(key % 10 == 9, F.concat(F.lit("bad"), key.cast("string"))).otherwise(good).alias("fname"),
+    return read_table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey",
+        "CASE WHEN s_suppkey % 10 = 9 THEN concat('bad', cast(s_suppkey AS string)) "
+        "ELSE concat(CASE WHEN s_suppkey % 2 = 0 THEN 'n' ELSE 'S' END, lpad(cast(s_suppkey % 60 AS string), 2, '0'), "
+        "CASE WHEN s_suppkey % 3 = 0 THEN 'E' ELSE 'w' END, lpad(cast(s_suppkey % 180 AS string), 3, '0'), '.hgt') END "
+        "AS fname",
     )
 
 
 def embedding_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 grids from embeddings: base lat = vec_id%60 (sign by vec_id parity),
     base lon = vec_id%180 (sign by label parity)."""
-    e = read_table(spark, sf_dir, "embeddings")
-    v = F.col("vec_id")
-    return e.select(
-        v.alias("grid_id"),
-        F.when(v % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).alias("lat_sign"),
-        (v % 60).cast("int").alias("base_lat"),
-        F.when(F.col("label") % 2 == 0, F.lit(1)).otherwise(F.lit(-1)).alias("lon_sign"),
-        (v % 180).cast("int").alias("base_lon"),
-        F.col("embedding").alias("values"),
+    return read_table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS grid_id",
+        "CASE WHEN vec_id % 2 = 0 THEN 1 ELSE -1 END AS lat_sign",
+        "cast(vec_id % 60 AS int) AS base_lat",
+        "CASE WHEN label % 2 = 0 THEN 1 ELSE -1 END AS lon_sign",
+        "cast(vec_id % 180 AS int) AS base_lon",
+        "embedding AS values",
     )
 
 
@@ -273,32 +220,24 @@ def embedding_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Specimen-style records from events: flat fields, one array field and a
     ``data`` struct (one nesting level)."""
-    e = read_table(spark, sf_dir, "events")
-    return e.select(
-        F.col("event_id").cast("string").alias("uuid"),
-        F.col("event_type").alias("genus"),
-        F.col("value").cast("int").alias("individualcount"),
-        F.col("ts").alias("datemodified"),
-        (F.col("user_id") % 2 == 0).alias("hasimage"),
-        F.array(F.col("event_type")).alias("commonnames"),
-        F.struct(
-            F.date_format("ts", "yyyy-MM-dd").alias("dwc:eventDate"),
-            F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        ).alias("data"),
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "cast(event_id AS string) AS uuid",
+        "event_type AS genus",
+        "cast(value AS int) AS individualcount",
+        "ts AS datemodified",
+        "user_id % 2 = 0 AS hasimage",
+        "array(event_type) AS commonnames",
+        "named_struct('dwc:eventDate', date_format(ts, 'yyyy-MM-dd'), "
+        "'k', cast(get_json_object(props, '$.k') AS bigint)) AS data",
     )
 
 
 def field_meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field-metadata documents (column ``value``), one per event: each event
     type is announced as a float field; ``flags`` is a nested non-data key."""
-    e = read_table(spark, sf_dir, "events")
-    t = F.col("event_type")
-    doc = F.concat(
-        F.lit('{"uuid":{"fieldName":"uuid","type":"string"},"'),
-        t,
-        F.lit('":{"fieldName":"'),
-        t,
-        F.lit('","type":"float"},"data":{"dwc:eventDate":{"fieldName":"data.dwc:eventDate","type":"string"},'),
-        F.lit('"k":{"fieldName":"data.k","type":"long"}},"flags":{"x":{}}}'),
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "concat('{\"uuid\":{\"fieldName\":\"uuid\",\"type\":\"string\"},\"', event_type, "
+        "'\":{\"fieldName\":\"', event_type, "
+        "'\",\"type\":\"float\"},\"data\":{\"dwc:eventDate\":{\"fieldName\":\"data.dwc:eventDate\",\"type\":\"string\"},', "
+        "'\"k\":{\"fieldName\":\"data.k\",\"type\":\"long\"}},\"flags\":{\"x\":{}}}') AS value"
     )
-    return e.select(doc.alias("value"))

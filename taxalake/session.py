@@ -95,4 +95,11 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
-    return spark.read.parquet(table_path(sf_dir, name))
+    """A read-only input table. The DataFrame (file listing and footer schema)
+    is kept on the session object and reused; every query still reads the
+    files when it runs."""
+    cache = spark.__dict__.setdefault("_taxalake_tables", {})
+    path = table_path(sf_dir, name)
+    if path not in cache:
+        cache[path] = spark.read.parquet(path)
+    return cache[path]
