@@ -71,11 +71,14 @@ def top_n(df: DataFrame, order: str, n: int, ascending: bool = True, funnel_rows
     if total <= n:
         return df.orderBy(sort_key)
     frac = min(1.0, 1.1 * n / total + 1e-4)
-    while True:
+    while frac < 1.0:
         p = frac if ascending else 1.0 - frac
         bound = df.agg(F.percentile_approx(order, p, 10_000).alias("b")).first().b
-        cond = key <= F.lit(bound) if ascending else key >= F.lit(bound)
-        if frac >= 1.0 or df.where(cond).count() >= n:
+        if bound is None:
             break
+        # ascending puts nulls first, descending puts them last (Spark's defaults)
+        cond = (key.isNull() | (key <= F.lit(bound))) if ascending else key >= F.lit(bound)
+        if df.where(cond).count() >= n:
+            return df.where(cond).orderBy(sort_key).limit(n)
         frac = min(1.0, frac * 2)
-    return df.where(cond).orderBy(sort_key).limit(n)
+    return df.orderBy(sort_key).limit(n)  # the bound would keep every row anyway

@@ -23,3 +23,16 @@ def test_top_n(spark, funnel):
         assert asc == list(range(min(n, 10_000)))
         desc = sorted(r.k for r in top_n(df, "k", n, ascending=False, funnel_rows=funnel).collect())
         assert desc == list(range(10_000 - min(n, 10_000), 10_000))
+
+
+@pytest.mark.parametrize("funnel", [10**9, 0])
+def test_top_n_with_null_keys(spark, funnel):
+    df = spark.range(0, 1000, numPartitions=5).select(
+        F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.col("id")).alias("k"), "id"
+    )
+    asc = [r.k for r in top_n(df, "k", 120, funnel_rows=funnel).orderBy(F.col("k").asc()).collect()]
+    assert asc[:100] == [None] * 100 and asc[100:] == [1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14, 15, 16, 17, 18, 19, 21, 22]
+    desc = sorted(r.k for r in top_n(df, "k", 5, ascending=False, funnel_rows=funnel).collect())
+    assert desc == [995, 996, 997, 998, 999]
+    alln = top_n(df, "k", 950, ascending=False, funnel_rows=funnel).collect()
+    assert len(alln) == 950 and sum(r.k is None for r in alln) == 50
