@@ -89,8 +89,16 @@ def _ids(prop: str) -> Column:
     )
 
 
+def _is_nested(x: Column) -> Column:
+    """The value text is a JSON object or array (not a string that merely
+    starts with a bracket, like ``[Clostridium] difficile``)."""
+    return (x.startswith("{") & F.json_object_keys(x).isNotNull()) | (
+        x.startswith("[") & F.json_array_length(x).isNotNull()
+    )
+
+
 def _strings(prop: str) -> Column:
-    return F.filter(_values(prop), lambda x: x.isNotNull() & ~x.startswith("{") & ~x.startswith("["))
+    return F.filter(_values(prop), lambda x: x.isNotNull() & ~_is_nested(x))
 
 
 def _claim_count(prop: str) -> Column:

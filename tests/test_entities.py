@@ -32,7 +32,8 @@ def dump_lines():
         entity("Q3", {"P31": [snak(item("Q5"))], "P279": [snak(item("Q16521"))], "P685": [snak("3")]}),
         entity("Q5", {"P31": TAXON, "P846": [snak("1"), snak("2")], "P685": [snak("55")]}),  # two GBIF claims
         entity("Q6", {"P31": TAXON, "P685": [{"mainsnak": {"snaktype": "novalue"}}], "P846": [snak("6")]}),
-        entity("Q7", {"P31": TAXON, "P225": [snak("a"), snak("b")], "P846": [snak("7")]}),  # two names, no rank
+        entity("Q7", {"P31": TAXON, "P225": [snak("a"), snak("[Clostridium] b")], "P846": [snak("7")]}),  # two names, no rank
+        entity("Q9", {"P31": TAXON, "P225": [snak({"text": "x", "language": "en"})], "P846": [snak("9")]}),  # non-string name
         entity("Q8", {"P31": TAXON, "P105": [dict(snak(item("Q7432")), qualifiers={"P105": [snak(item("Q1"))]})],
                       "P846": [snak("8")]}),  # rank key also inside a qualifier
     ]
@@ -60,12 +61,13 @@ def test_prefilter(dump):
 
 def test_strict_rules(dump):
     t = terms(dump)
-    assert set(t) == {"Q140", "Q5", "Q6", "Q7", "Q8"}  # Q2 (two P31) and Q3 (not a taxon) drop
+    assert set(t) == {"Q140", "Q5", "Q6", "Q7", "Q8", "Q9"}  # Q2 (two P31) and Q3 (not a taxon) drop
     assert t["Q140"].sameAsIds == ["NCBI:9689", "GBIF:5219404"]
     assert t["Q140"].names == ["Panthera leo"] and t["Q140"].rankIds == ["Q7432"] and t["Q140"].parentIds == ["Q127960"]
     assert t["Q5"].sameAsIds == ["NCBI:55"]  # two GBIF claims give none
     assert t["Q6"].sameAsIds == ["GBIF:6"]  # a claim without a value gives nothing
-    assert t["Q7"].names == ["a", "b"] and t["Q7"].rankIds == []
+    assert t["Q7"].names == ["a", "[Clostridium] b"] and t["Q7"].rankIds == []
+    assert t["Q9"].names == []
     assert t["Q8"].rankIds == ["Q7432"]  # claims mode reads the claim only
 
 
@@ -81,9 +83,9 @@ def test_links_and_reports(dump):
     links = {(r.entity, r.ext) for r in EN.entity_links(tt).collect()}
     assert ("Q140", "NCBI:9689") in links
     names = {r.id: (r.n_values, r.joined) for r in EN.multi_valued(tt, "names").collect()}
-    assert names == {"Q7": (2, "a|b")}
+    assert names == {"Q7": (2, "a|[Clostridium] b")}
     hist = {r.n_ids: r.n_entities for r in EN.same_as_histogram(tt).collect()}
-    assert hist == {2: 1, 1: 4}
+    assert hist == {2: 1, 1: 5}
 
 
 def test_malformed_line_fails(spark, tmp_path):
