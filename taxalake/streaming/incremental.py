@@ -39,12 +39,23 @@ def _run(df: DataFrame, out: str, checkpoint: str, partition_by=()) -> int:
     )
     if partition_by:
         w = w.partitionBy(*partition_by)
-    q = w.start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    progress = q.recentProgress
-    return int(sum(p.get("numInputRows", 0) for p in progress))
+    # keep every batch's progress for the count (Spark keeps the last 100 by
+    # default and reads the setting at each update), restored afterwards
+    key = "spark.sql.streaming.numRecentProgressUpdates"
+    spark = df.sparkSession
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "1000000")
+    try:
+        q = w.start()
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+        return int(sum(p.get("numInputRows", 0) for p in q.recentProgress))
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def new_tiles_stream(

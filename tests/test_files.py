@@ -93,3 +93,13 @@ def test_incremental_reruns(spark, tiles, mirror, tmp_path):
     (mirror / "bc9_djvu.txt").write_text("new")
     assert sideload_new_texts(spark, str(mirror), tout, checkpoint=tck) == 1
     assert {r.barcode for r in spark.read.parquet(tout).collect()} == {"bc1", "bc3", "bc9"}
+
+
+def test_incremental_count_over_many_batches(spark, tmp_path):
+    d = tmp_path / "many"
+    d.mkdir()
+    for i in range(130):
+        (d / f"N{i % 60:02d}E{i:03d}.hgt").write_bytes(tile_bytes(3))
+    out, ck = str(tmp_path / "cells"), str(tmp_path / "ck")
+    assert convert_new_tiles(spark, str(d), out, ck, samples=3, max_files_per_batch=1) == 130
+    assert spark.read.parquet(out).count() == 130 * 9
