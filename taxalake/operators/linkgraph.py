@@ -287,6 +287,104 @@ def conflict_members(comps: DataFrame, stats: DataFrame, key_len: int) -> DataFr
     return composite_ids(comps).join(conflicted, "composite", "inner")
 
 
+# ---------------------------------------------------------------- composites without key strings
+
+
+def _pipes(c: Column) -> Column:
+    """Number of ``|``-separated parts a term adds to a composite key."""
+    return (F.length(c) - F.length(F.regexp_replace(c, r"\|", "")) + 1).cast("bigint")
+
+
+def _h(c: Column, seed: int) -> Column:
+    return F.xxhash64(c, F.lit(seed)).cast("decimal(38,0)")
+
+
+def composite_signatures(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
+    """One row per (id, GLOBI term): the composite identified without its key.
+
+    The other terms of an id are summarised by aggregates only: their count,
+    two sums of independent 64-bit hashes (weighted by multiplicity, exact
+    decimals, so no overflow) and their number of key parts. Equal multisets
+    give equal signatures; different ones collide with probability ~2^-128.
+    No array and no key string is built, so an id with many GLOBI terms and
+    many other terms costs (GLOBI terms) rows, not (GLOBI x other) terms.
+    Output: ext, g, n_links, n_others, s1, s2, only_other (the other term
+    when there is exactly one), key_length.
+    """
+    tc = _term_counts(links, schemes)
+    is_globi = F.col("term").startswith(SOURCE_GLOBI)
+    m = F.col("mult")
+    others = (
+        tc.where(~is_globi)
+        .groupBy("ext")
+        .agg(
+            F.sum(m).alias("n_others"),
+            F.sum(_h(F.col("term"), 1) * m).alias("s1"),
+            F.sum(_h(F.col("term"), 2) * m).alias("s2"),
+            F.sum(_pipes(F.col("term")) * m).alias("parts"),
+            F.min("term").alias("_min_other"),
+        )
+    )
+    g = tc.where(is_globi).select("ext", F.col("term").alias("g"), F.col("mult").cast("bigint").alias("n_links"))
+    j = g.join(others, "ext", "left")
+    zero = F.lit(0).cast("decimal(38,0)")
+    return j.select(
+        "ext",
+        "g",
+        "n_links",
+        F.coalesce("n_others", F.lit(0)).cast("bigint").alias("n_others"),
+        F.coalesce("s1", zero).alias("s1"),
+        F.coalesce("s2", zero).alias("s2"),
+        F.when(F.col("n_others") == 1, F.col("_min_other")).alias("only_other"),
+        (F.coalesce("parts", F.lit(0)) + _pipes(F.col("g"))).cast("bigint").alias("key_length"),
+    )
+
+
+_SIG = ("g", "n_others", "s1", "s2")
+
+
+def signature_stats(sigs: DataFrame) -> DataFrame:
+    """Per composite (by signature): n_ids, repeats, key_length, and the key
+    itself when it is short (key length 1 or 2), else null."""
+    short_key = F.when(
+        F.col("n_others") == 0, F.col("g")
+    ).when(F.col("n_others") == 1, F.array_join(F.array_sort(F.array(F.col("only_other"), F.col("g"))), "|"))
+    return sigs.groupBy(*_SIG).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_ids"),
+        (F.count(F.lit(1)) - F.count_distinct(prefix_of("ext"))).cast("bigint").alias("repeats"),
+        F.max("key_length").alias("key_length"),
+        F.max(short_key).alias("short_key"),
+    )
+
+
+def conflicts_by_key_length_fast(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
+    """``conflicts_by_key_length`` without building any composite key."""
+    stats = signature_stats(composite_signatures(links, schemes))
+    return (
+        stats.where(F.col("repeats") > 0)
+        .groupBy("key_length")
+        .agg(F.count(F.lit(1)).cast("bigint").alias("n_composites"))
+    )
+
+
+def short_conflict_members(links: DataFrame, key_len: int, schemes=DEFAULT_SCHEMES) -> DataFrame:
+    """Conflict export for key length 1 or 2 (the reference's two exports),
+    long form (composite, ext, repeats, key_length), keys built only for the
+    exported composites, which hold at most one other term."""
+    sigs = composite_signatures(links, schemes)
+    return short_members(sigs, signature_stats(sigs), key_len)
+
+
+def short_members(sigs: DataFrame, stats: DataFrame, key_len: int) -> DataFrame:
+    """``short_conflict_members`` from signatures and their stats."""
+    if key_len not in (1, 2):
+        raise ValueError("short keys are of length 1 or 2; use conflict_members for longer keys")
+    hit = stats.where((F.col("repeats") > 0) & (F.col("key_length") == key_len))
+    return sigs.join(hit.select(*_SIG, "repeats", "short_key"), list(_SIG), "inner").select(
+        F.col("short_key").alias("composite"), "ext", "repeats", "key_length"
+    )
+
+
 def pipe_joined_ids(members: DataFrame) -> DataFrame:
     """Reference TSV shape (composite, ids joined by ``|``, repeats, key_length).
 

@@ -117,19 +117,18 @@ def composite_conflicts(spark, sf):
 
 @query
 def conflicts_by_key_length(spark, sf):
-    return LG.conflicts_by_key_length(LG.composite_stats(_composites(spark, sf)))
+    # by composite signature: no key strings are built
+    return LG.conflicts_by_key_length_fast(links_of(spark, sf))
 
 
 @query
 def conflicts_pair(spark, sf):
-    c = _composites(spark, sf)
-    return LG.conflict_members(c, LG.composite_stats(c), 2)
+    return LG.short_conflict_members(links_of(spark, sf), 2)
 
 
 @query
 def conflicts_single(spark, sf):
-    c = _composites(spark, sf)
-    return LG.conflict_members(c, LG.composite_stats(c), 1)
+    return LG.short_conflict_members(links_of(spark, sf), 1)
 
 
 # ---------------------------------------------------------------- entity dump

@@ -95,13 +95,17 @@ def analyze_taxon_graphs(
     out: str,
     schemes=LG.DEFAULT_SCHEMES,
     joined_exports: bool = False,
+    with_composites: bool = False,
 ) -> dict[str, str]:
-    """Three graphs -> links -> coverage, Venn breakdowns, composites, conflicts.
+    """Three graphs -> links -> coverage, Venn breakdowns, conflicts.
 
     The link union and the per-id profile are written once and every report
-    reads them back. ``joined_exports=True`` writes the conflict exports in
-    the reference's shape (ids of a composite joined with ``|`` on one line);
-    the default writes one row per (composite, id).
+    reads them back. Conflicts are found by composite signature, so no
+    composite key string is built except for the exported (short) keys;
+    ``with_composites=True`` also writes every composite with its full key.
+    ``joined_exports=True`` writes the conflict exports in the reference's
+    shape (ids of a composite joined with ``|`` on one line); the default
+    writes one row per (composite, id).
     """
     wd = spark.read.parquet(wd_links).toDF("entity", "ext")
     ott = read_pipe_table(spark, ott_taxonomy)
@@ -119,14 +123,18 @@ def analyze_taxon_graphs(
         "vennByScheme": LG.venn_by_scheme(profile),
         "idsByScheme": LG.ids_by_scheme(profile),
     }
-    comps = SN.materialize(LG.composites(links, schemes), _out(out, "composites.parquet"))
-    stats = SN.materialize(LG.composite_stats(comps), _out(out, "compositeStats.parquet"))
-    reports["conflictsByKeyLength"] = LG.conflicts_by_key_length(stats)
+    sigs = SN.materialize(LG.composite_signatures(links, schemes), _out(out, "compositeSignatures.parquet"))
+    stats = SN.materialize(LG.signature_stats(sigs), _out(out, "compositeStats.parquet"))
+    reports["conflictsByKeyLength"] = (
+        stats.where("repeats > 0").groupBy("key_length").count().withColumnRenamed("count", "n_composites")
+    )
+    if with_composites:
+        reports["composites"] = LG.composites(links, schemes)
     for name, df in reports.items():
         paths[name] = _out(out, f"{name}.parquet")
         df.write.mode("overwrite").parquet(paths[name])
     for name, klen in (("duplicatesWithCompositeKeyPair", 2), ("duplicatesWithCompositeKeySingleton", 1)):
-        members = LG.conflict_members(comps, stats, klen)
+        members = LG.short_members(sigs, stats, klen)
         rows = LG.pipe_joined_ids(members).select("composite", "ids", "repeats", "key_length") if joined_exports else members
         paths[name] = SN.export_delimited(rows, _out(out, f"{name}.tsv"), header=False)
     return paths
@@ -227,6 +235,7 @@ def main(argv=None) -> None:
     a.add_argument("--globi-map", required=True)
     a.add_argument("--out", required=True)
     a.add_argument("--joined-exports", action="store_true")
+    a.add_argument("--with-composites", action="store_true", help="also write every composite with its full key")
     i = sub.add_parser("ingest-items")
     i.add_argument("--items", required=True)
     i.add_argument("--mirror")
@@ -257,7 +266,10 @@ def main(argv=None) -> None:
     elif args.job == "merge":
         res = merge_taxon_graphs(spark, args.terms, args.taxon_map, args.taxon_cache, args.out)
     elif args.job == "analyze":
-        res = analyze_taxon_graphs(spark, args.wd_links, args.ott, args.globi_map, args.out, joined_exports=args.joined_exports)
+        res = analyze_taxon_graphs(
+            spark, args.wd_links, args.ott, args.globi_map, args.out,
+            joined_exports=args.joined_exports, with_composites=args.with_composites,
+        )
     elif args.job == "ingest-items":
         res = ingest_items(spark, args.items, args.mirror, args.out, args.budget, sample=args.sample, subjects=args.subjects)
     elif args.job == "load-records":

@@ -58,3 +58,33 @@ def test_rewire_hot_resolved_id(spark):
     )
     out = MG.rewire(gmap, terms)
     assert out.count() == 1000 + 1  # every row of the hot id, plus GBIF:2
+
+
+def test_signature_path_with_hub(spark):
+    """A hub id with 300 GLOBI terms and 3000 distinct other terms: the
+    signature path builds no key strings and agrees with the string path."""
+    hub_g = spark.range(300).select(F.lit("NCBI:7").alias("ext"), F.concat(F.lit("GLOBI:h"), F.col("id").cast("string"), F.lit("@z")).alias("term"))
+    hub_o = spark.range(3000).select(F.lit("NCBI:7").alias("ext"), F.concat(F.lit("OTT:"), F.col("id").cast("string")).alias("term"))
+    links = hot_links(spark).unionByName(hub_g).unionByName(hub_o)
+    fast = sorted(map(tuple, LG.conflicts_by_key_length_fast(links).collect()))
+    slow = sorted(map(tuple, LG.conflicts_by_key_length(LG.composite_stats(LG.composites(links))).collect()))
+    assert fast == slow
+    sigs = LG.composite_signatures(links).where(F.col("ext") == "NCBI:7").collect()
+    assert len(sigs) == 300 and {r.key_length for r in sigs} == {3001} and {r.n_others for r in sigs} == {3000}
+    for k in (1, 2):
+        comps = LG.composites(links)
+        slow_m = sorted(map(tuple, LG.conflict_members(comps, LG.composite_stats(comps), k).select("composite", "ext", "repeats", "key_length").collect()))
+        assert sorted(map(tuple, LG.short_conflict_members(links, k).collect())) == slow_m
+
+
+def test_signature_path_golden(spark):
+    from test_linkgraph import GOLDEN
+
+    links = []
+    for key, ids, _, _ in GOLDEN:
+        for ext in ids.split("|"):
+            for term in key.split("|"):
+                links.append((ext, term))
+    df = spark.createDataFrame(links, "ext string, term string")
+    got = {(r.composite, r.repeats, r.key_length) for r in LG.short_conflict_members(df, 2).collect()}
+    assert got == {(k, r, n) for k, _, r, n in GOLDEN}
