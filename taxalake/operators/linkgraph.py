@@ -16,6 +16,9 @@ Scale notes
   other terms, so its size is the size of the result itself.
 * Composite membership stays in long form ``(composite, ext)``; group-level
   numbers come from two-level aggregates, never from collected id lists.
+* Conflict counts and the short-key exports identify a composite by
+  (GLOBI term, signature of the other terms) and build no key strings
+  (``composite_signatures``), so a hub id costs one row per GLOBI term.
 """
 
 from __future__ import annotations
