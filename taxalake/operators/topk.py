@@ -54,31 +54,50 @@ def first_rows(df: DataFrame, n: int, funnel_rows: int = FUNNEL_ROWS) -> DataFra
     return numbered.where(F.col("_mid") < F.lit(bound)).drop("_mid")
 
 
-def top_n(df: DataFrame, order: str, n: int, ascending: bool = True, funnel_rows: int = FUNNEL_ROWS) -> DataFrame:
-    """The first ``n`` rows by ``order`` (ties at the boundary: any of them).
+def _bound_from_sample(df: DataFrame, order: str, frac: float, total: int, ascending: bool):
+    """Key of the row at fraction ``frac`` in sort order, estimated on a
+    Bernoulli sample of about 20,000 rows (any orderable type)."""
+    rate = min(1.0, 20_000 / total)
+    m = max(1, int(frac * total * rate))
+    key = F.col(order)
+    s = df.select(order).where(key.isNotNull()).sample(False, rate, seed=17)
+    first = s.orderBy(key.asc() if ascending else key.desc()).limit(m)
+    return first.agg((F.max(order) if ascending else F.min(order)).alias("b")).first().b
 
-    Large case, for numeric and date/time keys: an approximate percentile
-    gives a bound that a count confirms holds at least ``n`` rows (the
-    fraction doubles until it does), every task filters by the bound, and
-    the exact top-``n`` runs over the rows that pass (about ``n``).
+
+def top_n(df: DataFrame, order, n: int, ascending: bool = True, funnel_rows: int = FUNNEL_ROWS) -> DataFrame:
+    """The first ``n`` rows by ``order`` (a column or a list of columns; ties
+    at the boundary: any of them). With several columns the bound is on the
+    first one: every row of the first ``n`` has a first key at most the bound.
+
+    Large case: a bound on the key (an approximate percentile for numbers and
+    dates, a sample's order statistic for other types) that a count confirms
+    holds at least ``n`` rows (the fraction doubles until it does); every task
+    filters by the bound, and the exact top-``n`` runs over the rows that pass
+    (about ``n``).
     """
+    cols = [order] if isinstance(order, str) else list(order)
+    order = cols[0]
     key: Column = F.col(order)
-    sort_key = key.asc() if ascending else key.desc()
-    orderable = isinstance(df.schema[order].dataType, _ORDERABLE)
-    if not orderable or n * _partitions(df) <= funnel_rows:
-        return df.orderBy(sort_key).limit(n)
+    sort_key = [F.col(c).asc() if ascending else F.col(c).desc() for c in cols]
+    if n * _partitions(df) <= funnel_rows:
+        return df.orderBy(*sort_key).limit(n)
     total = df.count()
     if total <= n:
-        return df.orderBy(sort_key)
+        return df.orderBy(*sort_key)
+    numeric = isinstance(df.schema[order].dataType, _ORDERABLE)
     frac = min(1.0, 1.1 * n / total + 1e-4)
     while frac < 1.0:
-        p = frac if ascending else 1.0 - frac
-        bound = df.agg(F.percentile_approx(order, p, 10_000).alias("b")).first().b
+        if numeric:
+            p = frac if ascending else 1.0 - frac
+            bound = df.agg(F.percentile_approx(order, p, 10_000).alias("b")).first().b
+        else:
+            bound = _bound_from_sample(df, order, frac, total, ascending)
         if bound is None:
             break
         # ascending puts nulls first, descending puts them last (Spark's defaults)
         cond = (key.isNull() | (key <= F.lit(bound))) if ascending else key >= F.lit(bound)
         if df.where(cond).count() >= n:
-            return df.where(cond).orderBy(sort_key).limit(n)
+            return df.where(cond).orderBy(*sort_key).limit(n)
         frac = min(1.0, frac * 2)
-    return df.orderBy(sort_key).limit(n)  # the bound would keep every row anyway
+    return df.orderBy(*sort_key).limit(n)  # the bound would keep every row anyway

@@ -56,12 +56,7 @@ def write_editions(
     written = {"all": full}
     src = spark.read.parquet(full)
     for label, n in sizes.items():
-        if order and len(order) == 1:
-            part = top_n(src, order[0], n)
-        elif order:
-            part = src.orderBy(*order).limit(n)
-        else:
-            part = first_rows(src, n)
+        part = top_n(src, list(order), n) if order else first_rows(src, n)
         written[label] = write_snapshot(part, snapshot_name(base, name, stamp, label), overwrite)
     return written
 

@@ -36,3 +36,21 @@ def test_top_n_with_null_keys(spark, funnel):
     assert desc == [995, 996, 997, 998, 999]
     alln = top_n(df, "k", 950, ascending=False, funnel_rows=funnel).collect()
     assert len(alln) == 950 and sum(r.k is None for r in alln) == 50
+
+
+@pytest.mark.parametrize("funnel", [10**9, 0])
+def test_top_n_string_key(spark, funnel):
+    df = spark.range(0, 30_000, numPartitions=6).select(F.format_string("k%06d", (F.col("id") * 7919) % 30_000).alias("k"))
+    for n in (10, 2500):
+        got = sorted(r.k for r in top_n(df, "k", n, funnel_rows=funnel).collect())
+        assert got == [f"k{i:06d}" for i in range(n)]
+        got = sorted(r.k for r in top_n(df, "k", n, ascending=False, funnel_rows=funnel).collect())
+        assert got == [f"k{i:06d}" for i in range(30_000 - n, 30_000)]
+
+
+@pytest.mark.parametrize("funnel", [10**9, 0])
+def test_top_n_two_columns(spark, funnel):
+    df = spark.range(0, 5000, numPartitions=4).select((F.col("id") % 50).alias("a"), (F.col("id") * 31 % 5000).alias("b"))
+    want = sorted(((r.a, r.b) for r in df.collect()))[:777]
+    got = sorted((r.a, r.b) for r in top_n(df, ["a", "b"], 777, funnel_rows=funnel).collect())
+    assert got == want
