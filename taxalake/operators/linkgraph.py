@@ -246,19 +246,30 @@ def composite_ids(comps: DataFrame) -> DataFrame:
     return comps.select("composite", "ext").distinct()
 
 
-def composite_stats(comps: DataFrame) -> DataFrame:
+def _n_prefixes(schemes) -> Column:
+    """Distinct id prefixes in a group whose ids all have whitelisted schemes:
+    one max-flag per scheme (plain hash aggregate, no distinct aggregate)."""
+    p = prefix_of("ext")
+    total = F.lit(0)
+    for sc in dict.fromkeys(schemes):
+        total = total + F.max((p == sc).cast("int"))
+    return total
+
+
+def composite_stats(comps: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
     """Per composite: n_ids, repeats (ids minus distinct id prefixes), key_length.
 
-    The distinct-prefix count is aggregated on (composite, prefix) map-side
-    before the shuffle on the composite, so a composite that covers a large
-    share of all ids sends one row per partition, not its ids.
+    ``schemes`` is the whitelist the composites were built with; distinct
+    prefixes are counted with one max-flag per scheme, so the aggregate is
+    combined map-side and a composite that covers a large share of all ids
+    sends one row per partition, not its ids.
     """
     return (
         composite_ids(comps)
         .groupBy("composite")
         .agg(
             F.count(F.lit(1)).cast("bigint").alias("n_ids"),
-            (F.count(F.lit(1)) - F.count_distinct(prefix_of("ext"))).cast("bigint").alias("repeats"),
+            (F.count(F.lit(1)) - _n_prefixes(schemes)).cast("bigint").alias("repeats"),
             key_length(F.col("composite")).alias("key_length"),
         )
     )
@@ -346,7 +357,7 @@ def composite_signatures(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame
 _SIG = ("g", "n_others", "s1", "s2")
 
 
-def signature_stats(sigs: DataFrame) -> DataFrame:
+def signature_stats(sigs: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
     """Per composite (by signature): n_ids, repeats, key_length, and the key
     itself when it is short (key length 1 or 2), else null."""
     short_key = F.when(
@@ -354,7 +365,7 @@ def signature_stats(sigs: DataFrame) -> DataFrame:
     ).when(F.col("n_others") == 1, F.array_join(F.array_sort(F.array(F.col("only_other"), F.col("g"))), "|"))
     return sigs.groupBy(*_SIG).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_ids"),
-        (F.count(F.lit(1)) - F.count_distinct(prefix_of("ext"))).cast("bigint").alias("repeats"),
+        (F.count(F.lit(1)) - _n_prefixes(schemes)).cast("bigint").alias("repeats"),
         F.max("key_length").alias("key_length"),
         F.max(short_key).alias("short_key"),
     )
@@ -362,7 +373,7 @@ def signature_stats(sigs: DataFrame) -> DataFrame:
 
 def conflicts_by_key_length_fast(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
     """``conflicts_by_key_length`` without building any composite key."""
-    stats = signature_stats(composite_signatures(links, schemes))
+    stats = signature_stats(composite_signatures(links, schemes), schemes)
     return (
         stats.where(F.col("repeats") > 0)
         .groupBy("key_length")
@@ -375,7 +386,7 @@ def short_conflict_members(links: DataFrame, key_len: int, schemes=DEFAULT_SCHEM
     long form (composite, ext, repeats, key_length), keys built only for the
     exported composites, which hold at most one other term."""
     sigs = composite_signatures(links, schemes)
-    return short_members(sigs, signature_stats(sigs), key_len)
+    return short_members(sigs, signature_stats(sigs, schemes), key_len)
 
 
 def short_members(sigs: DataFrame, stats: DataFrame, key_len: int) -> DataFrame:

@@ -124,7 +124,7 @@ def analyze_taxon_graphs(
         "idsByScheme": LG.ids_by_scheme(profile),
     }
     sigs = SN.materialize(LG.composite_signatures(links, schemes), _out(out, "compositeSignatures.parquet"))
-    stats = SN.materialize(LG.signature_stats(sigs), _out(out, "compositeStats.parquet"))
+    stats = SN.materialize(LG.signature_stats(sigs, schemes), _out(out, "compositeStats.parquet"))
     reports["conflictsByKeyLength"] = (
         stats.where("repeats > 0").groupBy("key_length").count().withColumnRenamed("count", "n_composites")
     )
