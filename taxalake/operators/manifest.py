@@ -42,7 +42,12 @@ def missing_manifest(
         F.when(F.col("key").isNull(), F.lit("null key")).alias("problem"),
     )
     if present is not None:
-        specs = specs.join(present.select("file").distinct(), "file", "left_anti")
+        # null keys give null names that match nothing: keep them out of the
+        # shuffle (one task would get them all) and add them back
+        named = specs.where(F.col("file").isNotNull())
+        specs = named.join(present.select("file").distinct(), "file", "left_anti").unionByName(
+            specs.where(F.col("file").isNull())
+        )
     return specs
 
 

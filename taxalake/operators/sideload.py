@@ -16,8 +16,14 @@ def sideload_text(items: DataFrame, texts: DataFrame, key: str = "barcode", text
     to a broadcast only when the text side proves small at run time.
     """
     text_key = text_key or key
-    t = texts.select(F.col(text_key).alias("_tkey"), F.col(text).alias(out))
-    return items.join(t, items[key] == t["_tkey"], "left").drop("_tkey")
+    t = texts.select(F.col(text_key).alias("_tkey"), F.col(text).alias(out)).where(F.col("_tkey").isNotNull())
+    k = F.col(key)
+    # rows without a key cannot match: they skip the shuffle instead of all
+    # hashing to one task (a third of the items may lack a key)
+    keyed = items.where(k.isNotNull())
+    joined = keyed.join(t, keyed[key] == t["_tkey"], "left").drop("_tkey")
+    unkeyed = items.where(k.isNull()).withColumn(out, F.lit(None).cast("string"))
+    return joined.unionByName(unkeyed)
 
 
 def text_coverage(df: DataFrame, text: str = "ocrtext") -> DataFrame:

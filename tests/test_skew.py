@@ -88,3 +88,19 @@ def test_signature_path_golden(spark):
     df = spark.createDataFrame(links, "ext string, term string")
     got = {(r.composite, r.repeats, r.key_length) for r in LG.short_conflict_members(df, 2).collect()}
     assert got == {(k, r, n) for k, _, r, n in GOLDEN}
+
+
+def test_sideload_null_keys_skip_the_join(spark):
+    from taxalake.operators.sideload import sideload_text
+
+    items = spark.range(3000).select(
+        F.col("id").alias("itemid"),
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("bc"), F.col("id").cast("string"))).alias("barcode"),
+    )
+    texts = spark.range(0, 3000, 2).select(F.concat(F.lit("bc"), F.col("id").cast("string")).alias("barcode"), F.lit("t").alias("text"))
+    out = sideload_text(items, texts)
+    assert out.count() == 3000
+    assert out.where(F.col("barcode").isNull() & F.col("ocrtext").isNull()).count() == 1000
+    assert out.where(F.col("ocrtext") == "t").count() == 1000  # even ids not divisible by 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan
