@@ -52,8 +52,11 @@ def missing_manifest(
 
 
 def only_new(units: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Units whose key has no output yet (idempotent rerun)."""
-    return units.join(done.select(key).distinct(), key, "left_anti")
+    """Units whose key has no output yet (idempotent rerun). Units without a
+    key are never done; they bypass the anti join's shuffle."""
+    k = F.col(key)
+    keyed = units.where(k.isNotNull()).join(done.select(key).where(k.isNotNull()).distinct(), key, "left_anti")
+    return keyed.unionByName(units.where(k.isNull()))
 
 
 def listing_links(
