@@ -104,11 +104,15 @@ def export_delimited(
 
     ``single_file=True`` writes one file (everything passes through one task:
     small reports only). For a large sorted export leave it off: ``sort_by``
-    range-partitions and sorts, and the part files concatenate in order.
+    range-partitions and sorts (other columns break ties), and the part files
+    concatenate in order.
     """
     out = df
     if sort_by:
-        out = out.orderBy(*sort_by)
+        # the other columns break ties, so range partitions can split a key
+        # that holds many rows instead of giving it to one writer task
+        ties = [c for c in df.columns if c not in sort_by]
+        out = out.orderBy(*sort_by, *ties)
     if single_file:
         out = out.coalesce(1)
     out.write.mode("overwrite").option("sep", sep).option("header", header).csv(path)

@@ -69,3 +69,22 @@ def test_manifest_and_only_new(spark):
     units = spark.createDataFrame([("N10E020",), ("S10W020",)], "tile string")
     done = spark.createDataFrame([("N10E020",)], "tile string")
     assert [r.tile for r in only_new(units, done, "tile").collect()] == ["S10W020"]
+
+
+def test_sorted_export_splits_a_hot_key(spark, tmp_path):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") < 10_000, F.lit("HOT")).otherwise(F.format_string("k%05d", F.col("id"))).alias("id"),
+        F.format_string("n%05d", F.col("id")).alias("name"),
+    )
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # small data: keep the 8 range partitions apart
+    try:
+        p = SN.export_delimited(df.repartition(8), str(tmp_path / "sorted.tsv"), sort_by=["id"])
+    finally:
+        spark.conf.set(key, before)
+    parts = sorted(f for f in (tmp_path / "sorted.tsv").iterdir() if f.name.startswith("part-"))
+    hot_files = [f for f in parts if "HOT" in f.read_text()]
+    assert len(hot_files) > 1  # the hot key is spread over several part files
+    back = [ln.split("\t")[0] for f in parts for ln in f.read_text().splitlines()[1:]]
+    assert back == sorted(back)  # part files concatenate in order
