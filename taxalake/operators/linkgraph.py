@@ -323,7 +323,10 @@ def composite_signatures(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame
     No array and no key string is built, so an id with many GLOBI terms and
     many other terms costs (GLOBI terms) rows, not (GLOBI x other) terms.
     Output: ext, g, n_links, n_others, s1, s2, only_other (the other term
-    when there is exactly one), key_length.
+    when there is exactly one), key_length. The key length counts the
+    ``|``-parts of every term; it equals the split of the key string except
+    when the last sorted term ends in ``|`` (Java's split drops that empty
+    tail).
     """
     tc = _term_counts(links, schemes)
     is_globi = F.col("term").startswith(SOURCE_GLOBI)

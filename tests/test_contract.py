@@ -51,6 +51,15 @@ def test_no_row_at_a_time_python(spark, name):
     """Only the raster decoder may leave the JVM, and only through Arrow batches."""
     plan = plan_of(E.queries()[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    # no all-pairs joins, no funnel of a whole input into one partition: a
+    # single-partition exchange may only carry partial aggregates (one row per
+    # partition into a global aggregate)
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "CollectLimit"):
+        assert bad not in plan, bad
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            assert "partial_" in lines[i + 1], lines[i + 1]
 
 
 def test_composites_one_scan_no_join(spark):
