@@ -30,8 +30,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["coverage_report", "venn_by_scheme", "conflicts_by_key_length", "entity_terms",
-                                  "merge_map", "error_budget", "listing_links", "grid_cells"])
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
 def test_oracle_agreement_small(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     cols = sorted(df.columns)
