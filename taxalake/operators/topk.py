@@ -5,10 +5,10 @@ to one task; ``df.orderBy(k).limit(n)`` keeps a top-``n`` heap per partition
 and merges all heaps in one task. Both cost ``n x partitions`` rows in one
 place, which on a table of many thousand partitions is most of the table.
 
-Here a threshold is found first (from per-partition counts, or from an
-approximate percentile checked by a count), every task filters by it in
-parallel, and only about ``n`` rows reach the final step. When
-``n x partitions`` is small the plain operators are used.
+Here a threshold is found first (from per-partition counts, or a key bound
+from an approximate percentile or a sample, checked by a count), every task
+filters by it in parallel, and only about ``n`` rows reach the final step.
+When ``n x partitions`` is small the plain operators are used.
 """
 
 from __future__ import annotations
