@@ -461,3 +461,65 @@ def tile_name_parse(spark, sf):
 @query
 def grid_cells(spark, sf):
     return GEO.grid_cells(A.embedding_grids(spark, sf), samples=8)
+
+
+# ---------------------------------------------------------------- coverage map
+
+# SURVEY §2 inventory IDs each registered query exercises. Fixture tests
+# only: K3 (stamps), S3 (pipe tables), S6 (keyed text files), S7 (binary
+# tiles); L10 (caching) has no result of its own.
+COVERS: dict[str, str] = {
+    "link_union": "E2 E4 L5 X13 F11 E3 X15 S9",
+    "split_source_ids": "E3 X15",
+    "links_by_source_scheme": "A5 F12 X16",
+    "link_groups": "A6 J5 F12 X16",
+    "ids_by_scheme": "A15",
+    "coverage_report": "A7 A8 A9 A10 A11 A12 A13 X17",
+    "venn_by_scheme": "A14",
+    "composites": "A16 X18 X10",
+    "composite_ids": "A17",
+    "composite_conflicts": "A18 X19 X20",
+    "conflicts_by_key_length": "A19",
+    "conflicts_pair": "A20",
+    "conflicts_single": "A20",
+    "entity_prefilter": "F9 X1 S5",
+    "entity_dump_scan": "S5 F9 X1 X2",
+    "entity_terms": "X2 X3 X4 X5 X7 X8 X9",
+    "entity_links": "E1 X6 K6",
+    "multi_valued_names": "A21 X10 X11",
+    "multi_valued_ranks": "A21",
+    "multi_valued_parents": "A21",
+    "same_as_histogram": "A4 X11",
+    "distinct_entities": "A2 L8",
+    "distinct_ids_by_prefix": "A3 F13",
+    "merge_cache": "E5 F10 X12 X14 X25 L6 L3",
+    "merge_rewire": "E6 J2",
+    "merge_map": "L7 J2 L3",
+    "typed_ingest": "V1 V2 V4 V6",
+    "typed_ingest_required": "V3",
+    "reject_report": "A22 V4",
+    "error_budget": "V5",
+    "row_slice": "V7 L2",
+    "ingest_tsv_roundtrip": "S1 K5",
+    "delimited_roundtrip": "S2 K5 L11",
+    "headerless_csv_scan": "S4",
+    "snapshot_roundtrip": "K1 K2 K7",
+    "snapshot_partition_scan": "K9",
+    "editions_counts": "K4 L1 A1",
+    "edition_ordered": "K4 L1 L2",
+    "sideload_text": "J1",
+    "text_coverage": "F15",
+    "hash_sample": "L4",
+    "missing_manifest": "V8 V9 K8 J3 J4 X24",
+    "listing_links": "S10",
+    "records_scan": "S8 F1 F7 F16",
+    "term_filter": "F2",
+    "as_array_fields": "F3",
+    "boolean_projection": "F14",
+    "field_inventory": "F6",
+    "field_catalog": "F4 F5",
+    "field_drift": "F5 F6 L9",
+    "probe_fields": "F8",
+    "tile_name_parse": "X21",
+    "grid_cells": "X22 X23",
+}

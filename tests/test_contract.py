@@ -65,3 +65,9 @@ def test_composites_one_scan_no_join(spark):
     plan = plan_of(E.queries()["composites"](spark, SF_SMALL))
     assert "Join" not in plan
     assert plan.count("Scan parquet") == 3  # lineitem, part, orders: each read once
+
+
+def test_every_query_lists_its_inventory_ids():
+    from taxalake.plans.catalogue import COVERS
+
+    assert set(COVERS) == set(E.queries())
