@@ -189,16 +189,21 @@ def load_records(
     where: dict | None = None,
     exclude=CT.BAD_RECORD_FIELDS,
     overwrite: bool = False,
+    schema=None,
 ) -> dict[str, str]:
     """Records -> projected (field list from metadata, bad fields left out),
-    filtered -> full snapshot + 100k and 1M editions."""
+    filtered -> full snapshot + 100k and 1M editions.
+
+    Give ``schema`` for JSON or CSV sources: schema inference reads all data.
+    """
     fields = None
     if meta:
         docs = spark.read.text(meta, wholetext=True)
         fields = [r.field for r in CT.catalog_fields(docs).collect()]  # a field list: tiny, metadata only
-        df_cols = set(spark.read.format(fmt).load(src).columns)
+        r = spark.read.format(fmt)
+        df_cols = set((r.schema(schema) if schema is not None else r).load(src).columns)
         fields = [f for f in fields if f.split(".", 1)[0] in df_cols]
-    df = CT.read_records(spark, src, fields=fields, where=where, exclude=exclude, fmt=fmt)
+    df = CT.read_records(spark, src, fields=fields, where=where, exclude=exclude, fmt=fmt, schema=schema)
     return SN.write_editions(df, base, name, stamp, overwrite=overwrite)
 
 
@@ -252,6 +257,7 @@ def main(argv=None) -> None:
     r.add_argument("--stamp", required=True)
     r.add_argument("--where", help='JSON object of exact terms, e.g. {"genus": "acer"}')
     r.add_argument("--media", action="store_true", help="media records: leave out the media list of bad fields")
+    r.add_argument("--schema", help="DDL schema of the source (avoids inference over JSON/CSV)")
     e = sub.add_parser("elevation")
     e.add_argument("--src", required=True)
     e.add_argument("--out", required=True)
@@ -276,7 +282,8 @@ def main(argv=None) -> None:
         where = json.loads(args.where) if args.where else None
         exclude = CT.BAD_MEDIA_FIELDS if args.media else CT.BAD_RECORD_FIELDS
         res = load_records(
-            spark, args.src, args.base, args.name, args.stamp, fmt=args.format, meta=args.meta, where=where, exclude=exclude
+            spark, args.src, args.base, args.name, args.stamp, fmt=args.format, meta=args.meta, where=where,
+            exclude=exclude, schema=args.schema,
         )
     else:
         res = convert_elevation(spark, args.src, args.out, convention=args.convention)
