@@ -98,7 +98,8 @@ def read_records(
     """Records from any Spark source, filtered and projected.
 
     Filters are applied before the projection so Catalyst pushes them into
-    the scan (``PushedFilters``) and reads only the projected columns.
+    the scan (``PushedFilters``) and reads only the projected columns. Give
+    ``schema`` for JSON or CSV sources: inference would read all the data.
     """
     r = spark.read.format(fmt)
     if schema is not None:
