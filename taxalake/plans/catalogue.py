@@ -328,7 +328,8 @@ def snapshot_partition_scan(spark, sf):
         F.col("event_type").alias("source"), F.date_format("ts", "yyyyMMdd").alias("date"),
     )
     base = scratch_path(spark, "events-by-source")
-    SN.write_snapshot(e, base, partition_by=("source", "date"))
+    # at most 8 files per (source, date), a busy day spread over 8 writers
+    SN.write_snapshot(e, base, partition_by=("source", "date"), files_per_partition=8)
     table = spark.read.parquet(base)
     out = SN.latest_snapshot(table, "click")
     return out.select("event_id", "user_id", "value", "props", "source", F.col("date").cast("string").alias("date"))

@@ -25,9 +25,21 @@ def snapshot_name(base: str, name: str, stamp: str, edition: str | None = None)
     return f"{base.rstrip('/')}/{name}-{stamp}{tail}.parquet"
 
 
-def write_snapshot(df: DataFrame, path: str, overwrite: bool = False, partition_by=()) -> str:
+def write_snapshot(
+    df: DataFrame, path: str, overwrite: bool = False, partition_by=(), files_per_partition: int | None = None
+) -> str:
     """Write Parquet; without ``overwrite`` an existing output fails the job
-    (the guard for reruns)."""
+    (the guard for reruns).
+
+    With ``partition_by`` each task writes its own files (no shuffle, many
+    small files). ``files_per_partition=k`` shuffles by the partition columns
+    plus a stable hash bucket in ``[0, k)``: at most ``k`` files per partition
+    value, and a value holding a large share of the rows is spread over ``k``
+    tasks instead of one.
+    """
+    if partition_by and files_per_partition:
+        bucket = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
+        df = df.repartition(*[F.col(c) for c in partition_by], bucket)
     w = df.write.mode("overwrite" if overwrite else "errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)

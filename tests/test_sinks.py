@@ -88,3 +88,20 @@ def test_sorted_export_splits_a_hot_key(spark, tmp_path):
     assert len(hot_files) > 1  # the hot key is spread over several part files
     back = [ln.split("\t")[0] for f in parts for ln in f.read_text().splitlines()[1:]]
     assert back == sorted(back)  # part files concatenate in order
+
+
+def test_bounded_files_per_partition(spark, tmp_path):
+    df = spark.range(6000, numPartitions=12).select(
+        "id", F.when(F.col("id") < 4000, F.lit("hot")).otherwise(F.lit("cold")).alias("source")
+    )
+    base = str(tmp_path / "p")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # small data: AQE would merge the buckets
+    try:
+        SN.write_snapshot(df, base, partition_by=("source",), files_per_partition=3)
+    finally:
+        spark.conf.set(key, before)
+    hot = [f for f in (tmp_path / "p" / "source=hot").iterdir() if f.name.endswith(".parquet")]
+    assert 1 < len(hot) <= 3  # the hot value is written by several tasks, at most 3 files
+    assert spark.read.parquet(base).count() == 6000
