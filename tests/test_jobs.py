@@ -28,7 +28,10 @@ def test_build_merge_analyze(spark, tmp_path):
     ott.write_text("\n".join(rows) + "\n")
     g2 = str(tmp_path / "globiMap.tsv")
     export_delimited(A.globi_taxon_map(spark, SF_SMALL), g2)
-    res = J.analyze_taxon_graphs(spark, built["links"], str(ott), g2, str(tmp_path / "an"), joined_exports=True)
+    res = J.analyze_taxon_graphs(
+        spark, built["links"], str(ott), g2, str(tmp_path / "an"), joined_exports=True, with_composites=True
+    )
+    assert spark.read.parquet(res["composites"]).count() > 0
     cov = spark.read.parquet(res["coverage"]).collect()[0]
     assert cov.total_ids > 0 and cov.all_three > 0
     pair = spark.read.option("sep", "\t").csv(res["duplicatesWithCompositeKeySingleton"])
