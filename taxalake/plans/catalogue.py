@@ -160,7 +160,8 @@ def entity_prefilter(spark, sf):
 def entity_dump_scan(spark, sf):
     """The dump as bz2 text files (many splits), read back as lines and parsed."""
     path = scratch_path(spark, "entity-dump")
-    A.entity_dump_lines(spark, sf).write.option("compression", "bzip2").text(path)
+    lines = SN.spread(A.entity_dump_lines(spark, sf), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    lines.write.option("compression", "bzip2").text(path)
     t = EN.terms_from_lines(read_lines(spark, path))
     return t.select("id", F.array_join("sameAsIds", "|").alias("same_as_ids"), F.size("names").cast("bigint").alias("n_names"))
 
@@ -277,7 +278,8 @@ def ingest_tsv_roundtrip(spark, sf):
     raw = A.raw_items(spark, sf)
     path = scratch_path(spark, "items-tsv")
     cols = ["rn"] + list(ITEM_COLUMNS)
-    SN.export_delimited(raw.select(*cols), path, sep="\t", header=True)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    SN.export_delimited(SN.spread(raw.select(*cols), n), path, sep="\t", header=True)
     back = DL.read_quoted_table(spark, path, cols).withColumn("rn", F.col("rn").cast("bigint"))
     good, _ = V.split_valid(V.type_rows(back, ITEM_RULES))
     return good

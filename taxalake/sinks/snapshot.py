@@ -25,6 +25,15 @@ def snapshot_name(base: str, name: str, stamp: str, edition: str | None = None)
     return f"{base.rstrip('/')}/{name}-{stamp}{tail}.parquet"
 
 
+def spread(df: DataFrame, n: int) -> DataFrame:
+    """At least ``n`` partitions before a write, so compression and file
+    writing run in ``n`` tasks; a DataFrame that already has that many
+    partitions is left as it is (no shuffle)."""
+    from taxalake.operators.topk import _partitions
+
+    return df.repartition(n) if _partitions(df) < n else df
+
+
 def write_snapshot(
     df: DataFrame, path: str, overwrite: bool = False, partition_by=(), files_per_partition: int | None = None
 ) -> str:
