@@ -101,5 +101,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     cache = spark.__dict__.setdefault("_taxalake_tables", {})
     path = table_path(sf_dir, name)
     if path not in cache:
-        cache[path] = spark.read.parquet(path)
+        df = spark.read.parquet(path)
+        # A table stored as one file with one row group is read by one task;
+        # spread such a table so per-row work runs on every core. Tables that
+        # already come in enough splits (any real input) are left alone.
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        from taxalake.sinks.snapshot import spread
+
+        cache[path] = spread(df, n)
     return cache[path]
