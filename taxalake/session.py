@@ -94,6 +94,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def _cores(spark: SparkSession) -> int:
+    """Task slots of the session (its default parallelism)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # no SparkContext access (Spark Connect)
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """A read-only input table. The DataFrame (file listing and footer schema)
     is kept on the session object and reused; every query still reads the
@@ -105,8 +113,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
         # A table stored as one file with one row group is read by one task;
         # spread such a table so per-row work runs on every core. Tables that
         # already come in enough splits (any real input) are left alone.
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         from taxalake.sinks.snapshot import spread
 
-        cache[path] = spread(df, n)
+        cache[path] = spread(df, _cores(spark))
     return cache[path]
