@@ -91,9 +91,7 @@ def coder(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
     )
 
 
-def classify(
-    spark, dictionaries: dict[str, bytes], text: Column, min_margin: float = 0.004, level: int = 5
-) -> Column:
+def classify(dictionaries: dict[str, bytes], text: Column, min_margin: float = 0.004, level: int = 5) -> Column:
     """Struct of lang_pred, score (0 to 1), margin and rejected for ``text``.
 
     ``margin`` is the share of bytes that the best language saves against the second;
@@ -101,11 +99,10 @@ def classify(
     when every saved byte makes a language e times likelier.
     """
     langs = list(dictionaries)
-    model = spark.sparkContext.broadcast([dictionaries[k] for k in langs])
 
     @F.pandas_udf(RESULT)
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coders = [coder(d, level) for d in model.value]
+        coders = [coder(d, level) for d in dictionaries.values()]
 
         def one(s: str | None):
             if s is None or not langs:
@@ -129,12 +126,12 @@ def classify(
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``id_col`` with lang_pred, score, margin and rejected for every row of ``docs``."""
-    found = classify(docs.sparkSession, dictionaries, F.col("text"), **options)
+    found = classify(dictionaries, F.col("text"), **options)
     return docs.select(F.col(id_col), F.col(text).alias("text")).select(id_col, found.alias("found")).select(id_col, "found.*")
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is identified (not rejected)."""
     found = common.fresh(docs, "found")
-    rows = docs.withColumn(found, classify(docs.sparkSession, dictionaries, F.col(text), **options))
+    rows = docs.withColumn(found, classify(dictionaries, F.col(text), **options))
     return rows.where(~F.col(f"{found}.rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,7 +9,8 @@ A class's bigram counts are discounted and back off to the class's continuation
 counts of both classes together, so that a rare expression is judged by counts that the
 classes share.
 
-Counting covers every labelled text, in Spark; it grows with the labels. A word or
+Counting covers every labelled text, in Spark; it grows with the labels. A text counts,
+and is judged by, each of its bigrams once, however often it repeats it. A word or
 bigram gets its own entry if its count is at least 2 and at least ``rarest`` of all
 counted words; all others count as the unknown word or by their backoff. So a model has
 at most 1 / rarest words and as many bigrams whatever the input, and can be broadcast.
@@ -37,6 +38,8 @@ from . import common
 from .words import LETTERS, word_hashes
 
 FLOOR = 1e-9
+#: An expression speaks for a class of its own if it is so many times (as a logarithm) likelier there.
+STRONG = 1.5
 #: Texts are hashed in groups of about so many bytes.
 GROUP = 1 << 22
 
@@ -65,15 +68,15 @@ class Vocabulary:
         return np.where(self.hashes[at] == h, at + 1, 0)
 
 
-def _numbered(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all words: their numbers, their predecessors' (a text's first: the last number + 1), the texts' offsets."""
+def _pairs(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """A key for every word of ``texts`` with the word before it (a text's first has the last
+    number + 1 before it), and the texts' offsets."""
     h, offset = word_hashes(texts, LETTERS)
-    word = vocabulary.numbers(h)
+    word, base = vocabulary.numbers(h), len(vocabulary.hashes) + 2
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    begins = offset[:-1][offset[1:] > offset[:-1]]
-    before[begins] = len(vocabulary.hashes) + 1
-    return word, before, offset
+    before[offset[:-1][offset[1:] > offset[:-1]]] = base - 1
+    return before * base + word, offset
 
 
 def _count(rows: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:
@@ -88,10 +91,10 @@ def _count(rows: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:
                     key, offset = word_hashes(texts[part], LETTERS)
                     key = key.view(np.int64)
                 else:
-                    word, before, offset = _numbered(texts[part], known)
-                    key = before * (len(known.hashes) + 2) + word
-                y = np.repeat(label[part], np.diff(offset))
-                distinct, at = np.unique(key, return_inverse=True)
+                    key, offset = _pairs(texts[part], known)
+                own = [np.unique(key[a:b]) for a, b in zip(offset, offset[1:])]
+                y = np.repeat(label[part], [len(x) for x in own])
+                distinct, at = np.unique(np.concatenate(own), return_inverse=True)
                 n1 = np.bincount(at, y, len(distinct)).astype(np.int64)
                 n = np.bincount(at, minlength=len(distinct)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"key": distinct, "n0": n - n1, "n1": n1})
@@ -113,32 +116,29 @@ class Model:
     context: np.ndarray
     curve: np.ndarray
 
-    def differences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: sum of its words' differences, number of words."""
-        total, count = [], []
+    def inputs(self, texts: list[bytes]) -> np.ndarray:
+        """What the logistic curve sees of each text: 1, the difference of the log-likelihoods per word,
+        the part of it that single expressions above STRONG make, and that part's logarithm as a sum."""
+        out = [np.zeros((0, 4))]
+        base = len(self.vocabulary.hashes) + 2
         for part in _groups(texts):
-            word, before, offset = _numbered(texts[part], self.vocabulary)
-            gain = self.context[before] + self.word[word]
+            key, offset = _pairs(texts[part], self.vocabulary)
+            text = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
+            text, key = np.divmod(np.unique(text * base**2 + key), base**2)
+            offset = np.searchsorted(text, np.arange(len(offset)))
+            gain = self.context[key // base] + self.word[key % base]
             if len(self.keys):
-                key = before * (len(self.vocabulary.hashes) + 2) + word
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 gain = np.where(self.keys[at] == key, self.pair[at], gain)
-            running = np.concatenate(([0.0], np.cumsum(gain)))
-            total.append(running[offset[1:]] - running[offset[:-1]])
-            count.append(np.diff(offset))
-        return np.concatenate(total or [np.zeros(0)]), np.concatenate(count or [np.zeros(0, np.int64)])
+            total, strong = (
+                np.diff(np.concatenate(([0.0], np.cumsum(x)))[offset]) for x in (gain, np.maximum(gain - STRONG, 0))
+            )
+            n = np.maximum(np.diff(offset), 1)
+            out.append(np.stack([np.ones(len(n)), total / n, 10 * strong / n, np.log1p(strong)], axis=1))
+        return np.concatenate(out)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        total, count = self.differences(texts)
-        return 1 / (1 + np.exp(-(_inputs(total, count) @ self.curve)))
-
-
-def _inputs(total: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """What the logistic curve sees: 1 and the length-normalised difference, by the number of words and by its root
-    (the difference of a few expressions stands out by the root of the length)."""
-    n = np.maximum(count, 1)
-    mean = total / n
-    return np.stack([np.ones(len(n)), mean, mean * np.sqrt(n) / 4], axis=1)
+        return 1 / (1 + np.exp(-np.clip(self.inputs(texts) @ self.curve, -30, 30)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 30) -> np.ndarray:
@@ -168,17 +168,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 30) ->
     return w
 
 
-def _class_words(t: np.ndarray, shared: np.ndarray, discount: float) -> np.ndarray:
-    """P(word) of a class: its discounted continuation counts ``t``; the words whose count
-    the discount uses up share what is left in proportion to both classes' counts."""
-    own = np.where(t > discount, t - discount, 0.0)
-    total = max(t.sum(), 1.0)
-    rest = max(1 - own.sum() / total, FLOOR) / max(shared[own == 0].sum(), FLOOR)
-    return np.where(own > 0, own / total, rest * shared)
+def _smooth(counts: np.ndarray, whole: np.ndarray | float, discount: float) -> tuple[np.ndarray, np.ndarray]:
+    """Discounted shares of ``whole`` and, by entry, what the discount takes from each."""
+    own = np.maximum(counts - discount, 0) / whole
+    return own, counts / whole - own
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-        rarest: float = 1e-6, word_discount: float = 4.0, pair_discount: float = 12.0,
+        rarest: float = 1e-6, word_discount: float = 4.0, pair_discount: float = 8.0,
         max_curve_rows: int = 20000) -> Model:
     """A model from all labelled rows: of every five (by a hash of the id), four are counted
     and one fits the logistic curve (of these at most about ``max_curve_rows`` rows).
@@ -216,26 +213,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     context_of, word_of = keys // base, keys % base
     by_class, left, pair_logs = [], [], []
     for c in "01":
-        p = _class_words(spread(by_word, "word", f"t{c}"), shared, word_discount)
+        t = spread(by_word, "word", f"t{c}")
+        own, _ = _smooth(t, max(t.sum(), 1.0), word_discount)
+        p = own + max(1 - own.sum(), FLOOR) * shared
         n, whole = kept[f"n{c}"].to_numpy(float), np.maximum(spread(by_context, "before", f"n{c}"), 1)
-        own = np.where(n > pair_discount, n - pair_discount, 0.0) / whole[context_of]
-        backed = np.maximum(1 - np.bincount(context_of, (own > 0) * p[word_of], base), FLOOR)
-        rest = np.maximum(1 - np.bincount(context_of, own, base), FLOOR) / backed
+        own, _ = _smooth(n, whole[context_of], pair_discount)
+        rest = np.maximum(1 - np.bincount(context_of, own, base), FLOOR)
         by_class.append(np.log(p))
         left.append(np.log(rest))
-        pair_logs.append(np.log(np.where(own > 0, own, rest[context_of] * p[word_of])))
-    model = Model(vocabulary, keys, pair_logs[1] - pair_logs[0], by_class[1] - by_class[0], left[1] - left[0], np.zeros(3))
+        pair_logs.append(np.log(own + rest[context_of] * p[word_of]))
+    model = Model(vocabulary, keys, pair_logs[1] - pair_logs[0], by_class[1] - by_class[0], left[1] - left[0], np.zeros(4))
 
     number = curve_rows.count()
     drawn = curve_rows.where(F.col("u") < max_curve_rows / max(number, 1))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def inputs(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_inputs(*model.differences([(t or "").encode() for t in texts]))))
+        return pd.Series(list(model.inputs([(t or "").encode() for t in texts])))
 
     sample = drawn.select("y", "u", inputs("text").alias("x")).toPandas().sort_values(["u", "y"], kind="stable")
     y = sample["y"].to_numpy(float)
-    model.curve = _logistic(np.array(sample["x"].tolist()).reshape(len(y), 3), y)
+    model.curve = _logistic(np.array(sample["x"].tolist()).reshape(len(y), 4), y)
     return model
 
 
