@@ -1,3 +1,5 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+from . import chat
+
+ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, quality, toxicity
+from . import chat, common, langid, mixing, pseudonyms, quality, simhash, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near."""
+    return simhash.compare(common.read(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, rate, copies, taken of every document."""
+    return mixing.mix(common.read(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
@@ -25,6 +35,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with pseudonyms, kinds (comma separated, in order) and n_found of every document."""
+    found = pseudonyms.apply(common.read(spark, sf_dir, "documents"), key="public")
+    return found.withColumn("kinds", F.array_join("kinds", ","))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score, margin, rejected of every document."""
     docs = common.read(spark, sf_dir, "documents")
@@ -34,8 +50,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every speaker's view of every conversation; spans as text."""
+    found = chat.views(common.read(spark, sf_dir, "conversations"))
+    return found.withColumn("spans", chat.span_text(F.col("spans")))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_fingerprints": op3_fingerprints,
+    "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op8_pseudonyms": op8_pseudonyms,
     "op9_language": op9_language,
+    "op10_chat": op10_chat,
 }
