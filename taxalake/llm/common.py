@@ -34,3 +34,8 @@ def fresh(df: DataFrame, name: str) -> str:
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(modulus)
+
+
+def plain_key(c: Column) -> dict[str, Column]:
+    """Two columns that are equal exactly if the (integer) ids are, a null id equal to a null id."""
+    return {"k": F.coalesce(c.cast("long"), F.lit(0).cast("long")), "z": c.isNull()}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, langid, mixing, pseudonyms, quality, simhash, toxicity
+from . import chat, common, decontaminate, langid, mixing, pseudonyms, quality, simhash, templates, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.compare(common.read(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, distance, budget, start, end of every benchmark item found in a document."""
+    return decontaminate.find(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken of every document."""
     return mixing.mix(common.read(spark, sf_dir, "documents"))
@@ -35,6 +40,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without the lines of recurring templates, n_lines, n_dropped of every document."""
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return templates.dedup(docs)
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text with pseudonyms, kinds (comma separated, in order) and n_found of every document."""
     found = pseudonyms.apply(common.read(spark, sf_dir, "documents"), key="public")
@@ -59,8 +70,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality": op1_quality,
     "op3_fingerprints": op3_fingerprints,
+    "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_lines": op7_lines,
     "op8_pseudonyms": op8_pseudonyms,
     "op9_language": op9_language,
     "op10_chat": op10_chat,

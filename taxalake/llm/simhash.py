@@ -89,10 +89,6 @@ def near(queries: DataFrame, points: DataFrame, radius: int = 3, blocks: int = 5
     return q.join(p, meets & (F.bit_count(apart) <= radius) & (first == F.col("q.t"))).select("query", "point")
 
 
-def _key(c: Column) -> dict[str, Column]:
-    return {"k": F.coalesce(c.cast("long"), F.lit(0).cast("long")), "z": c.isNull()}
-
-
 def next_ids(ids: DataFrame) -> DataFrame:
     """``id`` and ``next_id`` for distinct ids, descending, null last, the last followed by the first.
 
@@ -116,13 +112,13 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     lengths = rows.groupBy("id").agg(F.max(F.char_length("text")).alias("n"))
     link = next_ids(lengths.select("id")).alias("l")
-    sizes = lengths.withColumns(_key(F.col("id"))).select("k", "z", "n")
-    wanted = link.withColumns(_key(F.col("id"))).join(sizes, ["k", "z"])
+    sizes = lengths.withColumns(common.plain_key(F.col("id"))).select("k", "z", "n")
+    wanted = link.withColumns(common.plain_key(F.col("id"))).join(sizes, ["k", "z"])
     wanted = common.durable(wanted.select(
-        F.col("k").alias("for_k"), F.col("z").alias("for_z"), "next_id", *[c.alias(n) for n, c in _key(F.col("next_id")).items()],
+        F.col("k").alias("for_k"), F.col("z").alias("for_z"), "next_id", *[c.alias(n) for n, c in common.plain_key(F.col("next_id")).items()],
         (F.col("n") / 2).cast("int").alias("need"),
     ))
-    keyed = rows.withColumns(_key(F.col("id"))).select("k", "z", "text")
+    keyed = rows.withColumns(common.plain_key(F.col("id"))).select("k", "z", "text")
     given = keyed.join(wanted, ["k", "z"]).select(
         F.col("for_k").alias("k"), F.col("for_z").alias("z"), "next_id",
         F.struct(F.xxhash64("text").alias("h"), F.col("text").substr(F.lit(1), F.col("need")).alias("start")).alias("g"),
@@ -159,7 +155,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius:
 
     face = found.groupBy("k", "z").agg(F.max_by("fingerprint", "h").alias("next"))
     face = face.select(F.col("k").alias("nk"), F.col("z").alias("nz"), "next")
-    new = {f"n{n}": c for n, c in _key(F.col("next_id")).items()}
+    new = {f"n{n}": c for n, c in common.plain_key(F.col("next_id")).items()}
     out = found.withColumns(new).join(face, ["nk", "nz"])
 
     counts = found.groupBy("fingerprint").agg(F.count("*").alias("n"))
