@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, langid, mixing, pseudonyms, quality, simhash, templates, toxicity
+from . import chat, common, decontaminate, jaccard, langid, mixing, pseudonyms, quality, simhash, templates, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies of every document."""
+    return jaccard.join(common.read(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near."""
     return simhash.compare(common.read(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_jaccard": op2_jaccard,
     "op3_fingerprints": op3_fingerprints,
     "op4_decontamination": op4_decontamination,
     "op5_mixing": op5_mixing,
