@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxalake.session import checkpoint_root
+from taxalake.session import checkpoint_root, scratch_path
 
 #: Words are runs of other characters than these six (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -39,3 +39,10 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def plain_key(c: Column) -> dict[str, Column]:
     """Two columns that are equal exactly if the (integer) ids are, a null id equal to a null id."""
     return {"k": F.coalesce(c.cast("long"), F.lit(0).cast("long")), "z": c.isNull()}
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet under the shared checkpoint folder, and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -176,3 +176,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("rate", F.lit(0.0)).alias("rate"), "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
     )
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, all columns, with a new column ``copies`` (named apart if
+    the name is taken). Rows equal in id and size share their copies."""
+    mixed = mix(docs, id_col, text, source, **options)
+    k, z, size, at, all_, rows_ = (common.fresh(docs, f"__{c}") for c in ("k", "z", "size", "at", "all", "rows"))
+    copies, key = common.fresh(docs, "copies"), common.plain_key(F.col(id_col))
+    counts = mixed.groupBy(key["k"].alias(k), key["z"].alias(z), F.col("size").alias(size)).agg(
+        F.sum("copies").alias(all_), F.count("*").alias(rows_)
+    )
+    keyed = docs.withColumns({k: key["k"], z: key["z"], size: words_in(F.col(text))})
+    rows = keyed.join(counts.where(F.col(all_) > 0), [k, z, size])
+    rows = rows.withColumn(at, F.row_number().over(Window.partitionBy(k, z, size).orderBy(F.lit(0))))
+    number = F.expr(f"{all_} div {rows_} + IF({at} <= {all_} % {rows_}, 1, 0)")
+    return rows.withColumn(copies, number).where(F.col(copies) > 0).select(*[F.col(f"`{c}`") for c in docs.columns], copies)
