@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -9,13 +10,26 @@ from pyspark.sql import functions as F
 
 # Date formats accepted by nullable_date, tried in order, each with the
 # shape a text must have to be tried (so a text is parsed only by formats it
-# can match). The time part is dropped by the date type.
+# can match) and, for texts with more than the format reads, the part or parts
+# of the text (regex groups, joined by a space) that it reads. The time part is
+# dropped by the date type.
+_MONTH_FIRST = r"(?i)^([a-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})"
+_DAY_FIRST = r"(?i)^(\d{1,2})[ -]([a-z]{3})[a-z]*\.?[ -](\d{4})"
 DEFAULT_DATE_FORMATS = (
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$"),
-    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("yyyy/MM/dd", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-M-d H:m", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$"),
+    ("yyyy-M-d'T'H:m:s", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
+    ("yyyy/M/d H:m[:s]", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}(:\d{1,2})?$"),
+    ("yyyy-M-d'T'H:m", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}$"),
+    # fractions of a second, a zone: the date as written (the rest is cut off before parsing)
+    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d{1,9})?)? ?(Z|UTC|GMT|[+-]\d{2}:?\d{2})?$", r"^(\d{4}-\d{1,2}-\d{1,2})"),
+    ("yyyyMMdd", r"^\d{8}$"),
+    # month first, as the reference's reader takes them
+    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{1,2}(:\d{1,2})?( ?[AaPp][Mm])?)?$", r"^(\d{1,2}/\d{1,2}/\d{4})"),
+    ("MMM d yyyy", r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2},? \d{4}\b.*$", _MONTH_FIRST),
+    ("d MMM yyyy", r"(?i)^\d{1,2}[ -](jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?[ -]\d{4}\b.*$", _DAY_FIRST),
 )
 
 _INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
@@ -36,12 +50,16 @@ def nullable_int(c: Column) -> tuple[Column, Column]:
 
 def nullable_date(c: Column, formats=DEFAULT_DATE_FORMATS) -> tuple[Column, Column]:
     """Null or blank -> null; else one of the listed formats, or the row is bad.
-    ``formats`` holds (pattern, shape regex) pairs or bare patterns."""
+    ``formats`` holds (pattern, shape regex[, part regex]) tuples or bare patterns."""
     t = F.trim(c)
     tries = []
     for f in formats:
-        pattern, shape = f if isinstance(f, tuple) else (f, None)
-        parsed_f = F.try_to_timestamp(t, F.lit(pattern))
+        pattern, shape, part = (*f, None, None)[:3] if isinstance(f, tuple) else (f, None, None)
+        read = t
+        if part:
+            groups = [F.regexp_extract(t, part, i + 1) for i in range(re.compile(part.replace("(?i)", "")).groups)]
+            read = F.concat_ws(" ", *[F.initcap(g) for g in groups])
+        parsed_f = F.try_to_timestamp(read, F.lit(pattern))
         tries.append(F.when(t.rlike(shape), parsed_f) if shape else parsed_f)
     parsed = F.coalesce(*tries).cast("date")
     value = F.when(_blank(c), F.lit(None).cast("date")).otherwise(parsed)

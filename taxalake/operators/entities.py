@@ -11,10 +11,10 @@ Selection rules (see SURVEY Q1, Q2):
 * ``multi_claims='strict'`` (reference): an instance test or an external id
   counts only when its property has exactly one claim.
   ``'all'``: any claim counts, the first one is taken for ids.
-* ``deep_keys='claims'`` (default): names, ranks and parents are read from the
-  entity's claims. ``'strict'``: like the reference's deep search, the list is
-  empty when the property key also appears elsewhere in the entity
-  (e.g. inside a qualifier).
+* ``deep_keys='strict'`` (default, reference): names, ranks and parents come
+  from a deep search, so the list is empty when the property key also appears
+  elsewhere in the entity (e.g. inside a qualifier). ``'claims'``: they are
+  read from the entity's claims only.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def _deep(prop: str, values: Column, deep_keys: str) -> Column:
 
 
 def entity_terms(
-    parsed: DataFrame, schemes=ID_SCHEMES, multi_claims: str = "strict", deep_keys: str = "claims"
+    parsed: DataFrame, schemes=ID_SCHEMES, multi_claims: str = "strict", deep_keys: str = "strict"
 ) -> DataFrame:
     """Taxon terms: id, names, rankIds, parentIds, sameAsIds (arrays of string)."""
     empty = F.array().cast("array<string>")

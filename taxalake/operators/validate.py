@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from taxalake.functions.casts import DEFAULT_DATE_FORMATS, Rule
 from taxalake.functions.once import select_once
 from taxalake.operators.topk import top_n
+from taxalake.sources.delimited import CORRUPT
 
 
 def type_rows(raw: DataFrame, rules: list[Rule], keep=("rn",), date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
     """Apply typing rules: the kept columns, the typed columns, ``_ok`` and
-    ``_bad`` (names of the columns that failed, in rule order, joined by ``,``).
+    ``_bad`` (names of the columns that failed, in rule order, joined by ``,``;
+    ``_corrupt`` first for a short or long row of a quoted table).
 
     Plain boolean and string expressions only (no lambdas), so the whole
     step stays in generated code; each rule is evaluated once per row even
@@ -22,7 +24,11 @@ def type_rows(raw: DataFrame, rules: list[Rule], keep=("rn",), date_formats=DEFA
     ok = F.lit(True)
     for _, _, o in applied:
         ok = ok & o
-    bad = F.concat_ws(",", *[F.when(~o, F.lit(r.name)) for r, _, o in applied])
+    reasons = [F.when(~o, F.lit(r.name)) for r, _, o in applied]
+    if CORRUPT in raw.columns:  # rows whose number of fields is not the header's
+        whole = F.col(CORRUPT).isNull()
+        ok, reasons = ok & whole, [F.when(~whole, F.lit(CORRUPT)), *reasons]
+    bad = F.concat_ws(",", *reasons)
     cols = [F.col(k) for k in keep] + [v.alias(r.name) for r, v, _ in applied]
     return select_once(raw, *cols, ok.alias("_ok"), bad.alias("_bad"))
 
@@ -45,14 +51,20 @@ def error_cutoff(typed: DataFrame, order: str = "rn", budget: int = 50):
 
 
 def apply_error_budget(
-    typed: DataFrame, order: str = "rn", budget: int = 50, on_exceed: str = "truncate"
+    typed: DataFrame, order: str = "rn", budget: int = 50, on_exceed: str = "keep"
 ) -> DataFrame:
-    """Good rows a budgeted reader returns.
+    """Good rows of a dump with bad rows.
 
-    ``budget`` bad rows are allowed. ``'truncate'`` (reference): reading stops at
-    bad row ``budget + 1`` and every later row is lost. ``'fail'``: raise.
+    ``'keep'``: every good row, whatever the number of bad ones (they are in
+    ``bad_rows``). ``'fail'``: raise if more than ``budget`` rows are bad.
+    ``'truncate'`` (the reference's reader): reading stops at bad row
+    ``budget + 1`` and every later row is lost; only when asked for.
     """
+    if on_exceed not in ("keep", "fail", "truncate"):
+        raise ValueError(f"unknown on_exceed: {on_exceed}")
     good = typed.where("_ok")
+    if on_exceed == "keep":
+        return good.drop("_ok", "_bad")
     if on_exceed == "fail":
         n_bad = typed.where(~F.col("_ok")).count()
         if n_bad > budget:

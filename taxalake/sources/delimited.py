@@ -49,12 +49,12 @@ def read_quoted_table(
     if with_row_order:
         # (file, position): ids grow in read order within a task, and a task
         # reads each of its files whole, so this orders rows as in the files
-        df = df.withColumn("_file", F.col("_metadata.file_name")).withColumn("_row", F.monotonically_increasing_id())
+        df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
     return df
 
 
 def row_order(df: DataFrame) -> F.Column:
-    """Order key of rows read by ``read_quoted_table``: (file name, position)."""
+    """Order key of rows read by ``read_quoted_table``: (file path, position)."""
     return F.struct("_file", "_row")
 
 

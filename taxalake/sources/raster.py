@@ -36,9 +36,13 @@ def tile_files(spark: SparkSession, path: str, glob: str = "*.hgt") -> DataFrame
 
 
 def tile_rejects(files: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """Files that give no cells, with the reason (bad name, too small)."""
+    """Files that give no cells, with the reason (bad name, or not the size of ``samples`` squared)."""
     need = 2 * samples * samples
-    reason = F.when(~F.col("ok"), F.lit("bad name")).when(F.col("length") < need, F.lit("too small"))
+    reason = (
+        F.when(~F.col("ok"), F.lit("bad name"))
+        .when(F.col("length") < need, F.lit("too small"))
+        .when(F.col("length") > need, F.lit("too large"))
+    )
     return files.select("fname", "tile", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
@@ -54,7 +58,7 @@ def _decoder(samples: int, convention: str, chunk_rows: int):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 raw = row.content
-                if not row.ok or raw is None or len(raw) < 2 * n * n:
+                if not row.ok or raw is None or len(raw) != 2 * n * n:
                     continue
                 elev = np.frombuffer(raw, dtype=">i2", count=n * n).astype(np.int16)
                 ls, bl, os_, bo = row.lat_sign, row.base_lat, row.lon_sign, row.base_lon
@@ -92,9 +96,8 @@ def decode_tiles(
 ) -> DataFrame:
     """All cells of all well-formed tiles under ``path``.
 
-    Tiles larger than ``samples²`` values are read as their first
-    ``samples²`` values; smaller tiles and bad names give no cells (see
-    ``tile_rejects``). No-data values (-32768) pass unchanged.
+    Tiles of any other size than ``samples²`` values and bad names give no
+    cells (see ``tile_rejects``). No-data values (-32768) pass unchanged.
     """
     files = tile_files(spark, path, glob).select(
         "tile", "ok", "lat_sign", "base_lat", "lon_sign", "base_lon", "content"

@@ -48,7 +48,8 @@ def tiles(tmp_path):
     d = tmp_path / "dem3"
     d.mkdir()
     (d / "N10E020.hgt").write_bytes(tile_bytes(3, nodata_at=4))
-    (d / "s10w020.hgt").write_bytes(tile_bytes(3, extra=6))  # larger: first n*n values are read
+    (d / "s10w020.hgt").write_bytes(tile_bytes(3))
+    (d / "N02E002.hgt").write_bytes(tile_bytes(4))  # larger than a tile: its rows have another stride
     (d / "foo.hgt").write_bytes(tile_bytes(3))  # bad name
     (d / "N01E001.hgt").write_bytes(b"\x00" * 10)  # too small
     return d
@@ -67,7 +68,7 @@ def test_decode_tiles_small(spark, tiles):
     sw = {(r.x, r.y): r for r in decode_tiles(spark, str(tiles), samples=3, convention="sw_corner").collect() if r.tile == "S10W020"}
     assert sw[(0, 2)].lat_min == pytest.approx(-10.0 - 0.25) and sw[(0, 0)].lat_min == pytest.approx(-9.0 - 0.25)
     rej = {r.fname: r.reason for r in tile_rejects(tile_files(spark, str(tiles)), samples=3).collect()}
-    assert rej == {"foo.hgt": "bad name", "N01E001.hgt": "too small"}
+    assert rej == {"foo.hgt": "bad name", "N01E001.hgt": "too small", "N02E002.hgt": "too large"}
 
 
 def test_decode_full_size_tile(spark, tmp_path):
@@ -82,7 +83,7 @@ def test_decode_full_size_tile(spark, tmp_path):
 
 def test_incremental_reruns(spark, tiles, mirror, tmp_path):
     out, ck = str(tmp_path / "cells"), str(tmp_path / "ck")
-    assert convert_new_tiles(spark, str(tiles), out, ck, samples=3) == 4  # all four files read
+    assert convert_new_tiles(spark, str(tiles), out, ck, samples=3) == 5  # all five files read
     assert spark.read.parquet(out).count() == 18
     assert convert_new_tiles(spark, str(tiles), out, ck, samples=3) == 0  # nothing new
     (tiles / "N20E030.hgt").write_bytes(tile_bytes(3))

@@ -88,7 +88,8 @@ def test_error_budget_edge(spark, n_bad, kept):
     from taxalake.functions.casts import Rule
 
     t = V.type_rows(raw, [Rule("ItemID", "itemid", "int")])
-    out = V.apply_error_budget(t, "rn", budget=50)
+    out = V.apply_error_budget(t, "rn", budget=50, on_exceed="truncate")
+    assert V.apply_error_budget(t, "rn", budget=50).count() == 100  # the default loses no good row
     # with 51 bad rows, reading stops at bad row 51, which follows good row 51
     assert out.count() == kept
     if n_bad > 50:
@@ -116,6 +117,37 @@ def test_error_budget_over_many_files(spark, tmp_path):
         write_tsv(d / name, lines, bom=False)
     raw = read_quoted_table(spark, str(d), list(ITEM_COLUMNS))
     t = V.type_rows(raw.withColumn("rn", row_order(raw)), ITEM_RULES, keep=("rn",))
-    kept = sorted(r.itemid for r in V.apply_error_budget(t, "rn", budget=50).collect())
+    kept = sorted(r.itemid for r in V.apply_error_budget(t, "rn", budget=50, on_exceed="truncate").collect())
     # a.txt: all 30 good rows; b.txt: good rows before its 21st bad row (line 41)
     assert kept == list(range(0, 60, 2)) + list(range(1000, 1041, 2))
+
+
+@pytest.mark.parametrize(
+    "text, date",
+    [
+        ("2016-05-03 12:00:00.123", "2016-05-03"), ("2016-05-03T00:00:00Z", "2016-05-03"), ("2016-05-03 10:11:12+02:00", "2016-05-03"),
+        ("May 3 2016", "2016-05-03"), ("may 3, 2016 10:00", "2016-05-03"), ("3 September 2016", "2016-09-03"), ("03-Sep-2016", "2016-09-03"),
+        ("5/3/2016 1:02:03 PM", "2016-05-03"), ("12/31/1999", "1999-12-31"), ("20160503", "2016-05-03"), ("2016/05/03 10:20", "2016-05-03"),
+        ("2016-05-03T10:20", "2016-05-03"), ("2016-5-3", "2016-05-03"), ("13/31/1999", None), ("2016-02-30 10:00", None), ("n/a", None),
+    ],
+)
+def test_date_shapes(spark, text, date):
+    from taxalake.functions.casts import nullable_date
+
+    value, ok = nullable_date(F.col("t"))
+    r = spark.createDataFrame([(text,)], "t string").select(value.alias("v"), ok.alias("ok")).first()
+    assert (str(r.v) if r.v else None) == date and r.ok == (date is not None)
+
+
+def test_short_and_long_rows_are_rejected_with_a_reason(spark, tmp_path):
+    p = tmp_path / "dump.txt"
+    p.write_text("ItemID\tTitleID\n1\t2\n3\n4\t5\t6\nx\n")
+    raw = read_quoted_table(spark, str(p), ["ItemID", "TitleID"])
+    from taxalake.functions.casts import Rule
+    from taxalake.sources.delimited import row_order
+
+    t = V.type_rows(raw.withColumn("rn", row_order(raw)), [Rule("ItemID", "itemid", "int"), Rule("TitleID", "titleid", "int")], keep=("rn",))
+    good, _ = V.split_valid(t)
+    assert [(r.itemid, r.titleid) for r in good.collect()] == [(1, 2)]
+    reasons = sorted(r.reason for r in V.bad_rows(t).collect())
+    assert reasons == ["_corrupt", "_corrupt", "_corrupt,itemid"]
