@@ -9,9 +9,11 @@ from pyspark.sql import types as T
 from taxalake.functions.once import select_once
 
 # Fixed values that must equal the reference's for equal results:
-# fields left out of the record and media loads because they do not read.
+# fields left out of the record, media and mini loads because they do not read.
 BAD_RECORD_FIELDS = ("associatedsequences", "commonnames", "flags", "mediarecords", "recordids")
-BAD_MEDIA_FIELDS = ("commonnames", "flags", "recordids", "mediarecords")
+BAD_MEDIA_FIELDS = ("flags", "recordids", "records")
+BAD_MINI_FIELDS = ("commonnames", "flags", "recordids", "mediarecords")
+BAD_FIELDS = {"records": BAD_RECORD_FIELDS, "media": BAD_MEDIA_FIELDS, "mini": BAD_MINI_FIELDS}
 COMPLEX = "COMPLEX"
 
 
@@ -61,14 +63,19 @@ def _element_term(dt, value):
     return lambda x: _term(x, dt, value)
 
 
-def term_filter(df: DataFrame, terms: dict, array_fields=()) -> DataFrame:
-    """Conjunction of exact-term filters. Array fields match when any element does."""
+def term_filter(df: DataFrame, terms: dict, exact_case: bool = False) -> DataFrame:
+    """Conjunction of exact-term filters. Array fields match when any element does.
+
+    ``exact_case``: text terms are compared as they are, which Parquet can push
+    into its scan; else lower-cased, which it cannot."""
     cond = F.lit(True)
     for field, value in terms.items():
         c = _ref(field)
         dt = _field_type(df, field)
         if isinstance(dt, T.ArrayType):
             cond = cond & F.exists(c, _element_term(dt.elementType, value))
+        elif exact_case and isinstance(dt, T.StringType):
+            cond = cond & (c == F.lit(str(value)))
         else:
             cond = cond & _term(c, dt, value)
     return df.where(cond)
@@ -105,9 +112,9 @@ def read_records(
     if schema is not None:
         r = r.schema(schema)
     df = r.load(path)
+    if where:  # before scalars are wrapped, so the scan gets a plain filter
+        df = term_filter(df, where)
     df = as_array(df, [f for f in array_fields if f in df.columns])
-    if where:
-        df = term_filter(df, where, array_fields)
     if fields is None:  # no include list: every column but the known-bad ones
         return df.drop(*[c for c in exclude if c in df.columns])
     return select_fields(df, exclude_fields(fields, exclude))
@@ -137,6 +144,7 @@ def schema_fields_df(spark: SparkSession, df: DataFrame) -> DataFrame:
 
 
 _FIELD = "struct<fieldName: string, type: string>"
+_PAIRS = "array<struct<field: string, type: string>>"
 
 
 def catalog_fields(meta_docs: DataFrame, col: str = "value", types: bool = False) -> DataFrame:
@@ -155,21 +163,20 @@ def catalog_fields(meta_docs: DataFrame, col: str = "value", types: bool = False
         F.when(~is_data, F.from_json("v", _FIELD)).alias("f"),
         F.when(is_data, F.from_json("v", f"map<string, {_FIELD}>")).alias("d"),
     )
-    plain = parsed.where(F.col("d").isNull())
+    # one array of (field, type) per key, so the documents are read once
     own = F.col("f.fieldName")
+    pair = lambda field, kind: F.struct(field.alias("field"), kind.alias("type"))
     if types:
-        top_rows = plain.select(
-            F.coalesce(own, F.col("k")).alias("field"),
-            F.when(own.isNotNull(), F.col("f.type")).otherwise(F.lit(COMPLEX)).alias("type"),
-        )
+        plain = F.array(pair(F.coalesce(own, F.col("k")), F.when(own.isNotNull(), F.col("f.type")).otherwise(F.lit(COMPLEX))))
     else:
-        top_rows = plain.where(own.isNotNull()).select(F.col("k").alias("field"))
-    data = parsed.select(F.explode("d").alias("dk", "dv")).where(F.col("dv.fieldName").isNotNull())
+        plain = F.when(own.isNotNull(), F.array(pair(F.col("k"), F.lit("")))).otherwise(F.array().cast(_PAIRS))
+    named = F.filter(F.map_entries("d"), lambda e: e["value"]["fieldName"].isNotNull())
     if types:
-        data_rows = data.select(F.col("dv.fieldName").alias("field"), F.col("dv.type").alias("type"))
+        inner = F.transform(named, lambda e: pair(e["value"]["fieldName"], e["value"]["type"]))
     else:
-        data_rows = data.select(F.concat(F.lit("data."), F.col("dk")).alias("field"))
-    return top_rows.unionByName(data_rows).distinct()
+        inner = F.transform(named, lambda e: pair(F.concat(F.lit("data."), e["key"]), F.lit("")))
+    rows = parsed.select(F.explode(F.when(F.col("d").isNull(), plain).otherwise(inner)).alias("p"))
+    return rows.select("p.field", "p.type").distinct() if types else rows.select("p.field").distinct()
 
 
 def json_field_inventory(df: DataFrame, col: str) -> DataFrame:
@@ -185,13 +192,15 @@ def json_field_inventory(df: DataFrame, col: str) -> DataFrame:
 def field_drift(left: DataFrame, right: DataFrame, left_name: str = "meta", right_name: str = "table") -> DataFrame:
     """``field::type`` entries found on one side only, tagged with that side."""
 
-    def entries(df):
-        return df.select(F.concat_ws("::", "field", "type").alias("entry")).distinct()
+    def entries(df, right):
+        entry = F.concat_ws("::", "field", "type").alias("entry")
+        return df.select(entry, F.lit(right).alias("right"))
 
-    a, b = entries(left), entries(right)
-    return a.join(b, "entry", "left_anti").withColumn("only_in", F.lit(left_name)).unionByName(
-        b.join(a, "entry", "left_anti").withColumn("only_in", F.lit(right_name))
+    sides = entries(left, False).unionByName(entries(right, True)).groupBy("entry").agg(
+        F.max(~F.col("right")).alias("in_left"), F.max("right").alias("in_right")
     )
+    only = F.when(F.col("in_left"), F.lit(left_name)).otherwise(F.lit(right_name))
+    return sides.where(F.col("in_left") != F.col("in_right")).select("entry", only.alias("only_in"))
 
 
 def probe_fields(df: DataFrame, expected: dict[str, str]) -> DataFrame:

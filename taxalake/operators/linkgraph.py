@@ -202,10 +202,12 @@ def ids_by_scheme(profile: DataFrame) -> DataFrame:
 
 
 def _term_counts(links: DataFrame, schemes) -> DataFrame:
+    """ext, term, mult, is_globi. The flag is an aggregate, so a filter on it stays above the
+    aggregate and the two halves of a plan that splits by it share one exchange."""
     return (
         whitelisted(links, schemes)
         .groupBy("ext", "term")
-        .agg(F.count(F.lit(1)).alias("mult"))
+        .agg(F.count(F.lit(1)).alias("mult"), F.max(F.col("term").startswith(SOURCE_GLOBI)).alias("is_globi"))
     )
 
 
@@ -221,7 +223,7 @@ def composites(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
     shuffle) -> one row per id with its distinct terms split by source ->
     explode the GLOBI terms. Two shuffles, no join, one scan of the links.
     """
-    is_globi = F.col("term").startswith(SOURCE_GLOBI)
+    is_globi = F.col("is_globi")
     tm = F.struct("term", "mult")
     per_id = (
         _term_counts(links, schemes)
@@ -310,7 +312,8 @@ def _pipes(c: Column) -> Column:
 
 
 def _h(c: Column, seed: int) -> Column:
-    return F.xxhash64(c, F.lit(seed)).cast("decimal(38,0)")
+    """A 64-bit hash that starts from the seed, so terms that collide under one seed don't under the other."""
+    return F.xxhash64(F.lit(seed), c).cast("decimal(38,0)")
 
 
 def composite_signatures(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
@@ -322,27 +325,27 @@ def composite_signatures(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame
     give equal signatures; different ones collide with probability ~2^-128.
     No array and no key string is built, so an id with many GLOBI terms and
     many other terms costs (GLOBI terms) rows, not (GLOBI x other) terms.
-    Output: ext, g, n_links, n_others, s1, s2, only_other (the other term
-    when there is exactly one), key_length. The key length counts the
+    Output: ext, g, n_links, n_others, s1, s2, key_length. The key length counts the
     ``|``-parts of every term; it equals the split of the key string except
     when the last sorted term ends in ``|`` (Java's split drops that empty
     tail).
     """
-    tc = _term_counts(links, schemes)
-    is_globi = F.col("term").startswith(SOURCE_GLOBI)
+    return _signatures(_term_counts(links, schemes))
+
+
+def _signatures(tc: DataFrame) -> DataFrame:
     m = F.col("mult")
     others = (
-        tc.where(~is_globi)
+        tc.where(~F.col("is_globi"))
         .groupBy("ext")
         .agg(
             F.sum(m).alias("n_others"),
             F.sum(_h(F.col("term"), 1) * m).alias("s1"),
             F.sum(_h(F.col("term"), 2) * m).alias("s2"),
             F.sum(_pipes(F.col("term")) * m).alias("parts"),
-            F.min("term").alias("_min_other"),
         )
     )
-    g = tc.where(is_globi).select("ext", F.col("term").alias("g"), F.col("mult").cast("bigint").alias("n_links"))
+    g = tc.where("is_globi").select("ext", F.col("term").alias("g"), F.col("mult").cast("bigint").alias("n_links"))
     j = g.join(others, "ext", "left")
     zero = F.lit(0).cast("decimal(38,0)")
     return j.select(
@@ -352,7 +355,6 @@ def composite_signatures(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame
         F.coalesce("n_others", F.lit(0)).cast("bigint").alias("n_others"),
         F.coalesce("s1", zero).alias("s1"),
         F.coalesce("s2", zero).alias("s2"),
-        F.when(F.col("n_others") == 1, F.col("_min_other")).alias("only_other"),
         (F.coalesce("parts", F.lit(0)) + _pipes(F.col("g"))).cast("bigint").alias("key_length"),
     )
 
@@ -361,16 +363,11 @@ _SIG = ("g", "n_others", "s1", "s2")
 
 
 def signature_stats(sigs: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
-    """Per composite (by signature): n_ids, repeats, key_length, and the key
-    itself when it is short (key length 1 or 2), else null."""
-    short_key = F.when(
-        F.col("n_others") == 0, F.col("g")
-    ).when(F.col("n_others") == 1, F.array_join(F.array_sort(F.array(F.col("only_other"), F.col("g"))), "|"))
+    """Per composite (by signature): n_ids, repeats, key_length."""
     return sigs.groupBy(*_SIG).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_ids"),
         (F.count(F.lit(1)) - _n_prefixes(schemes)).cast("bigint").alias("repeats"),
         F.max("key_length").alias("key_length"),
-        F.max(short_key).alias("short_key"),
     )
 
 
@@ -388,18 +385,27 @@ def short_conflict_members(links: DataFrame, key_len: int, schemes=DEFAULT_SCHEM
     """Conflict export for key length 1 or 2 (the reference's two exports),
     long form (composite, ext, repeats, key_length), keys built only for the
     exported composites, which hold at most one other term."""
-    sigs = composite_signatures(links, schemes)
-    return short_members(sigs, signature_stats(sigs, schemes), key_len)
+    tc = _term_counts(links, schemes)
+    sigs = _signatures(tc)
+    return short_members(sigs, signature_stats(sigs, schemes), key_len, tc)
 
 
-def short_members(sigs: DataFrame, stats: DataFrame, key_len: int) -> DataFrame:
-    """``short_conflict_members`` from signatures and their stats."""
+def short_members(sigs: DataFrame, stats: DataFrame, key_len: int, terms: DataFrame) -> DataFrame:
+    """``short_conflict_members`` from signatures, their stats and the links' term counts."""
     if key_len not in (1, 2):
         raise ValueError("short keys are of length 1 or 2; use conflict_members for longer keys")
-    hit = stats.where((F.col("repeats") > 0) & (F.col("key_length") == key_len))
-    return sigs.join(hit.select(*_SIG, "repeats", "short_key"), list(_SIG), "inner").select(
-        F.col("short_key").alias("composite"), "ext", "repeats", "key_length"
-    )
+    hit = stats.where((F.col("repeats") > 0) & (F.col("key_length") == key_len) & (F.col("n_others") <= 1))
+    rows = sigs.join(hit.select(*_SIG, "repeats"), list(_SIG), "inner")
+    # an id with one other term has one such row, so the join adds none
+    other = terms.where(~F.col("is_globi") & (F.col("mult") == 1)).select("ext", F.col("term").alias("only_other"))
+    rows = rows.join(other.withColumn("n_others", F.lit(1).cast("bigint")), ["ext", "n_others"], "left")
+    key = F.when(F.col("n_others") == 0, F.col("g")).otherwise(F.array_join(F.array_sort(F.array("only_other", "g")), "|"))
+    return rows.select(key.alias("composite"), "ext", "repeats", "key_length")
+
+
+def term_counts(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
+    """Distinct whitelisted links with their number: ext, term, mult, is_globi."""
+    return _term_counts(links, schemes)
 
 
 def pipe_joined_ids(members: DataFrame) -> DataFrame:
