@@ -8,7 +8,7 @@ place, which on a table of many thousand partitions is most of the table.
 Here a threshold is found first (from per-partition counts, or a key bound
 from an approximate percentile or a sample, checked by a count), every task
 filters by it in parallel, and only about ``n`` rows reach the final step.
-When ``n x partitions`` is small the plain operators are used.
+It is done so at every size.
 """
 
 from __future__ import annotations
@@ -17,28 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Above this many rows entering the single final task, use a threshold.
-FUNNEL_ROWS = 5_000_000
 _ORDERABLE = (T.NumericType, T.DateType, T.TimestampType)
 
 
-def _partitions(df: DataFrame) -> int:
-    try:
-        return df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (Spark Connect): ask the data
-        return df.agg(F.max(F.spark_partition_id()).alias("p")).first().p + 1
-
-
-def first_rows(df: DataFrame, n: int, funnel_rows: int = FUNNEL_ROWS) -> DataFrame:
+def first_rows(df: DataFrame, n: int) -> DataFrame:
     """Any ``n`` rows (the first ``n`` in partition order).
 
-    Large case: rows are numbered by ``monotonically_increasing_id`` (partition
+    Rows are numbered by ``monotonically_increasing_id`` (partition
     id in the high bits), the per-partition row counts (one row per
     partition) give the id bound of row ``n``, and one filter keeps the rows
     below it. The input must be deterministic (a file scan is).
     """
-    if n * _partitions(df) <= funnel_rows:
-        return df.limit(n)
     numbered = df.withColumn("_mid", F.monotonically_increasing_id())
     counts = sorted(
         (r.pid, r.n) for r in numbered.groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect()
@@ -65,12 +54,12 @@ def _bound_from_sample(df: DataFrame, order: str, frac: float, total: int, ascen
     return first.agg((F.max(order) if ascending else F.min(order)).alias("b")).first().b
 
 
-def top_n(df: DataFrame, order, n: int, ascending: bool = True, funnel_rows: int = FUNNEL_ROWS) -> DataFrame:
+def top_n(df: DataFrame, order, n: int, ascending: bool = True) -> DataFrame:
     """The first ``n`` rows by ``order`` (a column or a list of columns; ties
     at the boundary: any of them). With several columns the bound is on the
     first one: every row of the first ``n`` has a first key at most the bound.
 
-    Large case: a bound on the key (an approximate percentile for numbers and
+    A bound on the key (an approximate percentile for numbers and
     dates, a sample's order statistic for other types) that a count confirms
     holds at least ``n`` rows (the fraction doubles until it does); every task
     filters by the bound, and the exact top-``n`` runs over the rows that pass
@@ -80,8 +69,6 @@ def top_n(df: DataFrame, order, n: int, ascending: bool = True, funnel_rows: int
     order = cols[0]
     key: Column = F.col(order)
     sort_key = [F.col(c).asc() if ascending else F.col(c).desc() for c in cols]
-    if n * _partitions(df) <= funnel_rows:
-        return df.orderBy(*sort_key).limit(n)
     total = df.count()
     if total <= n:
         return df.orderBy(*sort_key)

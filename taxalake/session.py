@@ -86,22 +86,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never-reused path under the checkpoint folder."""
-    return f"{checkpoint_root(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never-reused path under the checkpoint folder, deleted when the session's JVM ends."""
+    path = f"{checkpoint_root(spark)}/scratch/{name}-{uuid.uuid4().hex[:12]}"
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def _cores(spark: SparkSession) -> int:
-    """Task slots of the session (its default parallelism)."""
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # no SparkContext access (Spark Connect)
-        return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """A read-only input table. The DataFrame (file listing and footer schema)
     is kept on the session object and reused; every query still reads the
@@ -109,11 +105,5 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     cache = spark.__dict__.setdefault("_taxalake_tables", {})
     path = table_path(sf_dir, name)
     if path not in cache:
-        df = spark.read.parquet(path)
-        # A table stored as one file with one row group is read by one task;
-        # spread such a table so per-row work runs on every core. Tables that
-        # already come in enough splits (any real input) are left alone.
-        from taxalake.sinks.snapshot import spread
-
-        cache[path] = spread(df, _cores(spark))
+        cache[path] = spark.read.parquet(path)
     return cache[path]

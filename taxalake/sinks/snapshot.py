@@ -25,30 +25,17 @@ def snapshot_name(base: str, name: str, stamp: str, edition: str | None = None)
     return f"{base.rstrip('/')}/{name}-{stamp}{tail}.parquet"
 
 
-def spread(df: DataFrame, n: int) -> DataFrame:
-    """At least ``n`` partitions before a write, so compression and file
-    writing run in ``n`` tasks; a DataFrame that already has that many
-    partitions is left as it is (no shuffle)."""
-    from taxalake.operators.topk import _partitions
-
-    return df.repartition(n) if _partitions(df) < n else df
-
-
-def write_snapshot(
-    df: DataFrame, path: str, overwrite: bool = False, partition_by=(), files_per_partition: int | None = None
-) -> str:
+def write_snapshot(df: DataFrame, path: str, overwrite: bool = False, partition_by=(), rebalance: bool = True) -> str:
     """Write Parquet; without ``overwrite`` an existing output fails the job
     (the guard for reruns).
 
-    With ``partition_by`` each task writes its own files (no shuffle, many
-    small files). ``files_per_partition=k`` shuffles by the partition columns
-    plus a stable hash bucket in ``[0, k)``: at most ``k`` files per partition
-    value, and a value holding a large share of the rows is spread over ``k``
-    tasks instead of one.
+    With ``partition_by`` the rows are rebalanced by the partition columns:
+    the sizes measured at run time decide how many tasks (and files) a value
+    gets, so a small one is one file and a value with a large share of the
+    rows is split. ``rebalance=False``: each task writes its own files.
     """
-    if partition_by and files_per_partition:
-        bucket = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
-        df = df.repartition(*[F.col(c) for c in partition_by], bucket)
+    if partition_by and rebalance:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     w = df.write.mode("overwrite" if overwrite else "errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -77,11 +64,24 @@ def write_editions(
     written = {"all": full}
     src = spark.read.parquet(full)
     for label, n in sizes.items():
-        part = top_n(src, list(order), n) if order else first_rows(src, n)
+        part = top_n(src, list(order), n) if order else first_rows(_leading_files(spark, src, n), n)
         written[label] = write_snapshot(part, snapshot_name(base, name, stamp, label), overwrite)
     return written
 
 
+def _leading_files(spark: SparkSession, src: DataFrame, n: int) -> DataFrame:
+    """The first files of a snapshot that hold ``n`` rows between them. Counting rows by file
+    reads footers only; the rows that are read later are about ``n``, not the snapshot's."""
+    sizes = src.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n")).collect()
+    chosen, rows = [], 0
+    for r in sorted(sizes):
+        chosen.append(r.path)
+        rows += r.n
+        if rows >= n:
+            break
+    return spark.read.schema(src.schema).parquet(*chosen) if chosen else src
+
+
 def edition_counts(spark: SparkSession, written: dict[str, str]) -> DataFrame:
     """Rows per written edition: (edition, n_rows)."""
     parts = [

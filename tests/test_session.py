@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from taxalake.functions.ids import key_length
 from taxalake.functions.once import select_once
 from taxalake.session import checkpoint_root, scratch_path
-from taxalake.sinks.snapshot import spread
 
 
 def test_checkpoint_root_and_scratch(spark):
@@ -17,13 +16,6 @@ def test_checkpoint_root_and_scratch(spark):
     assert a != b and a.startswith(root + "/scratch/x-")
 
 
-def test_spread_only_when_needed(spark):
-    one = spark.range(100, numPartitions=1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(100, numPartitions=6)
-    assert spread(many, 4) is many  # already split: no shuffle added
-
-
 def test_select_once_keeps_one_parse(spark):
     df = spark.createDataFrame([('{"a": 1, "b": 2}',)], "v string")
     parsed = select_once(df, F.from_json("v", "a int, b int").alias("j"))

@@ -90,18 +90,26 @@ def test_sorted_export_splits_a_hot_key(spark, tmp_path):
     assert back == sorted(back)  # part files concatenate in order
 
 
-def test_bounded_files_per_partition(spark, tmp_path):
-    df = spark.range(6000, numPartitions=12).select(
-        "id", F.when(F.col("id") < 4000, F.lit("hot")).otherwise(F.lit("cold")).alias("source")
+def test_partitioned_snapshot_rebalances(spark, tmp_path):
+    df = spark.range(60_000, numPartitions=12).select(
+        "id", F.xxhash64("id").alias("x"), F.when(F.col("id") < 50_000, F.lit("hot")).otherwise(F.lit("cold")).alias("source")
     )
     base = str(tmp_path / "p")
-    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(key)
-    spark.conf.set(key, "false")  # small data: AQE would merge the buckets
+    spark.conf.set(key, "64k")
     try:
-        SN.write_snapshot(df, base, partition_by=("source",), files_per_partition=3)
+        SN.write_snapshot(df, base, partition_by=("source",))
     finally:
         spark.conf.set(key, before)
-    hot = [f for f in (tmp_path / "p" / "source=hot").iterdir() if f.name.endswith(".parquet")]
-    assert 1 < len(hot) <= 3  # the hot value is written by several tasks, at most 3 files
-    assert spark.read.parquet(base).count() == 6000
+    files = {v: [f for f in (tmp_path / "p" / f"source={v}").iterdir() if f.name.endswith(".parquet")] for v in ("hot", "cold")}
+    assert len(files["hot"]) > len(files["cold"]) >= 1  # the hot value is written by several tasks
+    assert spark.read.parquet(base).count() == 60_000
+
+
+def test_editions_read_only_the_files_they_need(spark, tmp_path):
+    path = str(tmp_path / "s")
+    spark.range(1000, numPartitions=10).write.parquet(path)
+    part = SN._leading_files(spark, spark.read.parquet(path), 250)
+    assert len(part.inputFiles()) == 3 and part.count() == 300
+    assert len(SN._leading_files(spark, spark.read.parquet(path), 5000).inputFiles()) == 10
