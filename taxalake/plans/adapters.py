@@ -72,10 +72,10 @@ def globi_taxon_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- entity dump
 
 
-def _claim(value: str) -> str:
+def _claim(value: str, qualifiers: str = "") -> str:
     return (
         "named_struct('mainsnak', named_struct('snaktype', 'value', 'datavalue', "
-        f"named_struct('value', {value})), 'type', 'statement')"
+        f"named_struct('value', {value})), 'type', 'statement'{qualifiers})"
     )
 
 
@@ -88,18 +88,21 @@ def entity_dump_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line ending in ``,`` as in the dump. k = p_partkey:
 
     P31 = Q5 if k%5=0 else Q16521, plus a second Q16521 claim if k%11=0;
-    P225 = p_name, plus p_type if k%7=0; P105 = Q<p_size> unless k%6=0;
+    P225 = p_name, plus p_type if k%7=0, both with a P105 qualifier if k%19=0;
+    P105 = Q<p_size> unless k%6=0, plus Q<p_size + 1> if k%17=0;
     P171 = Q<k%10>, plus Q<k%9> if k%13=0; P685 = k if even, plus "7" if
     k%8=0; P846 = k if k%3=0. Absent claims are left out of the JSON.
     """
     first = _claim(f"CASE WHEN p_partkey % 5 = 0 THEN {_item('5')} ELSE {_item('16521')} END")
     taxon = _claim(_item("16521"))
     key = "cast(p_partkey AS string)"
+    qualified = ", 'qualifiers', CASE WHEN p_partkey % 19 = 0 THEN named_struct('P105', array(named_struct('snaktype', 'value'))) END"
     claims = {
         "P31": f"CASE WHEN p_partkey % 11 = 0 THEN array({first}, {taxon}) ELSE array({first}) END",
-        "P225": f"CASE WHEN p_partkey % 7 = 0 THEN array({_claim('p_name')}, {_claim('p_type')}) "
-        f"ELSE array({_claim('p_name')}) END",
-        "P105": f"CASE WHEN p_partkey % 6 <> 0 THEN array({_claim(_item('p_size'))}) END",
+        "P225": f"CASE WHEN p_partkey % 7 = 0 THEN array({_claim('p_name', qualified)}, {_claim('p_type', qualified)}) "
+        f"ELSE array({_claim('p_name', qualified)}) END",
+        "P105": f"CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN "
+        f"array({_claim(_item('p_size'))}, {_claim(_item('p_size + 1'))}) ELSE array({_claim(_item('p_size'))}) END",
         "P171": f"CASE WHEN p_partkey % 13 = 0 THEN array({_claim(_item('p_partkey % 10'))}, {_claim(_item('p_partkey % 9'))}) "
         f"ELSE array({_claim(_item('p_partkey % 10'))}) END",
         "P685": f"CASE WHEN p_partkey % 8 = 0 THEN array({_claim(key)}, {_claim(chr(39) + '7' + chr(39))}) "
@@ -232,6 +235,24 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def records_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that also hold every field of the three lists of bad fields."""
+    return read_table(spark, sf_dir, "events").selectExpr(
+        "cast(event_id AS string) AS uuid", "event_type AS genus", "event_type AS flags", "event_type AS recordids",
+        "event_type AS records", "event_type AS mediarecords", "event_type AS commonnames", "event_type AS associatedsequences",
+    )
+
+
+def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive index pages from part, three lines each: a sequence file with its size, one
+    without a size if k%5=0, and a readme."""
+    return read_table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS page_id",
+        "concat('<a href=\"gb', p_partkey, '.seq.gz\">gb</a>', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE "
+        "concat(' (', p_size, ' bytes)') END, chr(10), '<a href=\"README\">README</a> (9 bytes)', chr(10), '<hr>') AS html",
+    )
+
+
 def field_meta_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field-metadata documents (column ``value``), one per event: each event
     type is announced as a float field; ``flags`` is a nested non-data key."""

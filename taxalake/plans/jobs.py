@@ -45,7 +45,7 @@ def build_taxon_graph(
     dump: str,
     out: str,
     multi_claims: str = "strict",
-    deep_keys: str = "claims",
+    deep_keys: str = "strict",
     single_file_reports: bool = False,
 ) -> dict[str, str]:
     """Entity dump -> taxonInfo.parquet (terms) -> taxonLinks.parquet -> reports."""
@@ -123,6 +123,7 @@ def analyze_taxon_graphs(
         "vennByScheme": LG.venn_by_scheme(profile),
         "idsByScheme": LG.ids_by_scheme(profile),
     }
+    terms = SN.materialize(LG.term_counts(links, schemes), _out(out, "termCounts.parquet"))
     sigs = SN.materialize(LG.composite_signatures(links, schemes), _out(out, "compositeSignatures.parquet"))
     stats = SN.materialize(LG.signature_stats(sigs, schemes), _out(out, "compositeStats.parquet"))
     reports["conflictsByKeyLength"] = (
@@ -134,7 +135,7 @@ def analyze_taxon_graphs(
         paths[name] = _out(out, f"{name}.parquet")
         df.write.mode("overwrite").parquet(paths[name])
     for name, klen in (("duplicatesWithCompositeKeyPair", 2), ("duplicatesWithCompositeKeySingleton", 1)):
-        members = LG.short_members(sigs, stats, klen)
+        members = LG.short_members(sigs, stats, klen, terms)
         rows = LG.pipe_joined_ids(members).select("composite", "ids", "repeats", "key_length") if joined_exports else members
         paths[name] = SN.export_delimited(rows, _out(out, f"{name}.tsv"), header=False)
     return paths
@@ -149,11 +150,12 @@ def ingest_items(
     mirror: str | None,
     out: str,
     budget: int = 50,
-    on_exceed: str = "truncate",
+    on_exceed: str = "keep",
     sample: float | None = None,
     subjects: str | None = None,
 ) -> dict[str, str]:
-    """Item dump -> typed, validated rows (error budget) -> OCR text side-load -> Parquet.
+    """Item dump -> typed, validated rows -> OCR text side-load -> Parquet. Every good row is
+    kept unless ``on_exceed`` says otherwise (see ``validate.apply_error_budget``).
 
     The output must not exist yet (rerun guard). Rejected rows are written
     next to it with their failing columns.
@@ -228,7 +230,7 @@ def main(argv=None) -> None:
     b.add_argument("--dump", required=True)
     b.add_argument("--out", required=True)
     b.add_argument("--multi-claims", default="strict", choices=["strict", "all"])
-    b.add_argument("--deep-keys", default="claims", choices=["claims", "strict"])
+    b.add_argument("--deep-keys", default="strict", choices=["claims", "strict"])
     m = sub.add_parser("merge")
     m.add_argument("--terms", required=True)
     m.add_argument("--taxon-map", required=True)
@@ -247,6 +249,7 @@ def main(argv=None) -> None:
     i.add_argument("--subjects")
     i.add_argument("--out", required=True)
     i.add_argument("--budget", type=int, default=50)
+    i.add_argument("--on-exceed", default="keep", choices=["keep", "fail", "truncate"], help="beyond the budget of bad rows")
     i.add_argument("--sample", type=float)
     r = sub.add_parser("load-records")
     r.add_argument("--src", required=True)
@@ -256,7 +259,7 @@ def main(argv=None) -> None:
     r.add_argument("--name", required=True)
     r.add_argument("--stamp", required=True)
     r.add_argument("--where", help='JSON object of exact terms, e.g. {"genus": "acer"}')
-    r.add_argument("--media", action="store_true", help="media records: leave out the media list of bad fields")
+    r.add_argument("--load", default="records", choices=sorted(CT.BAD_FIELDS), help="whose list of bad fields is left out")
     r.add_argument("--schema", help="DDL schema of the source (avoids inference over JSON/CSV)")
     e = sub.add_parser("elevation")
     e.add_argument("--src", required=True)
@@ -277,10 +280,12 @@ def main(argv=None) -> None:
             joined_exports=args.joined_exports, with_composites=args.with_composites,
         )
     elif args.job == "ingest-items":
-        res = ingest_items(spark, args.items, args.mirror, args.out, args.budget, sample=args.sample, subjects=args.subjects)
+        res = ingest_items(
+            spark, args.items, args.mirror, args.out, args.budget, args.on_exceed, sample=args.sample, subjects=args.subjects
+        )
     elif args.job == "load-records":
         where = json.loads(args.where) if args.where else None
-        exclude = CT.BAD_MEDIA_FIELDS if args.media else CT.BAD_RECORD_FIELDS
+        exclude = CT.BAD_FIELDS[args.load]
         res = load_records(
             spark, args.src, args.base, args.name, args.stamp, fmt=args.format, meta=args.meta, where=where,
             exclude=exclude, schema=args.schema,

@@ -118,8 +118,11 @@ terms as (
   select 'Q' || cast(k as varchar) as id,
     p_name || case when k % 7 = 0 then '|' || p_type else '' end as names,
     case when k % 7 = 0 then 2 else 1 end as n_names,
-    case when k % 6 <> 0 then 'Q' || cast(p_size as varchar) else '' end as rank_ids,
-    case when k % 6 <> 0 then 1 else 0 end as n_ranks,
+    -- a P105 qualifier (k % 19 = 0) makes a second P105 key, so no rank is read
+    case when k % 6 <> 0 and k % 19 <> 0 then 'Q' || cast(p_size as varchar) else '' end as first_rank,
+    case when k % 6 <> 0 and k % 19 <> 0 then 'Q' || cast(p_size as varchar)
+      || case when k % 17 = 0 then '|Q' || cast(p_size + 1 as varchar) else '' end else '' end as rank_ids,
+    case when k % 6 = 0 or k % 19 = 0 then 0 when k % 17 = 0 then 2 else 1 end as n_ranks,
     'Q' || cast(k % 10 as varchar) || case when k % 13 = 0 then '|Q' || cast(k % 9 as varchar) else '' end as parent_ids,
     case when k % 13 = 0 then 2 else 1 end as n_parents,
     concat_ws('|', case when k % 2 = 0 and k % 8 <> 0 then 'NCBI:' || cast(k as varchar) end,
@@ -174,10 +177,10 @@ select case when c_custkey % 2 = 0 then 'NCBI:' else 'GBIF:' end || cast(c_custk
        c_mktsegment as pathNames, null::varchar as externalUrl, null::varchar as thumbnailUrl
 from customer
 union
-select 'WD:' || id, p_name, 'WD:' || rank_ids, '',
+select 'WD:' || id, p_name, 'WD:' || first_rank, '',
        repeat(' | ', n_parents) || p_name,
        replace('WD:' || parent_ids, '|', ' | WD:') || ' | WD:' || id,
-       repeat(' | ', n_parents) || 'WD:' || rank_ids,
+       repeat(' | ', n_parents) || 'WD:' || first_rank,
        'https://www.wikidata.org/wiki/' || id, ''
 from full_terms""",
         "merge_rewire": f"with {TERMS}, {RESOLVER} select * from rewired",
@@ -248,6 +251,7 @@ ITEM_OUT = (
 ORACLES.update(
     {
         "typed_ingest": f"with {TYPED_ITEMS} select {ITEM_OUT} from checked where ok",
+        "keep_all_good": f"with {TYPED_ITEMS} select {ITEM_OUT} from checked where ok",
         "ingest_tsv_roundtrip": f"with {TYPED_ITEMS} select {ITEM_OUT} from checked where ok",
         "typed_ingest_required": f"""
 with raw as (
@@ -269,6 +273,27 @@ cut as (select case when count(*) > 50 then max(rn) end as c from (select rn fro
 select {ITEM_OUT} from checked where ok and ((select c from cut) is null or rn < (select c from cut))""",
         "row_slice": """
 select * from (select * from orders order by o_orderkey desc limit 181461) order by o_orderkey limit 15000""",
+        "row_slice_inner": """
+select * from (select * from orders order by o_orderkey desc limit 900) order by o_orderkey limit 300""",
+        "editions_cut": """
+select 'all' as edition, count(*)::bigint as n_rows from events
+union all select 'small', least(count(*), 300)::bigint from events
+union all select 'half', least(count(*), 700)::bigint from events""",
+        "edition_ordered_cut": "select * from orders order by o_orderkey limit 700",
+        "media_fields": """
+select cast(event_id as varchar) as uuid, event_type as genus, event_type as mediarecords, event_type as commonnames,
+       event_type as associatedsequences from events""",
+        "mini_fields": """
+select cast(event_id as varchar) as uuid, event_type as genus, event_type as records, event_type as associatedsequences
+from events""",
+        "record_fields": """
+select cast(event_id as varchar) as uuid, event_type as genus, event_type as records from events""",
+        "uuid_head": "select cast(event_id as varchar) as uuid from events order by uuid limit 10",
+        "archive_listing": """
+select p_partkey as page_id, 'gb' || cast(p_partkey as varchar) || '.seq.gz' as link from part where p_partkey % 5 <> 0""",
+        "snapshot_guard": "select *, true as guarded from region",
+        "histogram_export": f"""with {TERMS}
+select n_same_as::bigint as n_ids, count(*)::bigint as n_entities from terms group by n_same_as""",
         "delimited_roundtrip": "select c_custkey, c_name, c_nationkey, c_mktsegment from customer",
         "headerless_csv_scan": """
 select o_orderkey, o_custkey, o_orderstatus, o_totalprice, cast(o_orderdate as date) as o_orderdate, o_orderpriority
@@ -357,6 +382,7 @@ _PAT = "'^([NS])([0-9]+)([EW])([0-9]+)'"
 ORACLES.update(
     {
         "field_catalog": f"with {META} select field, type from meta",
+        "field_list": f"with {META} select field from meta where type <> 'COMPLEX'",
         "field_drift": f"""with {META},
 me as (select distinct field || '::' || type as entry from meta),
 te as (select distinct field || '::' || type as entry from tbl)

@@ -77,8 +77,8 @@ def test_cli_elevation_and_records(spark, tmp_path, capsys):
     src = str(tmp_path / "media.parquet")
     A.records(spark, SF_SMALL).write.parquet(src)
     J.main(["load-records", "--src", src, "--base", str(tmp_path / "m"), "--name", "idigbio-media",
-            "--stamp", "20240101T000000", "--where", '{"genus": "view"}', "--media"])
+            "--stamp", "20240101T000000", "--where", '{"genus": "view"}', "--load", "media"])
     res = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     full = spark.read.parquet(res["all"])
-    assert "commonnames" not in full.columns and "uuid" in full.columns  # every column but the bad ones
+    assert "commonnames" in full.columns and "uuid" in full.columns  # the media list keeps the common names
     assert full.where(F.col("genus") != "view").count() == 0
