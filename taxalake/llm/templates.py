@@ -22,6 +22,7 @@ Results by case
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .words import PLAIN, mix, word_hashes
+from .words import PLAIN, groups, mix, word_places
 
 DEPTH = 3
 VARIABLE = np.uint64(0)  # the hash of a variable token
@@ -44,39 +45,52 @@ def _flags(chars: bytes) -> np.ndarray:
 
 
 _FIELD = _flags(b"0123456789@")
-
-
-def _masked(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lines' tokens (variable ones 0) and the lines' offsets."""
-    hashes, offset = word_hashes(lines, PLAIN)
-    number = np.diff(offset)
-    with_field = [i for i, t in enumerate(lines) if _FIELD[np.frombuffer(t, np.uint8)].any()]
-    for i in with_field:
-        tokens = lines[i].split()
-        if len(tokens) == number[i]:
-            field = np.array([_FIELD[np.frombuffer(t, np.uint8)].any() for t in tokens])
-            hashes[offset[i] : offset[i + 1]][field] = VARIABLE
-    return hashes, offset
-
-
-def parsed(text: str, min_tokens: int, depth: int = DEPTH) -> tuple[list[str], np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Lines of a text; which of them are parsed; and of these leaf, tokens and the hash of the whole line."""
-    lines = text.split("\n")
-    hashes, offset = _masked([t.encode() for t in lines])
-    number = np.diff(offset)
+_GROUP = 1 << 20
+
+
+@dataclass
+class Parsed:
+    """The lines of some texts. By text: ``first``, the number of its first line (len + 1). By line: its
+    number of tokens and where they begin in ``hashes``. ``which``: the lines that are parsed; by these
+    ``text``, ``leaf`` and ``whole`` (the hash of the line)."""
+
+    first: np.ndarray
+    number: np.ndarray
+    begin: np.ndarray
+    hashes: np.ndarray
+    which: np.ndarray
+    text: np.ndarray
+    leaf: np.ndarray
+    whole: np.ndarray
+
+
+def parse(texts: list[bytes], min_tokens: int, depth: int = DEPTH) -> Parsed:
+    hashes, starts, raw, at = word_places(texts, PLAIN)
+    fields = np.flatnonzero(_FIELD[raw])
+    if len(fields):
+        hashes[np.searchsorted(starts, fields, "right") - 1] = VARIABLE
+    breaks = np.flatnonzero(raw == 10)
+    line = np.searchsorted(breaks, starts)
+    number = np.bincount(line, minlength=len(breaks))
+    begin = np.concatenate(([0], np.cumsum(number)))
+    place = (np.arange(len(hashes)) - begin[line]).astype(np.uint64)
+    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + mix(place + np.uint64(7))), dtype=np.uint64)))
     which = np.flatnonzero(number >= min_tokens)
-    begin, number = offset[which], number[which]
-    leaf = mix(number.astype(np.uint64))
+    n, b = number[which], begin[which]
+    leaf = mix(n.astype(np.uint64))
     for d in range(depth):
-        short = number <= d
-        leaf = mix(leaf * np.uint64(31) + np.where(short, np.uint64(1), hashes[np.minimum(begin + d, max(len(hashes) - 1, 0))] if len(hashes) else 0))
-    place = np.concatenate([np.arange(n) for n in number]).astype(np.uint64) if len(number) else np.zeros(0, np.uint64)
-    tokens = [hashes[b : b + n] for b, n in zip(begin, number)]
-    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat + mix(place + np.uint64(7))), dtype=np.uint64)))
-    ends = np.cumsum(number)
-    whole = mix(running[ends] - running[ends - number] + leaf) if len(number) else np.zeros(0, np.uint64)
-    return lines, which, leaf, tokens, whole
+        token = hashes[np.minimum(b + d, max(len(hashes) - 1, 0))] if len(hashes) else np.zeros(len(which), np.uint64)
+        leaf = mix(leaf * np.uint64(31) + np.where(n <= d, np.uint64(1), token))
+    whole = mix(running[b + n] - running[b] + leaf)
+    first = np.searchsorted(breaks, at)
+    return Parsed(first, number, begin, hashes, which, np.searchsorted(first, which, "right") - 1, leaf, whole)
+
+
+def _parsed(column, min_tokens: int) -> Iterator[tuple[int, Parsed]]:
+    """Parsed texts of a batch, a group at a time, with the number of the group's first text."""
+    texts = [(t or "").encode() for t in column]
+    for part in groups([len(t) for t in texts], _GROUP):
+        yield part.start, parse(texts[part], min_tokens)
 
 
 def _signed(x) -> np.ndarray:
@@ -88,18 +102,16 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            ks, zs, leaves, lines = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for k, z, t in zip(batch.column("k").to_pylist(), batch.column("z").to_pylist(), batch.column("text")):
-                _, _, leaf, _, whole = parsed(t.as_py(), min_tokens)
-                seen = np.unique(whole, return_index=True)[1]
-                ks += [k] * len(seen)
-                zs += [z] * len(seen)
-                leaves.append(leaf[seen])
-                lines.append(whole[seen])
-            columns = [ks, pa.array(zs, pa.bool_()), _signed(np.concatenate(leaves)), _signed(np.concatenate(lines))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ks, pa.int64()), columns[1], pa.array(columns[2]), pa.array(columns[3])], names=["k", "z", "leaf", "line"]
-            )
+            for at, p in _parsed(batch.column("text").to_pylist(), min_tokens):
+                order = np.lexsort((p.whole, p.text))
+                text, whole = p.text[order], p.whole[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (text[1:] != text[:-1]) | (whole[1:] != whole[:-1])
+                rows = pa.array(text[new] + at)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("k").take(rows), batch.column("z").take(rows), pa.array(_signed(p.leaf[order][new])),
+                     pa.array(_signed(whole[new]))], names=["k", "z", "leaf", "line"],
+                )
 
     return docs.mapInArrow(batches, "k long, z boolean, leaf long, line long")
 
@@ -111,20 +123,22 @@ def _tokens(docs: DataFrame, min_tokens: int) -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in it:
-            leaves, lines, made = [], [], []
-            for t in batch.column("text"):
-                _, _, leaf, tokens, whole = parsed(t.as_py(), min_tokens)
-                for i, line in enumerate(whole.tolist()):
-                    if line not in sent:
-                        sent.add(line)
-                        leaves.append(leaf[i])
-                        lines.append(line)
-                        made.append((tokens[i] >> np.uint64(32)).astype(np.uint32).tobytes())
+            for _, p in _parsed(batch.column("text").to_pylist(), min_tokens):
+                lines, index = np.unique(p.whole, return_index=True)
+                new = np.array([x not in sent for x in lines.tolist()], bool)
+                sent.update(lines[new].tolist())
                 if len(sent) > 1 << 19:
                     sent.clear()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(leaves)), pa.array(_signed(lines)), pa.array(made, pa.binary())], names=["leaf", "line", "tokens"]
-            )
+                index = index[new]
+                number, begin = p.number[p.which[index]], p.begin[p.which[index]]
+                ends = np.cumsum(number)
+                flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - number), number)
+                data = (p.hashes[flat] >> np.uint64(32)).astype(np.uint32)
+                offsets = np.concatenate(([0], ends * 4)).astype(np.int32)
+                tokens = pa.Array.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_signed(p.leaf[index])), pa.array(_signed(p.whole[index])), tokens], names=["leaf", "line", "tokens"]
+                )
 
     return docs.select("text").mapInArrow(batches, "leaf long, line long, tokens binary")
 
@@ -244,14 +258,16 @@ def _without(min_tokens: int):
     @F.pandas_udf(_CUT)
     def udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, lost in batches:
-            out = []
-            for t, gone in zip(texts, lost):
-                if t is None or gone is None:
-                    out.append((t, 0))
-                    continue
-                lines, which, _, _, whole = parsed(t, min_tokens)
-                drop = set(which[np.isin(whole.view(np.int64), np.asarray(gone, np.int64))].tolist())
-                out.append(("\n".join(x for i, x in enumerate(lines) if i not in drop), len(drop)))
+            held = [i for i, (t, gone) in enumerate(zip(texts, lost)) if t is not None and gone is not None]
+            out = [(t, 0) for t in texts]
+            for at, p in _parsed([texts.iloc[i] for i in held], min_tokens):
+                ends = np.searchsorted(p.text, np.arange(len(p.first)))
+                for j in range(len(p.first) - 1):
+                    i, own = held[at + j], slice(ends[j], ends[j + 1])
+                    gone = np.isin(p.whole[own].view(np.int64), np.asarray(lost.iloc[i], np.int64))
+                    drop = set((p.which[own][gone] - p.first[j]).tolist())
+                    lines = texts.iloc[i].split("\n")
+                    out[i] = ("\n".join(x for n, x in enumerate(lines) if n not in drop), len(drop))
             yield pd.DataFrame(out, columns=["text", "dropped"])
 
     return udf

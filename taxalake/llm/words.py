@@ -63,13 +63,14 @@ def _hash_block(raw: np.ndarray, tables) -> tuple[np.ndarray, np.ndarray]:
     return start, mix((total[end] - total[start]) * down[start])
 
 
-def word_hashes(texts: list[bytes], tables=PLAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``texts`` in order, and the offsets (len + 1) of each text's words."""
+def word_places(texts: list[bytes], tables=PLAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` in order and where each begins in the joined bytes, those
+    bytes (every text followed by a newline), and where each text begins in them (len + 1)."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     begin = np.concatenate(([0], np.cumsum(lengths + 1)))
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    raw = np.frombuffer(b"\n".join(texts) + b"\n" if texts else b"", dtype=np.uint8)
     cut = tables[1]
-    starts, hashes, at = [], [], 0
+    starts, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     while at < len(raw):
         to = min(at + BLOCK, len(raw))
         while to < len(raw):  # go on to the next gap, so that no word is cut
@@ -82,10 +83,25 @@ def word_hashes(texts: list[bytes], tables=PLAIN) -> tuple[np.ndarray, np.ndarra
         starts.append(s + at)
         hashes.append(h)
         at = to
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    start = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(start, begin).astype(np.int64)
+    return np.concatenate(hashes), np.concatenate(starts), raw, begin
+
+
+def word_hashes(texts: list[bytes], tables=PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of ``texts`` in order, and the offsets (len + 1) of each text's words."""
+    hashes, starts, _, begin = word_places(texts, tables)
+    return hashes, np.searchsorted(starts, begin).astype(np.int64)
+
+
+def groups(sizes: list[int], limit: int):
+    """Slices of consecutive texts of about ``limit`` bytes together (one text at least)."""
+    first = size = 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= limit:
+            yield slice(first, i + 1)
+            first, size = i + 1, 0
+    if first < len(sizes):
+        yield slice(first, len(sizes))
 
 
 def grams(words: np.ndarray, n: int) -> np.ndarray:
