@@ -120,6 +120,19 @@ def composite_conflicts(spark, sf):
     return LG.composite_conflicts(_composites(spark, sf))
 
 
+@query
+def composites_long(spark, sf):
+    """Composites by signature, one row per (id, GLOBI term): no array, no key text, so a hub id costs its links."""
+    return LG.composite_signatures(links_of(spark, sf)).select("ext", "g", "n_links", "n_others", "key_length")
+
+
+@query
+def composite_stats_long(spark, sf):
+    """Ids, repeats and key length of every composite, grouped by signature."""
+    stats = LG.signature_stats(LG.composite_signatures(links_of(spark, sf)))
+    return stats.select("g", "n_others", "n_ids", "repeats", "key_length")
+
+
 @query
 def conflicts_by_key_length(spark, sf):
     # by composite signature: no key strings are built
@@ -572,6 +585,8 @@ COVERS: dict[str, str] = {
     "coverage_report": "A7 A8 A9 A10 A11 A12 A13 X17",
     "venn_by_scheme": "A14",
     "composites": "A16 X18 X10",
+    "composites_long": "A16 X18",
+    "composite_stats_long": "A18 X19 X20",
     "composite_ids": "A17",
     "composite_conflicts": "A18 X19 X20",
     "conflicts_by_key_length": "A19",

@@ -98,6 +98,17 @@ select {REGION} as region, scheme, count(*)::bigint as n_ids from prof group by
     "composite_ids": f"with {COMPOSITES} select composite, ext from members",
     "composite_conflicts": f"""with {COMPOSITES}
 select composite, n_ids::bigint as n_ids, repeats::bigint as repeats, key_length::bigint as key_length from stats""",
+    "composites_long": f"""with {COMPOSITES}
+select g.ext, g.g, g.n_links::bigint as n_links, coalesce(len(o.others), 0)::bigint as n_others,
+       len(string_split(c.composite, '|'))::bigint as key_length
+from g left join others o on g.ext = o.ext
+join comps c on c.ext = g.ext
+  and c.composite = array_to_string(list_sort(list_append(coalesce(o.others, []::varchar[]), g.g)), '|')""",
+    "composite_stats_long": f"""with {COMPOSITES}
+select g.g, coalesce(len(o.others), 0)::bigint as n_others, count(*)::bigint as n_ids,
+       (count(*) - count(distinct split_part(g.ext, ':', 1)))::bigint as repeats,
+       (coalesce(len(o.others), 0) + 1)::bigint as key_length
+from g left join others o on g.ext = o.ext group by g.g, list_sort(o.others), len(o.others)""",
     "conflicts_by_key_length": f"""with {COMPOSITES}
 select key_length::bigint as key_length, count(*)::bigint as n_composites from stats where repeats > 0 group by key_length""",
     "conflicts_pair": f"""with {COMPOSITES}
