@@ -16,11 +16,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+#: Makes Spark delete the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that later
-    jobs neither recompute it nor depend on an executor that may be lost."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    jobs neither recompute it nor depend on an executor that may be lost. The shuffle
+    files that it took are deleted at once, not when the driver collects its garbage."""
+    spark = df.sparkSession
+    checkpoint_root(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # the setting counts for DataFrames made under it
+    finally:
+        spark.conf.set(CLEANUP, before)
 
 
 def fresh(df: DataFrame, name: str) -> str:
