@@ -41,7 +41,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs, labels = common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels")
     held_out = common.fold(F.col("doc_id"), 4) == 2
-    model = toxicity.fit(docs, labels.where(~held_out))
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .words import LETTERS, word_hashes
+from .words import LETTERS, groups, word_hashes
 
 FLOOR = 1e-9
 #: An expression speaks for a class of its own if it is so many times (as a logarithm) likelier there.
@@ -45,14 +45,7 @@ GROUP = 1 << 22
 
 
 def _groups(texts: list[bytes]) -> Iterator[slice]:
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= GROUP:
-            yield slice(first, i + 1)
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
+    return groups([len(t) for t in texts], GROUP)
 
 
 @dataclass
@@ -184,7 +177,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     probability of its own there; most words are rare, and a count of one or two says
     little about the class."""
     given = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(given, "id")
+    # always a sort-merge join: the labels' size has no bound, so they are not to be broadcast
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(given.hint("merge"), "id")
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(5))
     rows = common.durable(rows.select("text", "y", part.alias("part"), F.rand(7).alias("u")))
     counted, curve_rows = rows.where("part > 0"), rows.where("part = 0")
