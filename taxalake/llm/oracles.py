@@ -1,5 +1,5 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from . import chat
+from . import chat, jaccard
 
-ORACLES: dict[str, str] = {"op10_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op2_jaccard": jaccard.ORACLE, "op10_chat": chat.ORACLE}
