@@ -2,15 +2,19 @@
 
 Lines are parsed in a tree of fixed depth: first by their number of tokens, then by their
 leading tokens, where a token with a digit or an @ counts as a variable field. A leaf
-holds templates; a line that equals a template in at least ``similar`` of its tokens
-belongs to it, and the template's other places become variable. A template that occurs in
+holds templates, each the line it began with; a line belongs to a template if at least
+``similar`` of the places that aren't fields in both have that line's word, and half as
+large a share of all places. A template never widens, whatever joins it. One that occurs in
 at least ``min_docs`` documents is recurring; its lines are dropped from all of them but
 the one with the smallest id, so that no text is lost altogether.
 
 Lines travel as hashes. Only leaves with several different lines are looked at closer;
 equal lines are one row of a leaf however often they occur. A leaf's rows are dealt over
-portions of about ``portion`` rows whose templates are then merged by the same rule, and
-a portion is read as a stream of which only its templates are kept.
+portions of about ``portion`` rows whose templates are then merged by the same rule; a
+line follows its template into another one only if it is like that one's line as well.
+A portion is read as a stream of which only its templates are kept. In a leaf of many
+templates a line is held only against those that share one of its pieces: lines that
+differ in d places share one of d + 1.
 
 Results by case
     null text: null, no lines; empty text: empty; lines of fewer than ``min_tokens``
@@ -21,6 +25,7 @@ Results by case
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +41,7 @@ from .words import PLAIN, groups, mix, word_places
 
 DEPTH = 3
 VARIABLE = np.uint64(0)  # the hash of a variable token
+FEW = 64  # so many templates are all compared
 
 
 def _flags(chars: bytes) -> np.ndarray:
@@ -143,85 +149,115 @@ def _tokens(docs: DataFrame, min_tokens: int) -> DataFrame:
     return docs.select("text").mapInArrow(batches, "leaf long, line long, tokens binary")
 
 
+def _alike(known: np.ndarray, tokens: np.ndarray, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``known``: the alike places, those of them that are no fields, and whether the line belongs to it."""
+    equal = known == tokens
+    alike, fixed = equal.sum(axis=1), (equal & (tokens != 0)).sum(axis=1)
+    words = len(tokens) - (alike - fixed)
+    return alike, fixed, (fixed >= similar * words - 1e-9) & (fixed >= similar * len(tokens) / 2)
+
+
 class Leaf:
-    """Templates of one leaf, kept as rows of token hashes in which 0 is a variable place."""
+    """Templates of one leaf, each the line it began with, as rows of token hashes in which 0 is a field."""
 
     def __init__(self, size: int, similar: float):
         self.similar, self.count = similar, 0
         self.names: list[int] = []
         self.table = np.zeros((4, size), np.uint32)
+        # the leading tokens are the leaf's, so the pieces are of the others
+        pieces = int((1 - similar) * size + 1e-9) + 1
+        self.cuts = np.linspace(min(DEPTH, size), size, pieces + 1).astype(int).tolist()
+        self.by_piece: dict[tuple[int, bytes], list[int]] = {}
+        self.indexed = 0
+
+    def _pieces(self, tokens: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(a, tokens[a:b].tobytes()) for a, b in zip(self.cuts, self.cuts[1:])]
+
+    def _near(self, tokens: np.ndarray) -> np.ndarray:
+        """The templates that the line may belong to."""
+        if self.count <= FEW:
+            return np.arange(self.count)
+        for i in range(self.indexed, self.count):
+            for key in self._pieces(self.table[i]):
+                self.by_piece.setdefault(key, []).append(i)
+        self.indexed = self.count
+        return np.array(sorted({i for key in self._pieces(tokens) for i in self.by_piece.get(key, ())}), dtype=np.int64)
 
     def place(self, name: int, tokens: np.ndarray) -> int:
-        """The name of the template that the line belongs to: a new one's is the line's own."""
-        if self.count:
-            known = self.table[: self.count]
-            alike = ((known == tokens) | (known == 0) | (tokens == 0)).sum(axis=1)
-            fixed = ((known == tokens) & (known != 0)).sum(axis=1)
-            best = int(np.lexsort((fixed, alike))[-1])
-            if alike[best] >= self.similar * len(tokens) and fixed[best] >= self.similar * len(tokens) / 2:
-                row = self.table[best]
-                row[row != tokens] = 0
-                return self.names[best]
+        """The number of the template that the line belongs to: a new one's name is the line's own."""
+        near = self._near(tokens)
+        alike, fixed, belongs = _alike(self.table[near], tokens, self.similar)
+        if belongs.any():
+            near, alike, fixed = near[belongs], alike[belongs], fixed[belongs]
+            return int(near[np.lexsort((fixed, alike))[-1]])
         if self.count == len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         self.table[self.count] = tokens
         self.count += 1
         self.names.append(name)
-        return name
+        return self.count - 1
 
 
-def _grow(rows: DataFrame, similar: float) -> DataFrame:
-    """Streams rows (leaf, part, line, tokens; sorted, all of a leaf's part in one task) through the tree;
-    gives leaf, line and its template, and at the end of a part its templates' tokens."""
+def _grow(rows: DataFrame, similar: float, merge: bool = False) -> DataFrame:
+    """Streams rows (leaf, part, parts, line, tokens; sorted, all of a leaf's part in one task) through the tree;
+    gives leaf, line and its template. For a leaf of several parts, the line's tokens stand in ``tokens`` and
+    templates have a row of their own; with ``merge``, ``root`` has the template's tokens."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, leaf, lines = None, None, 0
-        out: list[list] = [[], [], [], []]
+        at, leaf, parts = None, None, 0
+        out: list[list] = [[], [], [], [], []]
+
+        def put(*row) -> None:
+            for c, v in zip(out, row):
+                c.append(v)
 
         def close() -> None:
-            if leaf is not None and lines > 1:
+            if leaf is not None and parts > 1 and not merge:
                 for i, name in enumerate(leaf.names):
-                    out[0].append(at[0])
-                    out[1].append(name)
-                    out[2].append(name)
-                    out[3].append(leaf.table[i].tobytes())
+                    put(at[0], name, name, leaf.table[i].tobytes(), None)
 
         def flush() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["leaf", "line", "template", "tokens"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, kinds)], names=["leaf", "line", "template", "tokens", "root"]
+            )
             for c in out:
                 c.clear()
             return made
 
-        before = single = None
+        before = None
         for batch in it:
-            for key in zip(*(batch.column(c).to_pylist() for c in ("leaf", "part", "line", "tokens"))):
+            for key in zip(*(batch.column(c).to_pylist() for c in ("leaf", "part", "line", "parts", "tokens"))):
                 if key[:3] == before:
                     continue
-                tokens = np.frombuffer(key[3], np.uint32)
+                tokens = np.frombuffer(key[4], np.uint32)
                 if key[:2] != at:
                     close()
-                    if single is not None:  # a part of one line: it may still meet lines of other parts
-                        for c, v in zip(out, single):
-                            c.append(v)
-                    at, leaf, lines = key[:2], Leaf(len(tokens), similar), 0
-                lines += 1
-                name = leaf.place(key[2], tokens)
-                single = (key[0], key[2], key[2], key[3]) if lines == 1 else None
-                if name != key[2]:
-                    for c, v in zip(out, (key[0], key[2], name, None)):
-                        c.append(v)
+                    at, leaf, parts = key[:2], Leaf(len(tokens), similar), key[3]
+                i = leaf.place(key[2], tokens)
+                if leaf.names[i] != key[2]:
+                    own = key[4] if parts > 1 and not merge else None
+                    put(key[0], key[2], leaf.names[i], own, leaf.table[i].tobytes() if merge else None)
                 before = key[:3]
             if out[0]:
                 yield flush()
         close()
-        if single is not None:
-            for c, v in zip(out, single):
-                c.append(v)
         yield flush()
 
     dealt = rows.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line")
-    return dealt.select("leaf", "part", "line", "tokens").mapInArrow(batches, "leaf long, line long, template long, tokens binary")
+    kinds = "leaf long, line long, template long, tokens binary, root binary"
+    return dealt.select("leaf", "part", "line", "parts", "tokens").mapInArrow(batches, kinds)
+
+
+def _belongs(similar: float):
+    """A function of the tokens of two lines: whether the first belongs to the second's template."""
+
+    @F.pandas_udf(T.BooleanType())
+    def udf(tokens: pd.Series, root: pd.Series) -> pd.Series:
+        lines = ((np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)) for a, b in zip(tokens, root))
+        return pd.Series([bool(_alike(b[None, :], a, similar)[2][0]) for a, b in lines], dtype=bool)
+
+    return udf
 
 
 def recurring(docs: DataFrame, min_docs: int, min_tokens: int, similar: float, portion: int) -> DataFrame:
@@ -230,15 +266,19 @@ def recurring(docs: DataFrame, min_docs: int, min_tokens: int, similar: float, p
     has = common.durable(_lines(docs, min_tokens))
     several = has.groupBy("leaf", "line").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.sum("one").alias("n")).where("n > 1")
     close = _tokens(docs, min_tokens).join(several, "leaf")
-    close = close.withColumn("part", F.pmod(F.xxhash64("line"), F.expr(f"n div {portion} + 1")))
+    close = close.withColumn("parts", F.expr(f"n div {portion} + 1")).withColumn("part", F.pmod(F.xxhash64("line"), "parts"))
     first = common.durable(_grow(close, similar))
     # templates of a leaf's portions meet; a leaf that was one portion is not looked at again
-    merged = _grow(first.where("tokens is not null").withColumn("part", F.lit(0).cast("long")), similar)
-    merged = merged.where("line <> template").select(F.col("line").alias("template"), F.col("template").alias("root"))
-    merged = common.durable(merged)
-    named = first.where("line <> template").select("line", "template").join(merged, "template", "left")
+    zero = F.lit(0).cast("long")
+    merged = _grow(first.where("line = template").withColumns({"part": zero, "parts": zero}), similar, merge=True)
+    merged = common.durable(merged.select("line", "template", "root"))
+    moved = first.where("line <> template and tokens is not null").select("line", "template", "tokens").join(
+        merged.select(F.col("line").alias("template"), F.col("template").alias("other"), "root"), "template"
+    )
+    moved = moved.where(_belongs(similar)("tokens", "root")).select("line", F.col("other").alias("root"))
+    named = first.where("line <> template").select("line", "template").join(moved, "line", "left")
     named = named.select("line", F.coalesce("root", "template").alias("root"))
-    roots = named.union(merged.select(F.col("template").alias("line"), "root"))
+    roots = named.union(merged.select("line", F.col("template").alias("root")))
 
     has = has.join(roots, "line", "left").select("k", "z", "line", F.coalesce("root", "line").alias("root"))
     spread = has.select("root", "k", "z").distinct().groupBy("root").agg(

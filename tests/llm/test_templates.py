@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from taxalake.llm import templates
 
 COLUMNS = "doc_id long, text string, n_lines int, part string"
@@ -61,6 +63,34 @@ def test_portions_of_a_leaf_merge(spark):
         assert {r.doc_id for r in rows if r.n_dropped == 0} == {0}
 
 
+def test_templates_do_not_widen(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda i: "".join(letters[(i // 26**k) % 26] for k in range(3))
+    docs = []
+    for i in range(150):  # lines of a document's own, some alike in pairs, so that templates could chain
+        lines = [f"see also here {word(i)} {word(i // 2 + 7000)}", f"see also here {word(i // 2 + 3000)} {word(i + 12000)}"]
+        lines += [" ".join(["see also here", *(word(1000 * k + i) for k in range(n - 3))]) for n in (5, 6, 7)]
+        lines += [f"see also here {word(i + 5000)} 7" if i % 2 else f"see also here 8 {word(i + 5000)}"]
+        docs.append((i, "\n".join(lines)))
+    for portion in (50_000, 20):
+        assert {r.doc_id: r.text for r in run(spark, docs, portion=portion).collect()} == dict(docs)
+
+
+def test_pieces_find_what_all_comparisons_find(monkeypatch):
+    rng = np.random.default_rng(5)
+    for size in (4, 5, 7, 10, 23):
+        lines = rng.integers(0, 4, (400, size)).astype(np.uint32)
+        lines[:, :3] = (9, 9, 0)
+        lines[:, 3 + size // 8 :] = lines[:1, 3 + size // 8 :]
+        lines[rng.integers(0, 400, 300), rng.integers(min(3, size - 1), size, 300)] = rng.integers(0, 50, 300)
+        got = []
+        for few in (0, 10**9):
+            monkeypatch.setattr(templates, "FEW", few)
+            leaf = templates.Leaf(size, 0.8)
+            got.append([leaf.place(i, x) for i, x in enumerate(lines)])
+        assert got[0] == got[1]
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "\n\n"), (4, "a b"), (5, "a b"), (6, "a b"), (None, "one two three"), (None, "one two three"),
             (7, "one two three"), (8, "one two three"), (9, "one two three\n" * 20_000), (9, "z")]
