@@ -9,11 +9,12 @@ A class's bigram counts are discounted and back off to the class's continuation
 counts of both classes together, so that a rare expression is judged by counts that the
 classes share.
 
-Counting covers every labelled text, in Spark; it grows with the labels. A text counts,
-and is judged by, each of its bigrams once, however often it repeats it. A word or
-bigram gets its own entry if its count is at least 2 and at least ``rarest`` of all
-counted words; all others count as the unknown word or by their backoff. So a model has
-at most 1 / rarest words and as many bigrams whatever the input, and can be broadcast.
+Counting is done in Spark; it grows with the labels. A text counts, and is judged by,
+each of its bigrams once, however often it repeats it. Every word and bigram above the
+discounts, which are the same at every size, has its own entry; one that isn't above them
+in either class would have no probability of its own anyway. Entries are a stored table.
+The most frequent ``most`` of them go to every task; if there are more, what a text's
+bigrams don't find there is joined to the table and summed by text.
 
 Results by case
     null text counts as empty; text without a word: the score of a difference of 0;
@@ -35,13 +36,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
-from .words import LETTERS, groups, word_hashes
+from .words import LETTERS, groups, mix, word_hashes
 
 FLOOR = 1e-9
 #: An expression speaks for a class of its own if it is so many times (as a logarithm) likelier there.
 STRONG = 1.5
 #: Texts are hashed in groups of about so many bytes.
 GROUP = 1 << 22
+#: What stands before a text's first word.
+BEGIN = np.uint64(0x9E3779B97F4A7C15)
+PAIR, CONTEXT, WORD, TEXT = range(4)
 
 
 def _groups(texts: list[bytes]) -> Iterator[slice]:
@@ -50,88 +54,147 @@ def _groups(texts: list[bytes]) -> Iterator[slice]:
 
 @dataclass
 class Vocabulary:
-    """Sorted word hashes; word number i + 1 is the i-th, 0 is the unknown word."""
+    """Sorted hashes and the gain of each."""
 
     hashes: np.ndarray
+    gains: np.ndarray
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
+        """The gains of ``h``, and which of them stand here."""
         if not len(self.hashes):
-            return np.zeros(len(h), dtype=np.int64)
+            return np.full(len(h), default), np.zeros(len(h), bool)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 1, 0)
+        known = self.hashes[at] == h
+        return np.where(known, self.gains[at], default), known
 
 
-def _pairs(texts: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """A key for every word of ``texts`` with the word before it (a text's first has the last
-    number + 1 before it), and the texts' offsets."""
-    h, offset = word_hashes(texts, LETTERS)
-    word, base = vocabulary.numbers(h), len(vocabulary.hashes) + 2
+def _key(kind: int, h: np.ndarray) -> np.ndarray:
+    """The key of a context or word among all entries."""
+    return mix(h + np.uint64(kind))
+
+
+def _pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's distinct bigrams: their keys, the words before and the words, and the texts' offsets."""
+    word, offset = word_hashes(texts, LETTERS)
     before = np.empty_like(word)
     before[1:] = word[:-1]
-    before[offset[:-1][offset[1:] > offset[:-1]]] = base - 1
-    return before * base + word, offset
+    before[offset[:-1][offset[1:] > offset[:-1]]] = BEGIN
+    key = mix(mix(before) + word)
+    text = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
+    order = np.lexsort((key, text))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(text[order]) != 0) | (key[order][1:] != key[order][:-1])
+    own = order[new]
+    return key[own], before[own], word[own], np.searchsorted(text[own], np.arange(len(offset)))
+
+
+def _signed(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
 
 
-def _count(rows: DataFrame, vocabulary: Vocabulary | None) -> DataFrame:
-    """key, n0, n1: counts by class of words (without vocabulary) or bigrams. Each batch is summed before the shuffle."""
+def _count(rows: DataFrame) -> DataFrame:
+    """key, before, word, n0, n1: counts of bigrams by class. Each batch is summed before the shuffle."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary
         for batch in it:
             texts, label = [(t or "").encode() for t in batch.column("text").to_pylist()], batch.column("y").to_numpy()
             for part in _groups(texts):
-                if known is None:
-                    key, offset = word_hashes(texts[part], LETTERS)
-                    key = key.view(np.int64)
-                else:
-                    key, offset = _pairs(texts[part], known)
-                own = [np.unique(key[a:b]) for a, b in zip(offset, offset[1:])]
-                y = np.repeat(label[part], [len(x) for x in own])
-                distinct, at = np.unique(np.concatenate(own), return_inverse=True)
-                n1 = np.bincount(at, y, len(distinct)).astype(np.int64)
-                n = np.bincount(at, minlength=len(distinct)).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"key": distinct, "n0": n - n1, "n1": n1})
-
-    counted = rows.select("text", "y").mapInArrow(batches, "key long, n0 long, n1 long")
-    return counted.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+                key, before, word, offset = _pairs(texts[part])
+                y = np.repeat(label[part], np.diff(offset))
+                _, first, at = np.unique(key, return_index=True, return_inverse=True)
+                n1 = np.bincount(at, y, len(first)).astype(np.int64)
+                n = np.bincount(at, minlength=len(first)).astype(np.int64)
+                yield pa.RecordBatch.from_pydict(
+                    {"before": _signed(before[first]), "word": _signed(word[first]), "n0": n - n1, "n1": n1}
+                )
+
+    counted = rows.select("text", "y").mapInArrow(batches, "before long, word long, n0 long, n1 long")
+    return counted.groupBy("before", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def _keyed(table: DataFrame, kind: int) -> DataFrame:
+    """kind, key, h, gain and n of a table of before, word, gain, n."""
+
+    @F.pandas_udf(T.LongType())
+    def key(before: pd.Series, word: pd.Series) -> pd.Series:
+        b, w = (x.to_numpy(np.int64).view(np.uint64) for x in (before, word))
+        return pd.Series(_signed({PAIR: lambda: mix(mix(b) + w), CONTEXT: lambda: _key(CONTEXT, b), WORD: lambda: _key(WORD, w)}[kind]()))
+
+    h = {PAIR: F.lit(0).cast("long"), CONTEXT: F.col("before"), WORD: F.col("word")}[kind]
+    return table.select(F.lit(kind).alias("kind"), key("before", "word").alias("key"), h.alias("h"), "gain", "n")
 
 
 @dataclass
 class Model:
-    """Differences of log-probability (toxic less ordinary): ``pair`` of the kept bigrams
-    (sorted keys), ``word`` of words by continuation, ``context`` of the backoff weights;
-    ``curve``: intercept and weights of the logistic curve."""
+    """Differences of log-probability (toxic less ordinary): ``keys`` and ``pair`` of bigrams, ``vocabulary`` of words
+    by continuation (``unseen``: of all others), ``contexts`` of the backoff weights (0 of all others);
+    ``table``: key and gain of all further entries, if there are any; ``curve``: intercept and weights
+    of the logistic curve."""
 
     vocabulary: Vocabulary
-    keys: np.ndarray
-    pair: np.ndarray
-    word: np.ndarray
-    context: np.ndarray
+    pairs: Vocabulary
+    contexts: Vocabulary
+    unseen: float
+    table: DataFrame | None
     curve: np.ndarray
 
-    def inputs(self, texts: list[bytes]) -> np.ndarray:
-        """What the logistic curve sees of each text: 1, the difference of the log-likelihoods per word,
-        the part of it that single expressions above STRONG make, and that part's logarithm as a sum."""
-        out = [np.zeros((0, 4))]
-        base = len(self.vocabulary.hashes) + 2
-        for part in _groups(texts):
-            key, offset = _pairs(texts[part], self.vocabulary)
-            text = np.repeat(np.arange(len(offset) - 1), np.diff(offset))
-            text, key = np.divmod(np.unique(text * base**2 + key), base**2)
-            offset = np.searchsorted(text, np.arange(len(offset)))
-            gain = self.context[key // base] + self.word[key % base]
-            if len(self.keys):
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                gain = np.where(self.keys[at] == key, self.pair[at], gain)
-            total, strong = (
-                np.diff(np.concatenate(([0.0], np.cumsum(x)))[offset]) for x in (gain, np.maximum(gain - STRONG, 0))
-            )
-            n = np.maximum(np.diff(offset), 1)
-            out.append(np.stack([np.ones(len(n)), total / n, 10 * strong / n, np.log1p(strong)], axis=1))
-        return np.concatenate(out)
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.inputs(texts) @ self.curve, -30, 30)))
+    @property
+    def keys(self) -> np.ndarray:
+        return self.pairs.hashes
+
+    def look_up(self):
+        """A function of texts: key, before, word and offsets as by _pairs, the gains, which bigrams, contexts and words are
+        known, and the gains of contexts and words."""
+        vocabulary, pairs, contexts, unseen = self.vocabulary, self.pairs, self.contexts, self.unseen
+
+        def of(texts: list[bytes]):
+            key, before, word, offset = _pairs(texts)
+            (own, a), (c, b), (w, d) = pairs.find(key, 0.0), contexts.find(before, 0.0), vocabulary.find(word, unseen)
+            return key, before, word, offset, np.where(a, own, c + w), (a, b, d), c, w
+
+        return of
+
+    def sums(self, rows: DataFrame) -> DataFrame:
+        """k, n, total and strong of each distinct text of ``rows`` (k, text): its bigrams, their gains, and what is above STRONG."""
+        look_up, whole = self.look_up(), self.table is None
+
+        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in it:
+                texts, k = [(t or "").encode() for t in batch.column("text").to_pylist()], batch.column("k").to_numpy()
+                for part in _groups(texts):
+                    key, before, word, offset, gain, (a, b, d), c, w = look_up(texts[part])
+                    done, own = a | whole, k[part]
+                    text = np.repeat(own, np.diff(offset))
+                    add = [np.diff(np.concatenate(([0.0], np.cumsum(x)))[offset]) for x in (done, gain * done, np.maximum(gain - STRONG, 0) * done)]
+                    zero = np.zeros(len(own), np.int64)
+                    out = [[own, zero, zero + TEXT, _signed(mix(own.view(np.uint64))), *add]]
+                    for kind, which, h in ((PAIR, ~done, key), (CONTEXT, ~(done | b), _key(CONTEXT, before)), (WORD, ~(done | d), _key(WORD, word))):
+                        one = np.ones(which.sum())
+                        out.append([text[which], _signed(key[which]), np.full(len(one), kind), _signed(h[which]), one, c[which], w[which]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["k", "i", "kind", "key", "n", "x", "y"])
+
+        made = rows.mapInArrow(batches, "k long, i long, kind long, key long, n double, x double, y double")
+        if whole:
+            return made.select("k", "n", F.col("x").alias("total"), F.col("y").alias("strong"))
+        found = made.join(self.table.hint("merge"), "key", "left")
+        of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+        # equal texts say the same, so a maximum takes one of them
+        each = found.groupBy("k", "i", (F.col("kind") == TEXT).alias("own")).agg(
+            F.max("n").alias("n"), F.max("x").alias("x"), F.max("y").alias("y"), of(PAIR, "gain").alias("pair"),
+            F.coalesce(of(CONTEXT, "gain"), F.max("x")).alias("context"), F.coalesce(of(WORD, "gain"), F.max("y")).alias("word"),
+        )
+        gain = F.coalesce("pair", F.col("context") + F.col("word"))
+        strong = F.greatest(gain - STRONG, F.lit(0.0))
+        return each.groupBy("k").agg(
+            F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("x")).otherwise(gain)).alias("total"),
+            F.sum(F.when(F.col("own"), F.col("y")).otherwise(strong)).alias("strong"),
+        )
+
+    def inputs(self) -> list[Column]:
+        """What the logistic curve sees of the sums of a text: 1, the difference of the log-likelihoods per word, the
+        part of it that single expressions above STRONG make, and that part's logarithm as a sum."""
+        n = F.greatest("n", F.lit(1.0))
+        return [F.lit(1.0), F.col("total") / n, 10 * F.col("strong") / n, F.log1p("strong")]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 30) -> np.ndarray:
@@ -168,9 +231,9 @@ def _smooth(counts: np.ndarray, whole: np.ndarray | float, discount: float) -> t
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-        rarest: float = 1e-6, word_discount: float = 4.0, pair_discount: float = 8.0,
+        most: int = 1_000_000, word_discount: float = 4.0, pair_discount: float = 8.0,
         max_curve_rows: int = 20000) -> Model:
-    """A model from all labelled rows: of every five (by a hash of the id), four are counted
+    """A model from labelled rows: of every five (by a hash of the id), four are counted
     and one fits the logistic curve (of these at most about ``max_curve_rows`` rows).
 
     The discounts are the counts that a class must exceed for an expression to have a
@@ -183,66 +246,92 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     rows = common.durable(rows.select("text", "y", part.alias("part"), F.rand(7).alias("u")))
     counted, curve_rows = rows.where("part > 0"), rows.where("part = 0")
 
-    words = common.durable(_count(counted, None).withColumn("n", F.expr("n0 + n1")))
-    size = words.agg(F.sum("n")).first()[0] or 0
-    least = max(2, int(np.ceil(size * rarest)))
-    common_words = words.where(F.col("n") >= least).select("key").toPandas()["key"].to_numpy(np.int64)
-    vocabulary = Vocabulary(np.sort(common_words.view(np.uint64)))
-    base = len(vocabulary.hashes) + 2
-
-    pairs = common.durable(_count(counted, vocabulary))
-    word, before = (F.col("key") % base).alias("word"), F.expr(f"key div {base}").alias("before")
-    types = [F.sum((F.col(c) > 0).cast("long")).alias(c.replace("n", "t")) for c in ("n0", "n1")]
-    by_word = pairs.groupBy(word).agg(F.count("*").alias("t"), *types).toPandas()
-    by_context = pairs.groupBy(before).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    kept = pairs.where(F.col("n0") + F.col("n1") >= least).toPandas().sort_values("key")
-
-    def spread(frame: pd.DataFrame, at: str, value: str) -> np.ndarray:
-        out = np.zeros(base)
-        out[frame[at].to_numpy(np.int64)] = frame[value]
-        return out
-
-    shared = (spread(by_word, "word", "t") + 0.5) / (by_word["t"].sum() + 0.5 * base)
-    keys = kept["key"].to_numpy(np.int64)
-    context_of, word_of = keys // base, keys % base
-    by_class, left, pair_logs = [], [], []
-    for c in "01":
-        t = spread(by_word, "word", f"t{c}")
-        own, _ = _smooth(t, max(t.sum(), 1.0), word_discount)
-        p = own + max(1 - own.sum(), FLOOR) * shared
-        n, whole = kept[f"n{c}"].to_numpy(float), np.maximum(spread(by_context, "before", f"n{c}"), 1)
-        own, _ = _smooth(n, whole[context_of], pair_discount)
-        rest = np.maximum(1 - np.bincount(context_of, own, base), FLOOR)
-        by_class.append(np.log(p))
-        left.append(np.log(rest))
-        pair_logs.append(np.log(own + rest[context_of] * p[word_of]))
-    model = Model(vocabulary, keys, pair_logs[1] - pair_logs[0], by_class[1] - by_class[0], left[1] - left[0], np.zeros(4))
+    pairs = common.durable(_count(counted))
+    above = lambda c, d: F.greatest(F.col(c) - d, F.lit(0))
+    types = [F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"t{c}") for c in "01"]
+    words = common.durable(pairs.groupBy("word").agg(F.count("*").alias("t"), F.sum(F.expr("n0 + n1")).alias("n"), *types))
+    sums = [F.sum(x).alias(n) for n, x in (("t", "t"), ("t0", "t0"), ("t1", "t1"), ("o0", above("t0", word_discount)), ("o1", above("t1", word_discount)))]
+    of = words.agg(F.count("*").alias("words"), *sums).first().asDict()
+    of = {k: float(v or 0) for k, v in of.items()}
+    rest = [max(1 - of[f"o{c}"] / max(of[f"t{c}"], 1.0), FLOOR) for c in "01"]
+    shared = (F.col("t") + 0.5) / (of["t"] + 0.5 * (of["words"] + 2))
+    p = [above(f"t{c}", word_discount) / max(of[f"t{c}"], 1.0) + rest[int(c)] * shared for c in "01"]
+    words = words.select("word", "n", "t0", "t1", p[0].alias("p0"), p[1].alias("p1"))
+
+    # a bigram or word above neither class's discount has the gain of its backoff
+    contexts = pairs.groupBy("before").agg(
+        F.sum(F.expr("n0 + n1")).alias("n"), *(F.greatest(F.sum(f"n{c}"), F.lit(1)).alias(f"whole{c}") for c in "01"),
+        *(F.sum(above(f"n{c}", pair_discount)).alias(f"own{c}") for c in "01"),
+    ).where("own0 > 0 or own1 > 0")
+    left = [F.greatest(1 - F.col(f"own{c}") / F.col(f"whole{c}"), F.lit(FLOOR)).alias(f"left{c}") for c in "01"]
+    contexts = common.durable(contexts.select("before", "n", "whole0", "whole1", *left))
+    kept = pairs.where(F.greatest("n0", "n1") > pair_discount).join(contexts.drop("n").hint("merge"), "before")
+    kept = kept.join(words.select("word", "p0", "p1").hint("merge"), "word")
+    logs = [F.log(above(f"n{c}", pair_discount) / F.col(f"whole{c}") + F.col(f"left{c}") * F.col(f"p{c}")) for c in "01"]
+    none = F.lit(0).cast("long")
+    entries = (
+        _keyed(kept.select("before", "word", (logs[1] - logs[0]).alias("gain"), F.expr("n0 + n1").alias("n")), PAIR)
+        .union(_keyed(contexts.select("before", none.alias("word"), (F.log("left1") - F.log("left0")).alias("gain"), "n"), CONTEXT))
+        .union(_keyed(words.where(F.greatest("t0", "t1") > word_discount).select(none.alias("before"), "word", (F.log("p1") - F.log("p0")).alias("gain"), "n"), WORD))
+    )
+    entries = common.durable(entries.withColumn("size", F.floor(F.log2("n")).cast("int")))
+    least, room, more = 0, most, False
+    for r in entries.groupBy("size").count().orderBy(F.desc("size")).collect():
+        if r["count"] > room:
+            least, more = r["size"] + 1, True
+            break
+        room -= r["count"]
+    here = entries.where(F.col("size") >= least).select("kind", "key", "h", "gain").toPandas()
+
+    def held(kind: int, c: str) -> Vocabulary:
+        own = here[here["kind"] == kind]
+        h = own[c].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        return Vocabulary(h[order], own["gain"].to_numpy(np.float64)[order])
+
+    table = entries.where(F.col("size") < least).select("key", "gain") if more else None
+    unseen = float(np.log(rest[1]) - np.log(rest[0]))
+    model = Model(held(WORD, "h"), held(PAIR, "key"), held(CONTEXT, "h"), unseen, table, np.zeros(4))
 
     number = curve_rows.count()
     drawn = curve_rows.where(F.col("u") < max_curve_rows / max(number, 1))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def inputs(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(model.inputs([(t or "").encode() for t in texts])))
-
-    sample = drawn.select("y", "u", inputs("text").alias("x")).toPandas().sort_values(["u", "y"], kind="stable")
+    drawn = common.durable(drawn.select(F.xxhash64("text").alias("k"), "text", "y", "u"))
+    found = model.sums(drawn.select("k", "text")).groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", "total", "strong")))
+    sample = drawn.select("k", "y", "u").join(found, "k").select("y", "u", F.array(*model.inputs()).alias("x"))
+    sample = sample.toPandas().sort_values(["u", "y"], kind="stable")
     y = sample["y"].to_numpy(float)
     model.curve = _logistic(np.array(sample["x"].tolist()).reshape(len(y), 4), y)
     return model
 
 
-def score(model: Model, text: Column) -> Column:
-    """Probability that a text is toxic. (Spark broadcasts a function that holds a large model.)"""
+def _sums_of(model: Model):
+    """A function of text: n, total and strong, of a model that has all entries at hand. (Spark broadcasts
+    a function that holds a large model.)"""
+    look_up = model.look_up()
 
-    @F.pandas_udf(T.DoubleType())
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(model.scores([(t or "").encode() for t in texts]))
+    @F.pandas_udf("n double, total double, strong double")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            texts, out = [(t or "").encode() for t in series], [np.zeros((0, 3))]
+            for part in _groups(texts):
+                _, _, _, offset, gain, *_ = look_up(texts[part])
+                add = (np.diff(np.concatenate(([0.0], np.cumsum(x)))[offset]) for x in (np.ones(len(gain)), gain, np.maximum(gain - STRONG, 0)))
+                out.append(np.stack(list(add), axis=1))
+            yield pd.DataFrame(np.concatenate(out), columns=["n", "total", "strong"])
 
-    return udf(text)
+    return udf
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", least: float = 0.3) -> DataFrame:
     """``id_col``, score and predicted (1 from ``least`` on) for every row of ``docs``."""
-    rows = docs.select(F.col(id_col), score(model, F.col(text)).alias("score"))
+    z = sum((float(w) * x for w, x in zip(model.curve, model.inputs())), F.lit(0.0))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    if model.table is None:
+        look = _sums_of(model)
+        rows = docs.select(F.col(id_col), look(F.col(text)).alias("sums")).select(id_col, "sums.*").select(id_col, score.alias("score"))
+    else:
+        k = F.xxhash64(F.coalesce(text, F.lit(""))).alias("k")
+        scored = model.sums(docs.select(k, F.col(text).alias("text"))).select("k", score.alias("score"))
+        rows = docs.select(F.col(id_col), k).join(scored.hint("merge"), "k").select(id_col, "score")
     return rows.withColumn("predicted", (F.col("score") >= least).cast("int"))

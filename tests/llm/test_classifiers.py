@@ -93,6 +93,22 @@ def test_probabilities_of_a_class_sum_to_one(spark):
     assert abs(own.sum() + taken.sum() - 1) < 1e-12
 
 
+def test_rare_words_count_at_every_size(spark):
+    # 40,000 common words in each class, and a word in 40 toxic texts of 800 only
+    rng = np.random.default_rng(2)
+    texts = [(i, " ".join([*(f"{chr(97 + a)}{chr(97 + b)}" for a, b in rng.integers(0, 26, (100, 2))), *(["rarebad"] * (i % 20 == 0))])) for i in range(800)]
+    docs = spark.createDataFrame([*texts, (None, None), (900, ""), (0, texts[0][1])], "doc_id long, text string")
+    given = labels(spark, [(i, 0, int(i % 4 == 0)) for i, _ in texts])
+    seen = {}
+    for most in (1_000_000, 60, 0):
+        model = toxicity.fit(docs, given, most=most)
+        assert (model.table is None) == (most > 60) and len(model.keys) <= max(most, 0)
+        seen[most] = sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.score_toxicity(docs, model).collect())
+    assert len(seen[0]) == 803 and seen[0] == seen[60] == seen[1_000_000]
+    score = dict(seen[0])
+    assert min(score[str(i)] for i, t in texts if "rarebad" in t) > max(score[str(i)] for i, t in texts if "rarebad" not in t and i % 4)
+
+
 def test_language_edges(spark):
     docs = odd(spark)
     none = langid.identify(docs, langid.fit(docs.where("lang is null"))).collect()
