@@ -233,8 +233,8 @@ def _smooth(counts: np.ndarray, whole: np.ndarray | float, discount: float) -> t
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
         most: int = 1_000_000, word_discount: float = 4.0, pair_discount: float = 8.0,
         max_curve_rows: int = 20000) -> Model:
-    """A model from labelled rows: of every five (by a hash of the id), four are counted
-    and one fits the logistic curve (of these at most about ``max_curve_rows`` rows).
+    """A model from all labelled rows: about ``max_curve_rows`` of them (by a hash of the id, at most
+    a fifth) fit the logistic curve, and all others are counted.
 
     The discounts are the counts that a class must exceed for an expression to have a
     probability of its own there; most words are rare, and a count of one or two says
@@ -242,9 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     given = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
     # always a sort-merge join: the labels' size has no bound, so they are not to be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(given.hint("merge"), "id")
-    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(5))
+    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = common.durable(rows.select("text", "y", part.alias("part"), F.rand(7).alias("u")))
-    counted, curve_rows = rows.where("part > 0"), rows.where("part = 0")
+    share = min(0.2, max_curve_rows / max(rows.count(), 1))
+    counted, curve_rows = rows.where(F.col("part") >= share), rows.where(F.col("part") < share)
 
     pairs = common.durable(_count(counted))
     above = lambda c, d: F.greatest(F.col(c) - d, F.lit(0))
@@ -294,7 +295,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     model = Model(held(WORD, "h"), held(PAIR, "key"), held(CONTEXT, "h"), unseen, table, np.zeros(4))
 
     number = curve_rows.count()
-    drawn = curve_rows.where(F.col("u") < max_curve_rows / max(number, 1))
+    # a bound only for ids whose rows repeat very often
+    drawn = curve_rows.where(F.col("u") < 1.2 * max_curve_rows / max(number, 1))
 
     drawn = common.durable(drawn.select(F.xxhash64("text").alias("k"), "text", "y", "u"))
     found = model.sums(drawn.select("k", "text")).groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", "total", "strong")))

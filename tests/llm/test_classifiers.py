@@ -109,6 +109,15 @@ def test_rare_words_count_at_every_size(spark):
     assert min(score[str(i)] for i, t in texts if "rarebad" in t) > max(score[str(i)] for i, t in texts if "rarebad" not in t and i % 4)
 
 
+def test_all_labelled_texts_but_the_curves_are_counted(spark, monkeypatch):
+    seen, count = [], toxicity._count
+    monkeypatch.setattr(toxicity, "_count", lambda rows, *rest: (seen.append(rows.count()), count(rows, *rest))[1])
+    docs = spark.createDataFrame([(i, f"some words of text {i % 7}") for i in range(3000)], "doc_id long, text string")
+    for most, least in ((100, 2850), (20_000, 2250)):
+        toxicity.fit(docs, labels(spark, [(i, 0, i % 2) for i in range(3000)]), max_curve_rows=most)
+        assert least <= seen[-1] <= (2950 if most == 100 else 2550)
+
+
 def test_language_edges(spark):
     docs = odd(spark)
     none = langid.identify(docs, langid.fit(docs.where("lang is null"))).collect()
