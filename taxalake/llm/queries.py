@@ -46,9 +46,9 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text without the lines of recurring templates, n_lines, n_dropped of every document."""
+    """doc_id, text without the lines of recurring templates and passages of two documents, n_lines, n_dropped of every document."""
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return templates.dedup(docs)
+    return templates.dedup(docs, long_docs=2)
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ large a share of all places. A template never widens, whatever joins it. One tha
 at least ``min_docs`` documents is recurring; its lines are dropped from all of them but
 the one with the smallest id, so that no text is lost altogether.
 
+With ``long_docs``, a passage (a line of at least LONG_WORDS words or LONG_CHARS characters,
+which counts for scripts without spaces) that occurs word for word in so many documents is
+dropped from all but the first of them too.
+
 Lines travel as hashes. Only leaves with several different lines are looked at closer;
 equal lines are one row of a leaf however often they occur. A leaf's rows are dealt over
 portions of about ``portion`` rows whose templates are then merged by the same rule; a
@@ -41,6 +45,7 @@ from .words import PLAIN, groups, mix, word_places
 
 DEPTH = 3
 VARIABLE = np.uint64(0)  # the hash of a variable token
+LONG_WORDS, LONG_CHARS = 50, 250
 FEW = 64  # so many templates are all compared
 
 
@@ -58,7 +63,8 @@ _GROUP = 1 << 20
 class Parsed:
     """The lines of some texts. By text: ``first``, the number of its first line (len + 1). By line: its
     number of tokens and where they begin in ``hashes``. ``which``: the lines that are parsed; by these
-    ``text``, ``leaf`` and ``whole`` (the hash of the line)."""
+    ``text``, ``leaf`` and ``whole`` (the hash of the line). ``passages``: the long lines; by these
+    ``exact`` (the hash of the line, fields as they are) and ``passage_text``."""
 
     first: np.ndarray
     number: np.ndarray
@@ -68,10 +74,14 @@ class Parsed:
     text: np.ndarray
     leaf: np.ndarray
     whole: np.ndarray
+    passages: np.ndarray
+    exact: np.ndarray
+    passage_text: np.ndarray
 
 
 def parse(texts: list[bytes], min_tokens: int, depth: int = DEPTH) -> Parsed:
     hashes, starts, raw, at = word_places(texts, PLAIN)
+    as_is = hashes.copy()
     fields = np.flatnonzero(_FIELD[raw])
     if len(fields):
         hashes[np.searchsorted(starts, fields, "right") - 1] = VARIABLE
@@ -80,7 +90,9 @@ def parse(texts: list[bytes], min_tokens: int, depth: int = DEPTH) -> Parsed:
     number = np.bincount(line, minlength=len(breaks))
     begin = np.concatenate(([0], np.cumsum(number)))
     place = (np.arange(len(hashes)) - begin[line]).astype(np.uint64)
-    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + mix(place + np.uint64(7))), dtype=np.uint64)))
+    running, running_as_is = (
+        np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + mix(place + np.uint64(7))), dtype=np.uint64))) for h in (hashes, as_is)
+    )
     which = np.flatnonzero(number >= min_tokens)
     n, b = number[which], begin[which]
     leaf = mix(n.astype(np.uint64))
@@ -89,7 +101,12 @@ def parse(texts: list[bytes], min_tokens: int, depth: int = DEPTH) -> Parsed:
         leaf = mix(leaf * np.uint64(31) + np.where(n <= d, np.uint64(1), token))
     whole = mix(running[b + n] - running[b] + leaf)
     first = np.searchsorted(breaks, at)
-    return Parsed(first, number, begin, hashes, which, np.searchsorted(first, which, "right") - 1, leaf, whole)
+    chars = np.diff(np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)[breaks])))
+    passages = np.flatnonzero((number >= LONG_WORDS) | ((chars > LONG_CHARS) & (number > 0)))
+    n, b = number[passages], begin[passages]
+    exact = mix(running_as_is[b + n] - running_as_is[b] + mix(n.astype(np.uint64) + np.uint64(11)))
+    texts_of = [np.searchsorted(first, x, "right") - 1 for x in (which, passages)]
+    return Parsed(first, number, begin, hashes, which, texts_of[0], leaf, whole, passages, exact, texts_of[1])
 
 
 def _parsed(column, min_tokens: int) -> Iterator[tuple[int, Parsed]]:
@@ -104,20 +121,21 @@ def _signed(x) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """k, z, leaf and line (a hash) of each distinct line of each text."""
+    """k, z, leaf and line (a hash) of each distinct line of each text; passages once more, without leaf."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at, p in _parsed(batch.column("text").to_pylist(), min_tokens):
-                order = np.lexsort((p.whole, p.text))
-                text, whole = p.text[order], p.whole[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (text[1:] != text[:-1]) | (whole[1:] != whole[:-1])
-                rows = pa.array(text[new] + at)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("k").take(rows), batch.column("z").take(rows), pa.array(_signed(p.leaf[order][new])),
-                     pa.array(_signed(whole[new]))], names=["k", "z", "leaf", "line"],
-                )
+                for hashes, of, leaf in ((p.whole, p.text, p.leaf), (p.exact, p.passage_text, None)):
+                    order = np.lexsort((hashes, of))
+                    text, line = of[order], hashes[order]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+                    rows, lines = pa.array(text[new] + at), pa.array(_signed(line[new]))
+                    leaves = pa.nulls(len(lines), pa.int64()) if leaf is None else pa.array(_signed(leaf[order][new]))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("k").take(rows), batch.column("z").take(rows), leaves, lines], names=["k", "z", "leaf", "line"]
+                    )
 
     return docs.mapInArrow(batches, "k long, z boolean, leaf long, line long")
 
@@ -260,10 +278,12 @@ def _belongs(similar: float):
     return udf
 
 
-def recurring(docs: DataFrame, min_docs: int, min_tokens: int, similar: float, portion: int) -> DataFrame:
+def recurring(docs: DataFrame, min_docs: int, min_tokens: int, similar: float, portion: int, long_docs: int | None = None) -> DataFrame:
     """k, z, lines: for each document that loses lines, their hashes. ``docs``: k, z, text."""
     docs = docs.where("text is not null")
-    has = common.durable(_lines(docs, min_tokens))
+    lines = _lines(docs, min_tokens)
+    has = common.durable(lines if long_docs else lines.where("leaf is not null"))
+    passages, has = has.where("leaf is null"), has.where("leaf is not null")
     several = has.groupBy("leaf", "line").agg(F.lit(1).alias("one")).groupBy("leaf").agg(F.sum("one").alias("n")).where("n > 1")
     close = _tokens(docs, min_tokens).join(several, "leaf")
     close = close.withColumn("parts", F.expr(f"n div {portion} + 1")).withColumn("part", F.pmod(F.xxhash64("line"), "parts"))
@@ -281,11 +301,17 @@ def recurring(docs: DataFrame, min_docs: int, min_tokens: int, similar: float, p
     roots = named.union(merged.select("line", F.col("template").alias("root")))
 
     has = has.join(roots, "line", "left").select("k", "z", "line", F.coalesce("root", "line").alias("root"))
-    spread = has.select("root", "k", "z").distinct().groupBy("root").agg(
-        F.count("*").alias("n"), F.min(F.struct("z", "k")).alias("first")
-    )
-    often = spread.where(F.col("n") >= min_docs).select("root", "first")
-    lost = has.join(often, "root").where(F.struct("z", "k") != F.col("first"))
+
+    def repeated(lines: DataFrame, least: int) -> DataFrame:
+        spread = lines.select("root", "k", "z").distinct().groupBy("root").agg(
+            F.count("*").alias("n"), F.min(F.struct("z", "k")).alias("first")
+        )
+        often = spread.where(F.col("n") >= least).select("root", "first")
+        return lines.join(often, "root").where(F.struct("z", "k") != F.col("first")).select("k", "z", "line")
+
+    lost = repeated(has, min_docs)
+    if long_docs:
+        lost = lost.union(repeated(passages.select("k", "z", "line", F.col("line").alias("root")), long_docs))
     return lost.groupBy("k", "z").agg(F.collect_set("line").alias("lines"))
 
 
@@ -301,11 +327,12 @@ def _without(min_tokens: int):
             held = [i for i, (t, gone) in enumerate(zip(texts, lost)) if t is not None and gone is not None]
             out = [(t, 0) for t in texts]
             for at, p in _parsed([texts.iloc[i] for i in held], min_tokens):
-                ends = np.searchsorted(p.text, np.arange(len(p.first)))
+                ends, long_ends = (np.searchsorted(x, np.arange(len(p.first))) for x in (p.text, p.passage_text))
                 for j in range(len(p.first) - 1):
                     i, own = held[at + j], slice(ends[j], ends[j + 1])
-                    gone = np.isin(p.whole[own].view(np.int64), np.asarray(lost.iloc[i], np.int64))
-                    drop = set((p.which[own][gone] - p.first[j]).tolist())
+                    long, names = slice(long_ends[j], long_ends[j + 1]), np.asarray(lost.iloc[i], np.int64)
+                    drop = set((p.which[own][np.isin(p.whole[own].view(np.int64), names)] - p.first[j]).tolist())
+                    drop.update((p.passages[long][np.isin(p.exact[long].view(np.int64), names)] - p.first[j]).tolist())
                     lines = texts.iloc[i].split("\n")
                     out[i] = ("\n".join(x for n, x in enumerate(lines) if n not in drop), len(drop))
             yield pd.DataFrame(out, columns=["text", "dropped"])
@@ -315,14 +342,14 @@ def _without(min_tokens: int):
 
 def dedup(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_docs: int = 3, min_tokens: int = 3,
-    similar: float = 0.8, portion: int = 50000,
+    similar: float = 0.8, portion: int = 50000, long_docs: int | None = None,
 ) -> DataFrame:
     """All rows and columns of ``docs``, ``text`` without the lines of recurring templates, and the new
     columns ``n_lines`` and ``n_dropped`` (before and in the text; named apart if the names are taken)."""
     k, z, lost_at, cut = (common.fresh(docs, f"__{n}") for n in ("k", "z", "lines", "cut"))
     key = common.plain_key(F.col(id_col))
     rows = docs.select(key["k"].alias("k"), key["z"].alias("z"), F.col(text).alias("text"))
-    lost = recurring(rows, min_docs, min_tokens, similar, portion).toDF(k, z, lost_at)
+    lost = recurring(rows, min_docs, min_tokens, similar, portion, long_docs).toDF(k, z, lost_at)
     marked = docs.withColumns({k: key["k"], z: key["z"]}).join(lost, [k, z], "left")
     udf = _without(min_tokens)
     made = F.when(F.col(lost_at).isNotNull(), udf(F.when(F.col(lost_at).isNotNull(), F.col(text)), F.col(lost_at)))

@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from taxalake.llm import templates
+from taxalake.llm.queries import QUERIES
 
 COLUMNS = "doc_id long, text string, n_lines int, part string"
 
@@ -91,6 +92,16 @@ def test_pieces_find_what_all_comparisons_find(monkeypatch):
         assert got[0] == got[1]
 
 
+def test_passages_of_two_documents(spark, tmp_path):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(55))
+    unspaced, rows = "\u6f22\u5b57" * 150, [passage + f" no {i}" for i in range(4)]
+    docs = [(1, f"own\n{passage}"), (2, f"{passage}\nother own"), (3, f"{unspaced}\nthird"), (4, unspaced + "1"), (5, unspaced), (6, "twice only here"), (7, "twice only here"),
+            (8, rows[0]), (9, rows[1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in QUERIES["op7_lines"](spark, str(tmp_path)).collect()}
+    assert got == dict(docs) | {2: "other own", 5: ""}
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "\n\n"), (4, "a b"), (5, "a b"), (6, "a b"), (None, "one two three"), (None, "one two three"),
             (7, "one two three"), (8, "one two three"), (9, "one two three\n" * 20_000), (9, "z")]
