@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, jaccard, langid, mixing, pseudonyms, quality, simhash, templates, toxicity
+from taxalake.session import scratch_path
+
+from . import chat, common, decontaminate, jaccard, langid, merkle, mixing, prefix_trie, pseudonyms, quality, simhash, templates, token_files, toxicity
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +74,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", chat.span_text(F.col("spans")))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document."""
+    return merkle.prove(common.read(spark, sf_dir, "documents"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files by its key."""
+    import public_tokenizers
+
+    docs = common.read(spark, sf_dir, "documents")
+    files = token_files.write(docs, scratch_path(spark, "tokens"), public_tokenizers.path("word_bpe_49k.json"))
+    found = files.read(token_files.keys_of(docs))
+    return found.select(F.col("id").alias("doc_id"), "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node."""
+    return prefix_trie.trie(common.read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_jaccard": op2_jaccard,
@@ -83,4 +105,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_language": op9_language,
     "op10_chat": op10_chat,
+    "op11_merkle": op11_merkle,
+    "op12_token_files": op12_token_files,
+    "op13_prefix_trie": op13_prefix_trie,
 }
