@@ -31,8 +31,11 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
+import unicodedata
 import uuid
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +53,7 @@ PART_KEYS = 1 << 10
 #: Bits of a level per key that reaches it, and levels before the rest is listed.
 GAMMA, LEVELS = 2.0, 24
 #: Words that a worker remembers the ids of, before it starts anew.
-MEMORY = 1 << 20
+MEMORY = 1 << 19
 MAGIC = b"TIDS"
 TAIL = "<4sIQQ"
 
@@ -61,9 +64,29 @@ TAIL = "<4sIQQ"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+class _Kept(dict):
+    """Values made when they are first asked for."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for
+    themselves, the others for the letters from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
 class Encoder:
-    """Texts to bytes of ids. Where the tokenizer's words don't depend on their neighbours,
-    the ids of words met before are remembered."""
+    """Texts to bytes of ids. Where a tokenizer's words don't depend on their neighbours, the ids
+    of words met before are remembered, and plain words go straight to the tokenizer's model."""
 
     def __init__(self, path: str, end: int | None, memory: int = MEMORY) -> None:
         from tokenizers import Tokenizer
@@ -71,51 +94,70 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), (end or 0) + 1)
         self.width = 2 if size <= 1 << 16 else 4
-        self.kind, self.memory = f"<u{self.width}", memory
+        self.code, self.memory = "H" if self.width == 2 else "I", memory
         self.end = b"" if end is None else end.to_bytes(self.width, "little")
-        spec = json.loads(self.tokenizer.to_str())
-        self.apart = WORDS in json.dumps(spec.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\") and not spec.get("post_processor")
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        with open(path) as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        lower = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers") or []]
+        self.apart = (
+            (steps[0].get("pattern") or {}).get("Regex") == WORDS and lower == ["NFC", "Replace", "Lowercase"]
+            and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not spec.get("post_processor")
+        )
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.words, self.pieces = _Kept(self._word), _Kept(self._piece)
         # white space as the tokenizer knows it; str.split also cuts at four control characters
-        self.space = re.compile("[\t-\r \x85\xa0  -     　]+")
+        self.space = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
         self.odd = re.compile("[\x1c-\x1f]")
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
         self.mixed = re.compile("[A-Za-z\x80-\U0010ffff]+|[0-9]|[^A-Za-z0-9\x80-\U0010ffff]+")
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.kind).tobytes() for x in found]
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def plain(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _cut(self, word: str) -> list[str]:
-        """Pieces of a word that are surely encoded apart; the word itself if unsure."""
+    def _word(self, word: str) -> bytes:
         if "<|" in word:
-            return [word]
+            return self.plain(word)
         if word.isascii():
-            return self.ascii.findall(word.lower())
+            return b"".join(map(self.pieces.__getitem__, self.ascii.findall(word.lower())))
         if "'" in word:
-            return [word]
+            return self.plain(word)
         pieces = self.mixed.findall(word)
-        sure = all(x.isascii() or (x.isalpha() and x.lower().isalpha()) for x in pieces)
-        return pieces if sure else [word]
-
-    def _learn(self, words: list[str]) -> None:
-        cut = {w: self._cut(w) for w in words}
-        new = list(dict.fromkeys(x for pieces in cut.values() for x in pieces if x not in self.pieces))
-        self.pieces.update(zip(new, self._plain(new)))
-        self.known.update((w, b"".join(map(self.pieces.__getitem__, pieces))) for w, pieces in cut.items())
+        for x in pieces:
+            if not x.isascii() and (not unicodedata.normalize("NFC", x).lower().isalpha() or not x.isalpha() or "Σ" in x):
+                return self.plain(word)
+        return b"".join(self.pieces[x.lower() if x.isascii() else x] for x in pieces)
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece that the pre-tokenizer leaves whole."""
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece).lower()
+        piece = piece.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([x.id for x in self.model.tokenize(piece)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.apart:
-            return [x + self.end for x in self._plain(texts)]
-        if len(self.known) > self.memory:
-            self.known.clear()
+            return [self._bytes(x.ids) + self.end for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.words) > self.memory:
+            self.words.clear()
             self.pieces.clear()
-        words = [[w for w in self.space.split(x) if w] if self.odd.search(x) else x.split() for x in texts]
-        new = [w for own in words for w in own if w not in self.known]
-        if new:
-            self._learn(list(dict.fromkeys(new)))
-        return [b"".join(map(self.known.__getitem__, own)) + self.end for own in words]
+        ids, out = self.words.__getitem__, []
+        for x in texts:
+            words = [w for w in self.space.split(x) if w] if self.odd.search(x) else x.split()
+            out.append(b"".join(map(ids, words)) + self.end)
+        return out
+
+
+def encoder_of(path: str, end: int | None) -> Encoder:
+    """The encoder that this worker process keeps over its tasks."""
+    kept = sys.modules.setdefault("_taxalake_encoders", ModuleType("_taxalake_encoders")).__dict__
+    key = f"{path} {end}"
+    if key not in kept:
+        kept[key] = Encoder(path, end)
+    return kept[key]
 
 
 # ---------------------------------------------------------------- files
@@ -173,7 +215,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
         for batch in it:
             if not batch.num_rows:
                 continue
-            encoder = encoder or Encoder(tokenizer, end)
+            encoder = encoder or encoder_of(tokenizer, end)
             out: list[tuple] = []
             for a in range(0, batch.num_rows, 256):
                 some = batch.slice(a, 256)
