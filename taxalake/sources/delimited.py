@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taxalake.functions.ids import java_trim
+from taxalake.sources.quoted import read_quoted_splits
 
 CORRUPT = "_corrupt"
 
@@ -26,31 +27,16 @@ def read_quoted_table(
     with_row_order: bool = True,
 ) -> DataFrame:
     """A dump with a header (and maybe a byte-order mark), ``"`` quoting and
-    fields that may hold line breaks.
+    fields that may hold line breaks, read in splits (``sources.quoted``).
 
     All columns are read as text; typing is a separate, validated step.
     A short row (unescaped line break) keeps its row with nulls and is
-    flagged in ``_corrupt``. ``_file`` and ``_row`` give the row order within
-    the dump (``row_order``), not line numbers. Quoted line breaks make a file one split, so split a
-    large dump into many files for parallel reads.
+    flagged in ``_corrupt``. ``_file`` and ``_row`` (the record's number in its
+    file, the header being 1) give the row order within the dump (``row_order``).
+    Records end at a line feed, with or without a carriage return before it.
     """
-    df = (
-        spark.read.schema(string_schema(columns, corrupt=True))
-        .option("header", True)
-        .option("sep", sep)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
-    if with_row_order:
-        # (file, position): ids grow in read order within a task, and a task
-        # reads each of its files whole, so this orders rows as in the files
-        df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
-    return df
+    df = read_quoted_splits(spark, path, string_schema(columns, corrupt=True), CORRUPT, sep)
+    return df if with_row_order else df.drop("_file", "_row")
 
 
 def row_order(df: DataFrame) -> F.Column:
