@@ -39,6 +39,7 @@ from taxalake.functions.ids import (
     prefixed,
     scala_str,
 )
+from taxalake.operators.positions import chunked_lists
 
 LINK_COLUMNS = ("ext", "term")
 
@@ -198,6 +199,12 @@ def ids_by_scheme(profile: DataFrame) -> DataFrame:
     return profile.groupBy("scheme").agg(F.count(F.lit(1)).cast("bigint").alias("n_ids"))
 
 
+def term_lists(links: DataFrame, size: int = 1000, schemes=DEFAULT_SCHEMES) -> DataFrame:
+    """The terms of every whitelisted id in order, duplicates kept, in lists of at most ``size``:
+    ext, chunk (from 0), terms. An id with very many terms has many rows, and none of them grows."""
+    return chunked_lists(_term_counts(links, schemes), ["ext"], "term", size, count="mult", out="terms")
+
+
 # ---------------------------------------------------------------- composites
 
 
@@ -330,10 +337,11 @@ def composite_signatures(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame
     when the last sorted term ends in ``|`` (Java's split drops that empty
     tail).
     """
-    return _signatures(_term_counts(links, schemes))
+    return signatures(_term_counts(links, schemes))
 
 
-def _signatures(tc: DataFrame) -> DataFrame:
+def signatures(tc: DataFrame) -> DataFrame:
+    """``composite_signatures`` from the links' term counts, which are read twice: store them first."""
     m = F.col("mult")
     others = (
         tc.where(~F.col("is_globi"))
@@ -373,7 +381,11 @@ def signature_stats(sigs: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
 
 def conflicts_by_key_length_fast(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
     """``conflicts_by_key_length`` without building any composite key."""
-    stats = signature_stats(composite_signatures(links, schemes), schemes)
+    return conflict_counts(signature_stats(composite_signatures(links, schemes), schemes))
+
+
+def conflict_counts(stats: DataFrame) -> DataFrame:
+    """Composites with repeats per key length, from their stats."""
     return (
         stats.where(F.col("repeats") > 0)
         .groupBy("key_length")
@@ -386,7 +398,7 @@ def short_conflict_members(links: DataFrame, key_len: int, schemes=DEFAULT_SCHEM
     long form (composite, ext, repeats, key_length), keys built only for the
     exported composites, which hold at most one other term."""
     tc = _term_counts(links, schemes)
-    sigs = _signatures(tc)
+    sigs = signatures(tc)
     return short_members(sigs, signature_stats(sigs, schemes), key_len, tc)
 
 
@@ -408,6 +420,13 @@ def term_counts(links: DataFrame, schemes=DEFAULT_SCHEMES) -> DataFrame:
     return _term_counts(links, schemes)
 
 
+def joined_members(members: DataFrame, size: int = 1000) -> DataFrame:
+    """The conflict export's lines: composite, chunk, ids (in order, joined by ``|``, at most ``size`` a
+    line), repeats, key_length. A composite of more ids goes on in further lines."""
+    lists = chunked_lists(members, ["composite", "repeats", "key_length"], "ext", size, out="_ids")
+    return lists.select("composite", "chunk", F.array_join("_ids", "|").alias("ids"), "repeats", "key_length")
+
+
 def pipe_joined_ids(members: DataFrame) -> DataFrame:
     """Reference TSV shape (composite, ids joined by ``|``, repeats, key_length).
 

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxalake.functions.ids import scala_str
+from taxalake.operators.positions import numbered
+from taxalake.operators.skewjoin import heavy_join
+from taxalake.session import scratch_path
+from taxalake.sinks.snapshot import materialize
 
 # Fixed values that must equal the reference's for equal results.
 CACHE_COLUMNS = (
@@ -81,23 +85,44 @@ def rewire(globi_map: DataFrame, terms: DataFrame) -> DataFrame:
     """Inner join on the resolved id: GloBI provided id/name, WD id/name.
 
     Duplicates multiply and null keys drop, as an inner equi-join does.
-    The join shuffles both sides on the resolved id; AQE may turn it into a
-    broadcast when one side proves small at run time.
+    An id that many rows resolve to is dealt over many tasks (``operators.skewjoin``).
     """
-    wd = map_from_terms(terms).select(
+    return _rewired(globi_map.select(*_PROVIDED), _targets(terms))
+
+
+_PROVIDED = ("providedTaxonId", "providedTaxonName", "resolvedTaxonId")
+
+
+def _targets(terms: DataFrame) -> DataFrame:
+    return map_from_terms(terms).select(
         F.col("resolvedTaxonId").alias("_rid"),
         F.col("providedTaxonId").alias("_wd_id"),
         F.col("providedTaxonName").alias("_wd_name"),
     )
-    return globi_map.join(wd, globi_map["resolvedTaxonId"] == wd["_rid"], "inner").select(
-        globi_map["providedTaxonId"].alias("providedTaxonId"),
-        globi_map["providedTaxonName"].alias("providedTaxonName"),
+
+
+def _rewired(provided: DataFrame, targets: DataFrame) -> DataFrame:
+    # written once: the join reads its sides three times
+    spark = provided.sparkSession
+    provided = materialize(provided, scratch_path(spark, "provided"))
+    targets = materialize(targets, scratch_path(spark, "targets"))
+    return heavy_join(provided, targets, "resolvedTaxonId", "_rid").select(
+        "providedTaxonId",
+        "providedTaxonName",
         F.col("_wd_id").alias("resolvedTaxonId"),
         F.col("_wd_name").alias("resolvedTaxonName"),
     )
 
 
 def merge_map(globi_map: DataFrame, terms: DataFrame) -> DataFrame:
-    """GloBI map union the re-pointed rows, distinct."""
+    """GloBI map union the re-pointed rows, distinct. Both sides of the join are distinct
+    before it, so duplicates don't multiply."""
     g = globi_map.select(*MAP_COLUMNS)
-    return g.union(rewire(g, terms)).distinct()
+    return g.union(_rewired(g.select(*_PROVIDED).distinct(), _targets(terms).distinct())).distinct()
+
+
+def in_order(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``position``, their number (from 1) in the order of ``by``; the other columns break
+    ties. This is the order of the sorted exports; no task gets more than its range of it."""
+    ties = [c for c in rows.columns if c not in by]
+    return numbered(rows, [F.col(c).asc_nulls_first() for c in [*by, *ties]])

@@ -54,6 +54,45 @@ def numbered(df: DataFrame, order, by=(), name: str = "position", first: int = 1
     return _within(rows, by, at, part, name, first)
 
 
+def running_total(df: DataFrame, value: str, order, by=(), name: str = "before") -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows before this one in the order of ``order``,
+    within the groups ``by``. Ranges, ties and nulls as in ``numbered``; null values count as 0."""
+    spark, at = df.sparkSession, _fresh([*df.columns, name], "_at")
+    by = list(by)
+    keys = [F.col(c) if isinstance(c, str) else c for c in [*by, *order]]
+    path = scratch_path(spark, "totals")
+    df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("_part", F.shiftright(F.col(at), ROW_BITS))
+    here = Window.partitionBy("_part", *by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_here", F.coalesce(F.sum(value).over(here), F.lit(0)))
+    own = [f"_by{i}" for i in range(len(by))]
+    sums = spark.read.parquet(path).groupBy(*[F.col(c).alias(k) for c, k in zip(by, own)], F.shiftright(F.col(at), ROW_BITS).alias("_range"))
+    upto = Window.partitionBy(*own).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.agg(F.sum(value).alias("_sum")).select(*own, "_range", F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_shift"))
+    on = rows["_part"] == sums["_range"]
+    for c, k in zip(by, own):
+        on = on & rows[c].eqNullSafe(sums[k])
+    return rows.join(sums, on).withColumn(name, F.col("_here") + F.col("_shift")).drop(at, "_part", "_here", *own, "_range", "_shift")
+
+
+def chunked_lists(df: DataFrame, key: list[str], value: str, size: int, count: str | None = None, chunk: str = "chunk", out: str = "values") -> DataFrame:
+    """The values of each key in order, duplicates kept, in lists of at most ``size``: ``key``, ``chunk``
+    (from 0) and ``out``. ``count`` names a column that says how often a row's value stands there.
+
+    A key with very many values is many rows, none of which grows; equal values are summed before they
+    are placed. Null values come first."""
+    n = F.col(count) if count else F.lit(1)
+    sums = df.groupBy(*key, value).agg(F.sum(n).cast("long").alias("_n"))
+    placed = running_total(sums, "_n", [F.col(value).asc_nulls_first()], by=key, name="_first")
+    end = F.col("_first") + F.col("_n")
+    chunks = F.sequence(F.floor(F.col("_first") / size), F.floor((end - 1) / size))
+    pieces = placed.withColumn(chunk, F.explode(chunks))
+    own = F.least(end, (F.col(chunk) + 1) * size) - F.greatest(F.col("_first"), F.col(chunk) * size)
+    pieces = pieces.select(*key, chunk, F.struct("_first", F.col(value).alias("v"), own.cast("int").alias("n")).alias("_piece"))
+    lists = pieces.groupBy(*key, chunk).agg(F.sort_array(F.collect_list("_piece")).alias("_pieces"))
+    return lists.select(*key, chunk, F.flatten(F.transform("_pieces", lambda p: F.array_repeat(p["v"], p["n"]))).alias(out))
+
+
 def _within(rows: DataFrame, by: list[str], at: str, part: Column, name: str, first: int) -> DataFrame:
     own = [f"_by{i}" for i in range(len(by))]
     counts = rows.groupBy(*[F.col(c).alias(k) for c, k in zip(by, own)], part.alias("_part")).agg(

@@ -136,17 +136,42 @@ def composite_stats_long(spark, sf):
 @query
 def conflicts_by_key_length(spark, sf):
     # by composite signature: no key strings are built
-    return LG.conflicts_by_key_length_fast(links_of(spark, sf))
+    sigs = LG.signatures(_stored_term_counts(spark, sf))
+    return LG.conflict_counts(LG.signature_stats(sigs))
+
+
+def _stored_term_counts(spark, sf):
+    """Distinct links with their number, written once: GLOBI and other terms are read from there."""
+    return materialize(LG.term_counts(links_of(spark, sf)), scratch_path(spark, "term-counts"))
+
+
+def _short_conflicts(spark, sf, key_len):
+    terms = _stored_term_counts(spark, sf)
+    sigs = materialize(LG.signatures(terms), scratch_path(spark, "signatures"))
+    return LG.short_members(sigs, LG.signature_stats(sigs), key_len, terms)
 
 
 @query
 def conflicts_pair(spark, sf):
-    return LG.short_conflict_members(links_of(spark, sf), 2)
+    return _short_conflicts(spark, sf, 2)
 
 
 @query
 def conflicts_single(spark, sf):
-    return LG.short_conflict_members(links_of(spark, sf), 1)
+    return _short_conflicts(spark, sf, 1)
+
+
+@query
+def conflict_lines(spark, sf):
+    """The pair export's lines; ids joined, at most 3 a line here."""
+    return LG.joined_members(_short_conflicts(spark, sf, 2), 3)
+
+
+@query
+def term_lists(spark, sf):
+    """The terms of every id, duplicates kept, at most 4 a row here."""
+    lists = LG.term_lists(links_of(spark, sf), 4)
+    return lists.select("ext", "chunk", F.array_join("terms", "|").alias("terms"), F.size("terms").cast("bigint").alias("n_terms"))
 
 
 # ---------------------------------------------------------------- entity dump
@@ -245,6 +270,18 @@ def merge_map(spark, sf):
     return MG.merge_map(A.resolver_map(spark, sf), terms_of(spark, sf))
 
 
+@query
+def merge_cache_order(spark, sf):
+    """The merged cache in the order of its export."""
+    return MG.in_order(MG.merge_cache(A.resolver_cache(spark, sf), terms_of(spark, sf)), ["id", "name"])
+
+
+@query
+def merge_map_order(spark, sf):
+    """The merged map in the order of its export."""
+    return MG.in_order(MG.merge_map(A.resolver_map(spark, sf), terms_of(spark, sf)), list(MG.MAP_COLUMNS))
+
+
 # ---------------------------------------------------------------- typed ingest
 
 
@@ -356,8 +393,7 @@ def snapshot_partition_scan(spark, sf):
     )
     base = scratch_path(spark, "events-by-source")
     SN.write_snapshot(e, base, partition_by=("source", "date"))
-    table = spark.read.parquet(base)
-    out = SN.latest_snapshot(table, "click")
+    out = SN.newest_partition(spark, base, "click")
     return out.select("event_id", "user_id", "value", "props", "source", F.col("date").cast("string").alias("date"))
 
 
@@ -591,6 +627,10 @@ COVERS: dict[str, str] = {
     "composite_conflicts": "A18 X19 X20",
     "conflicts_by_key_length": "A19",
     "conflicts_pair": "A20",
+    "conflict_lines": "A17 A20",
+    "term_lists": "A6 J5",
+    "merge_cache_order": "L3",
+    "merge_map_order": "L3",
     "conflicts_single": "A20",
     "entity_prefilter": "F9 X1 S5",
     "entity_dump_scan": "S5 F9 X1 X2",

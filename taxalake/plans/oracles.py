@@ -114,6 +114,17 @@ select key_length::bigint as key_length, count(*)::bigint as n_composites from s
     "conflicts_pair": f"""with {COMPOSITES}
 select m.composite, m.ext, s.repeats::bigint as repeats, s.key_length::bigint as key_length
 from members m join stats s on m.composite = s.composite where s.repeats > 0 and s.key_length = 2""",
+    "conflict_lines": f"""with {COMPOSITES},
+hit as (
+  select m.composite, m.ext, s.repeats, s.key_length, row_number() over (partition by m.composite order by m.ext) - 1 as i
+  from members m join stats s on m.composite = s.composite where s.repeats > 0 and s.key_length = 2)
+select composite, (i // 3)::bigint as chunk, string_agg(ext, '|' order by i) as ids, repeats::bigint as repeats,
+       key_length::bigint as key_length
+from hit group by composite, i // 3, repeats, key_length""",
+    "term_lists": f"""with {LINKS},
+placed as (select ext, term, row_number() over (partition by ext order by term) - 1 as i from wl)
+select ext, (i // 4)::bigint as chunk, string_agg(term, '|' order by i) as terms, count(*)::bigint as n_terms
+from placed group by ext, i // 4""",
     "conflicts_single": f"""with {COMPOSITES}
 select m.composite, m.ext, s.repeats::bigint as repeats, s.key_length::bigint as key_length
 from members m join stats s on m.composite = s.composite where s.repeats > 0 and s.key_length = 1""",
@@ -194,6 +205,24 @@ select 'WD:' || id, p_name, 'WD:' || first_rank, '',
        repeat(' | ', n_parents) || 'WD:' || first_rank,
        'https://www.wikidata.org/wiki/' || id, ''
 from full_terms""",
+        "merge_cache_order": f"""with {TERMS}, cache as (
+select case when c_custkey % 2 = 0 then 'NCBI:' else 'GBIF:' end || cast(c_custkey as varchar) as id,
+       c_name as name, c_mktsegment as rank, null::varchar as commonNames, c_name as path,
+       case when c_custkey % 2 = 0 then 'NCBI:' else 'GBIF:' end || cast(c_custkey as varchar) as pathIds,
+       c_mktsegment as pathNames, null::varchar as externalUrl, null::varchar as thumbnailUrl
+from customer
+union
+select 'WD:' || id, p_name, 'WD:' || first_rank, '',
+       repeat(' | ', n_parents) || p_name,
+       replace('WD:' || parent_ids, '|', ' | WD:') || ' | WD:' || id,
+       repeat(' | ', n_parents) || 'WD:' || first_rank,
+       'https://www.wikidata.org/wiki/' || id, ''
+from full_terms)
+select *, row_number() over (order by id nulls first, name nulls first, rank nulls first, commonNames nulls first, path nulls first,
+       pathIds nulls first, pathNames nulls first, externalUrl nulls first, thumbnailUrl nulls first) as position from cache""",
+        "merge_map_order": f"""with {TERMS}, {RESOLVER}, merged as (select * from resolver union select * from rewired)
+select *, row_number() over (order by providedTaxonId nulls first, providedTaxonName nulls first, resolvedTaxonId nulls first,
+       resolvedTaxonName nulls first) as position from merged""",
         "merge_rewire": f"with {TERMS}, {RESOLVER} select * from rewired",
         "merge_map": f"with {TERMS}, {RESOLVER} select * from resolver union select * from rewired",
     }

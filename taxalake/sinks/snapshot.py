@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as _dt
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +114,39 @@ def latest_snapshot(df: DataFrame, source: str) -> DataFrame:
     return df.where((F.col("source") == source) & (F.col("date") == newest.scalar()))
 
 
+def newest_partition(spark: SparkSession, base: str, source: str) -> DataFrame:
+    """Rows of the newest ``date`` folder of one ``source`` of a ``source=/date=`` table.
+
+    The dates come from one listing of the source's folder, so the plan has a single scan, of the
+    chosen folder; dates are compared as text (``YYYYMMDD`` or ISO). A source without a
+    folder gives no rows of the table's schema.
+    """
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/source={names.escapePathName(source)}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    dates = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    dates = sorted(d for d in dates if d.startswith("date="))
+    if not dates:
+        return spark.read.parquet(base).where(F.lit(False))
+    return spark.read.option("basePath", base).parquet(f"{path.toString()}/{dates[-1]}")
+
+
+@contextmanager
+def persisted(df: DataFrame, level: StorageLevel = StorageLevel.DISK_ONLY):
+    """A stage that several results reuse, kept by Spark's cache while the block runs::
+
+        with persisted(links) as links:
+            ...
+
+    It is computed once, when first used, and released at the end; partitions of a lost executor are
+    computed anew."""
+    kept = df.persist(level)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def export_delimited(
     df: DataFrame,
     path: str,
