@@ -250,13 +250,25 @@ def find(
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", item_col: str = "item_id",
           **options) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item is found."""
-    flag = common.fresh(docs, "found")
+    """The rows of ``docs``, all columns, in which no item is found.
+
+    Each block but the last makes a pass that keeps the hashes of the texts it found items in (twice 64
+    bits), before the next block is read; these texts' rows go by one anti join. The last block filters."""
     rate, least = options.get("rate", RATE), options.get("least_chars", LEAST_CHARS)
-    out = docs
+    hashes = [F.xxhash64(F.lit(k), F.col(text)) for k in (1, 2)]
+    dirty, last = None, None
     for items in _blocks(benchmark, item_col, item_text, least, options.get("block_bytes", BLOCK_BYTES)):
-        out = out.withColumn(flag, _contains(items, rate, F.col(text))).where(~F.col(flag)).drop(flag)
-    return out
+        if last is not None:
+            found = docs.where(_contains(last, rate, F.col(text))).select(*[h.alias(f"__h{k}") for k, h in enumerate(hashes)])
+            found = common.durable(found.distinct())
+            dirty = found if dirty is None else dirty.union(found)
+        last = items
+    if last is None:
+        return docs
+    out = docs
+    if dirty is not None:
+        out = out.join(dirty.distinct().hint("merge"), (hashes[0] == F.col("__h0")) & (hashes[1] == F.col("__h1")), "left_anti")
+    return out.where(~_contains(last, rate, F.col(text)))
 
 
 def _contains(items: list[tuple], rate: float, text: Column) -> Column:

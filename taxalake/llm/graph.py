@@ -17,8 +17,9 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node`` and ``component`` (its smallest node) for every node of ``edges`` (long columns a, b)."""
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """``node`` and ``component`` (its smallest node) for every node of ``edges`` (long columns a, b). About the
+    square of the logarithm of a component's size is needed of ``rounds``; an unfinished graph is an error."""
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = common.durable(ordered), None
     for _ in range(rounds):
@@ -33,5 +34,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if mark == before:
             break
         before = mark
+    else:
+        raise RuntimeError(f"components are not finished after {rounds} rounds")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(now.select("b", "b").distinct())

@@ -56,8 +56,8 @@ def fit(
 ) -> dict[str, bytes]:
     """Dictionary bytes by language, from a sample of ``train``.
 
-    The sample is bounded: about ``docs_per_lang`` texts of each language, chosen by
-    a hash of the text, at most ``chars_per_doc`` characters from the middle of each,
+    The sample is bounded: about ``docs_per_lang`` different texts of each language (all, if it
+    has fewer), chosen by a hash of the text, so that every language with a text has a dictionary, at most ``chars_per_doc`` characters from the middle of each,
     ``dict_bytes`` in all. It is the only thing that is brought to the driver.
     Languages come in the order of their numbers of texts, most first.
     """
@@ -67,7 +67,9 @@ def fit(
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, docs_per_lang / n))])
+    different = rows.select("lang", F.xxhash64("text").alias("u")).distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    shares = {r["lang"]: min(1.0, docs_per_lang / r["n"]) for r in different.collect()}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
     drawn = rows.withColumn("u", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).where(
         F.col("u") < share[F.col("lang")]
     )

@@ -68,7 +68,8 @@ def tilts(counts: DataFrame, aims: DataFrame, most: float = 2.0, tolerance: floa
     ``size`` words is tilted by tilt * size / unit. ``counts``: s, size, n.
 
     Newton iterations from 0 for every source at once; a step that leaves the interval
-    known to hold the solution is replaced by the interval's middle (or by doubling)."""
+    known to hold the solution is replaced by the interval's middle (or by doubling). Tilts that
+    ``steps`` iterations don't find are an error."""
     mean = counts.groupBy("s").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("unit"))
     open_ = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * most * (1 - 1e-9))
     state = aims.where(open_).join(mean, "s").select(
@@ -99,6 +100,8 @@ def tilts(counts: DataFrame, aims: DataFrame, most: float = 2.0, tolerance: floa
         state = now.drop("open")
         if not now.where("open").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"tilts are not found after {steps} steps")
     return aims.join(state.select("s", "unit", "tilt"), "s", "left")
 
 

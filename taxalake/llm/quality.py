@@ -173,16 +173,14 @@ def statistics_of(texts: pd.Series) -> pd.Series:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
         max_rows: int = 30000, **options) -> Trees:
-    """Trees learned from at most ``max_rows`` rows of ``labels``, chosen by a hash of the id.
+    """Trees learned from about ``max_rows`` different rows (id and label) of ``labels`` (all, if there are
+    fewer), chosen by a hash of the id.
 
     The bound is what makes it safe to broadcast the chosen ids and to bring their
     statistics (not their texts) to the driver."""
-    drawn = (
-        labels.where(F.col(label).isin(0, 1))
-        .select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y"))
-        .orderBy(F.xxhash64("id"), "id", "y")
-        .limit(max_rows)
-    )
+    given = labels.where(F.col(label).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).distinct()
+    share = min(1.0, max_rows / max(given.count(), 1))
+    drawn = given.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
     found = rows.select("id", "y", statistics_of("text").alias("x")).toPandas().sort_values(["id", "y"], kind="stable")
     x = np.array(found["x"].tolist(), dtype=np.float64).reshape(len(found), len(FEATURES))

@@ -7,7 +7,8 @@ cut between words, so memory stays bounded however long one text is.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import sys
+from types import ModuleType
 
 import numpy as np
 
@@ -39,13 +40,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, kept by the process (not by this module, which is sent by value)."""
+    kept = sys.modules.setdefault("_taxalake_powers", ModuleType("_taxalake_powers")).__dict__
+    if (found := kept.get(f"n{n}")) is not None:
+        return found
     both = []
     for p in (_P, _P_INV):
         a = np.full(n, p, dtype=np.uint64)
         a[0] = 1
         both.append(np.cumprod(a, dtype=np.uint64))
+    kept[f"n{n}"] = both[0], both[1]
     return both[0], both[1]
 
 
