@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +26,17 @@ def durable(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder, so that later
     jobs neither recompute it nor depend on an executor that may be lost. The shuffle
     files that it took are deleted at once, not when the driver collects its garbage."""
-    spark = df.sparkSession
-    checkpoint_root(spark)
+    checkpoint_root(df.sparkSession)
+    with _cleaned(df.sparkSession):
+        return df.select("*").checkpoint()  # the setting counts for DataFrames made under it
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        return df.select("*").checkpoint()  # the setting counts for DataFrames made under it
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
 
@@ -53,7 +60,9 @@ def plain_key(c: Column) -> dict[str, Column]:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet under the shared checkpoint folder, and read again."""
+    """``df`` written as Parquet under the shared checkpoint folder, and read again; its shuffle files are
+    deleted as by ``durable``. Takes less disk than that where columns compress."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _cleaned(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.parquet(path)

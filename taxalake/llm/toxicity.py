@@ -243,11 +243,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     # always a sort-merge join: the labels' size has no bound, so they are not to be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(given.hint("merge"), "id")
     part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = common.durable(rows.select("text", "y", part.alias("part"), F.rand(7).alias("u")))
+    # rows of one id in one order at every run
+    u = F.pmod(F.xxhash64("id", "y", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = common.stored(rows.select("text", "y", part.alias("part"), u.alias("u")), "labelled")
     share = min(0.2, max_curve_rows / max(rows.count(), 1))
     counted, curve_rows = rows.where(F.col("part") >= share), rows.where(F.col("part") < share)
 
-    pairs = common.durable(_count(counted))
+    pairs = common.stored(_count(counted), "pairs")
     above = lambda c, d: F.greatest(F.col(c) - d, F.lit(0))
     types = [F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"t{c}") for c in "01"]
     words = common.durable(pairs.groupBy("word").agg(F.count("*").alias("t"), F.sum(F.expr("n0 + n1")).alias("n"), *types))
