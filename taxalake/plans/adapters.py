@@ -204,6 +204,21 @@ def tile_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tile_contents(spark: SparkSession, sf_dir: str, samples: int = 3) -> DataFrame:
+    """A tile file (name, content, nation) for each supplier: big-endian 16-bit heights from its key."""
+    s = read_table(spark, sf_dir, "supplier")
+    lat = F.lpad((F.col("s_suppkey") % 60).cast("string"), 2, "0")
+    lon = F.lpad((F.expr("s_suppkey div 60") % 180).cast("string"), 3, "0")
+    name = F.concat(F.lit("N"), lat, F.lit("E"), lon, F.lit(".hgt"))
+    heights = F.transform(F.sequence(F.lit(0), F.lit(samples * samples - 1)), lambda p: (F.col("s_suppkey") * 7 + p) % 3000)
+    return s.select(name.alias("name"), F.col("s_nationkey").alias("nation"), heights.alias("heights"))
+
+
+def heights_as_bytes(heights) -> F.Column:
+    """Big-endian 16-bit numbers of an array of heights from 0 on."""
+    return F.unhex(F.array_join(F.transform(heights, lambda h: F.lpad(F.hex(h.cast("bigint")), 4, "0")), ""))
+
+
 def embedding_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8x8 grids from embeddings: base lat = vec_id%60 (sign by vec_id parity),
     base lon = vec_id%180 (sign by label parity)."""

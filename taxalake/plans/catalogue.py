@@ -26,9 +26,12 @@ from taxalake.plans import adapters as A
 from taxalake.session import read_table
 from taxalake.session import scratch_path
 from taxalake.sinks import snapshot as SN
+from taxalake.sinks.files import results, run_new, write_files
 from taxalake.sinks.snapshot import materialize
 from taxalake.sources import delimited as DL
-from taxalake.sources.text import read_lines
+from taxalake.sources.listed import read_files
+from taxalake.sources.raster import decode_units
+from taxalake.sources.text import read_lines, read_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -461,6 +464,29 @@ def _items_with_text(spark, sf):
     return SL.sideload_text(items, texts, key="p_partkey", text_key="doc_id")
 
 
+@query
+def mirror_sideload(spark, sf):
+    """Texts written as one file a key, listed and read back, and loaded onto the items."""
+    folder = scratch_path(spark, "mirror")
+    docs = read_table(spark, sf, "documents")
+    write_files(docs.select(MF.file_name(F.col("doc_id").cast("string"), F.lit("_djvu.txt")).alias("name"), "text"), folder, content="text")
+    items = read_table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("barcode"), "p_name")
+    return SL.sideload_text(items, read_texts(spark, folder, null_on_bad_utf8=True))
+
+
+@query
+def tile_reruns(spark, sf):
+    """Tiles written from suppliers and decoded; then those of nation 0 change, and only they are decoded again."""
+    folder, log = scratch_path(spark, "tiles"), scratch_path(spark, "tile-log")
+    tiles = A.tile_contents(spark, sf)
+    raised = F.transform("heights", lambda h: h + 1)
+    for rows, heights in ((tiles, F.col("heights")), (tiles.where("nation = 0"), raised)):
+        write_files(rows.select("name", A.heights_as_bytes(heights).alias("content")), folder)
+        units = read_files(spark, folder, ".hgt").select(F.col("name").alias("unit"), "content")
+        run_new(units, log, decode_units(samples=3))
+    return results(spark, log).select("tile", "x", "y", F.col("height").cast("int").alias("height"), "version")
+
+
 @query
 def sideload_text(spark, sf):
     return _items_with_text(spark, sf)
@@ -628,6 +654,8 @@ COVERS: dict[str, str] = {
     "conflicts_by_key_length": "A19",
     "conflicts_pair": "A20",
     "conflict_lines": "A17 A20",
+    "mirror_sideload": "S6 J1",
+    "tile_reruns": "S7 K8",
     "term_lists": "A6 J5",
     "merge_cache_order": "L3",
     "merge_map_order": "L3",

@@ -351,6 +351,16 @@ union all select '1M', least(count(*), 1000000)::bigint from events""",
         "edition_ordered": "select * from orders order by o_orderkey limit 100000",
         "sideload_text": """
 select p_partkey, p_name, d.text as ocrtext from part left join documents d on p_partkey = d.doc_id""",
+        "mirror_sideload": """
+select cast(p_partkey as varchar) as barcode, p_name, d.text as ocrtext from part left join documents d on p_partkey = d.doc_id""",
+        "tile_reruns": """
+with t as (
+  select 'N' || lpad((s_suppkey % 60)::varchar, 2, '0') || 'E' || lpad(((s_suppkey // 60) % 180)::varchar, 3, '0') as tile,
+         s_suppkey, s_nationkey, unnest(generate_series(0, 8)) as pos from supplier)
+select tile, (pos % 3)::int as x, (pos // 3)::int as y,
+       ((s_suppkey * 7 + pos) % 3000 + case when s_nationkey = 0 then 1 else 0 end)::int as height,
+       case when s_nationkey = 0 then 2 else 1 end::int as version
+from t""",
         "text_coverage": """
 select count(*)::bigint as n_rows, count(d.text)::bigint as n_with_text
 from part left join documents d on p_partkey = d.doc_id""",

@@ -86,6 +86,18 @@ def _decoder(samples: int, convention: str, chunk_rows: int):
     return decode
 
 
+def decode_units(samples: int = SAMPLES, convention: str = "reference", chunk_rows: int = 200_000):
+    """The work of a rerun (``sinks.files.run_new``) over tile files (unit: the file's name): their cells."""
+    fields = ["tile", "ok", "lat_sign", "base_lat", "lon_sign", "base_lon", "content"]
+
+    def work(units: DataFrame) -> DataFrame:
+        parsed = parse_tile_name(units, "unit").select(*fields)
+        cells = parsed.mapInPandas(_decoder(samples, convention, chunk_rows), CELL_SCHEMA)
+        return cells.withColumn("unit", F.concat("tile", F.lit(".hgt")))
+
+    return work
+
+
 def decode_tiles(
     spark: SparkSession,
     path: str,
