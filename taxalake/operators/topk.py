@@ -8,9 +8,9 @@ place, which on a table of many thousand partitions is most of the table.
 Here one pass makes a mergeable quantile sketch (KLL) of the key together with the row
 count; a quantile of it, with room for the sketch's error, bounds the key. In the second
 pass every task filters by the bound, and only about ``n`` rows reach the final step.
-Should the room ever not do (the sketch's error is a matter of chance), a count by the
-filter shows it (a scalar subquery of the second pass, which reads the key alone), and the rows that the
-bound left out are taken in as well. It is done so at every size.
+A count by the filter, which reads the key alone, confirms the bound (the sketch's error is a
+matter of chance); if it shouldn't hold, the table is taken as it is. The filter is on the column itself,
+so that it is pushed to the scan. It is done so at every size.
 """
 
 from __future__ import annotations
@@ -102,8 +102,11 @@ def _near(df: DataFrame, order: str, n: int, ascending: bool) -> DataFrame:
         return df.where(null)
     share = need / keyed + ROOM
     bound = _bound(df.sparkSession, kind, sketch, share if ascending else 1 - share)
-    within = key <= F.lit(bound) if ascending else key >= F.lit(bound)
-    within = F.coalesce(null | within, F.lit(True)) if ascending else F.coalesce(within, F.lit(False))
-    # if the bound should keep too few rows, the filter opens (a scalar subquery, in the plan of the second pass)
-    enough = df.where(within).agg((F.count(F.lit(1)) >= min(n, rows)).alias("ok")).scalar()
-    return df.where(within | ~enough)
+    kinds = {T.DateType: F.date_from_unix_date, T.TimestampType: F.timestamp_micros}
+    if made := kinds.get(type(df.schema[order].dataType)):  # compare the column itself: the scan can skip by it
+        key, value = F.col(order), made(F.lit(int(bound)).cast("int" if made is F.date_from_unix_date else "bigint"))
+    else:
+        value = F.lit(bound)
+    cond = (null | (key <= value)) if ascending else key >= value
+    kept = df.where(cond)
+    return kept if kept.count() >= n else df
