@@ -24,7 +24,8 @@ def mirror(tmp_path):
 def test_read_texts_and_sideload(spark, mirror):
     texts = read_texts(spark, str(mirror))
     got = {r.barcode: r.text for r in texts.collect()}
-    assert set(got) == {"bc1", "bc3"}  # the empty bc4 file is skipped by Spark's file sources
+    assert set(got) == {"bc1", "bc3", "bc4"}
+    assert got["bc4"] == ""  # an empty file is empty text
     assert got["bc1"] == "page one\npage two\n"
     assert "�" in got["bc3"]
     strict = {r.barcode: r.text for r in read_texts(spark, str(mirror), null_on_bad_utf8=True).collect()}
