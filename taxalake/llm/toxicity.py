@@ -12,21 +12,29 @@ classes share.
 Counting is done in Spark; it grows with the labels. A text counts, and is judged by,
 each of its bigrams once, however often it repeats it. Every word and bigram above the
 discounts, which are the same at every size, has its own entry; one that isn't above them
-in either class would have no probability of its own anyway. Entries are a stored table.
-The most frequent ``most`` of them go to every task; if there are more, what a text's
-bigrams don't find there is joined to the table and summed by text.
+in either class would have no probability of its own anyway. Entries are a stored table in
+the order of their hashes.
+
+An entry is what it adds to a text's sums: a word its own gain, a context its backoff
+weight, a bigram what it differs by from the two. So a text's sums are those of its entries
+in any order, and scoring runs over ranges of the table: the tasks hold one range of about
+``held`` entries at a time, and a range's sums of each text (whole numbers of 1 / UNIT) are
+stored and added up. Memory doesn't depend on the number of entries, no text or bigram is
+shuffled, and scores don't depend on the number of ranges.
 
 Results by case
     null text counts as empty; text without a word: the score of a difference of 0;
     no labels, or labels of one class only: every text gets the labels' smoothed share;
     labels that are null or other than 0 and 1, or whose document is missing: not used;
-    several labels of one document: each counts; repeated rows: each is scored.
+    several labels of one document: each counts; repeated rows: each is scored (rows of one id
+    and text meet in one group as a count, and are put out again from it).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,7 +53,9 @@ STRONG = 1.5
 GROUP = 1 << 22
 #: What stands before a text's first word.
 BEGIN = np.uint64(0x9E3779B97F4A7C15)
-PAIR, CONTEXT, WORD, TEXT = range(4)
+PAIR, CONTEXT, WORD = range(3)
+#: Gains are whole numbers of 1 / UNIT, so that sums don't depend on their order.
+UNIT = 1 << 20
 
 
 def _groups(texts: list[bytes]) -> Iterator[slice]:
@@ -53,19 +63,27 @@ def _groups(texts: list[bytes]) -> Iterator[slice]:
 
 
 @dataclass
-class Vocabulary:
-    """Sorted hashes and the gain of each."""
+class Held:
+    """A range of the entries: sorted hashes, and what each adds."""
 
     hashes: np.ndarray
-    gains: np.ndarray
+    total: np.ndarray
+    strong: np.ndarray
 
-    def find(self, h: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
-        """The gains of ``h``, and which of them stand here."""
+    def add(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each of ``h`` adds (0 if it isn't here)."""
         if not len(self.hashes):
-            return np.full(len(h), default), np.zeros(len(h), bool)
+            return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         known = self.hashes[at] == h
-        return np.where(known, self.gains[at], default), known
+        return np.where(known, self.total[at], 0).astype(np.int64), np.where(known, self.strong[at], 0).astype(np.int64)
+
+
+def _held(entries: DataFrame) -> Held:
+    rows = entries.select("key", "total", "strong").toPandas()
+    h = rows["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return Held(h[order], rows["total"].to_numpy(np.int32)[order], rows["strong"].to_numpy(np.int32)[order])
 
 
 def _key(kind: int, h: np.ndarray) -> np.ndarray:
@@ -113,82 +131,65 @@ def _count(rows: DataFrame) -> DataFrame:
 
 
 def _keyed(table: DataFrame, kind: int) -> DataFrame:
-    """kind, key, h, gain and n of a table of before, word, gain, n."""
+    """key, total and strong (in units) of a table of before, word, total and strong."""
 
     @F.pandas_udf(T.LongType())
     def key(before: pd.Series, word: pd.Series) -> pd.Series:
         b, w = (x.to_numpy(np.int64).view(np.uint64) for x in (before, word))
         return pd.Series(_signed({PAIR: lambda: mix(mix(b) + w), CONTEXT: lambda: _key(CONTEXT, b), WORD: lambda: _key(WORD, w)}[kind]()))
 
-    h = {PAIR: F.lit(0).cast("long"), CONTEXT: F.col("before"), WORD: F.col("word")}[kind]
-    return table.select(F.lit(kind).alias("kind"), key("before", "word").alias("key"), h.alias("h"), "gain", "n")
+    units = [F.round(F.col(c) * UNIT).cast("int").alias(c) for c in ("total", "strong")]
+    return table.select(key("before", "word").alias("key"), *units)
 
 
-@dataclass
-class Model:
-    """Differences of log-probability (toxic less ordinary): ``keys`` and ``pair`` of bigrams, ``vocabulary`` of words
-    by continuation (``unseen``: of all others), ``contexts`` of the backoff weights (0 of all others);
-    ``table``: key and gain of all further entries, if there are any; ``curve``: intercept and weights
-    of the logistic curve."""
-
-    vocabulary: Vocabulary
-    pairs: Vocabulary
-    contexts: Vocabulary
-    unseen: float
-    table: DataFrame | None
-    curve: np.ndarray
+def _sums_of(held: Held):
+    """A function of text: its number of distinct bigrams, and what the held entries add to its sums. (Spark
+    broadcasts a function that holds much.)"""
+
+    @F.pandas_udf("n long, total long, strong long")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            texts, out = [(t or "").encode() for t in series], [np.zeros((0, 3), np.int64)]
+            for part in _groups(texts):
+                key, before, word, offset = _pairs(texts[part])
+                total, strong = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+                for h in (key, _key(CONTEXT, before), _key(WORD, word)):
+                    add = held.add(h)
+                    total += add[0]
+                    strong += add[1]
+                sums = (np.diff(np.concatenate(([0], np.cumsum(x)))[offset]) for x in (total, strong))
+                out.append(np.stack([np.diff(offset), *sums], axis=1))
+            yield pd.DataFrame(np.concatenate(out), columns=["n", "total", "strong"])
 
-    @property
-    def keys(self) -> np.ndarray:
-        return self.pairs.hashes
+    return udf
 
-    def look_up(self):
-        """A function of texts: key, before, word and offsets as by _pairs, the gains, which bigrams, contexts and words are
-        known, and the gains of contexts and words."""
-        vocabulary, pairs, contexts, unseen = self.vocabulary, self.pairs, self.contexts, self.unseen
 
-        def of(texts: list[bytes]):
-            key, before, word, offset = _pairs(texts)
-            (own, a), (c, b), (w, d) = pairs.find(key, 0.0), contexts.find(before, 0.0), vocabulary.find(word, unseen)
-            return key, before, word, offset, np.where(a, own, c + w), (a, b, d), c, w
+@dataclass
+class Model:
+    """``entries``: key, total and strong of every entry, by key; ``passes``: the number of ranges they are held in;
+    ``unseen``: the gain of a word without an entry; ``curve``: intercept and weights of the logistic curve."""
 
-        return of
+    entries: DataFrame
+    passes: int
+    unseen: float
+    curve: np.ndarray
 
     def sums(self, rows: DataFrame) -> DataFrame:
-        """k, n, total and strong of each distinct text of ``rows`` (k, text): its bigrams, their gains, and what is above STRONG."""
-        look_up, whole = self.look_up(), self.table is None
-
-        def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in it:
-                texts, k = [(t or "").encode() for t in batch.column("text").to_pylist()], batch.column("k").to_numpy()
-                for part in _groups(texts):
-                    key, before, word, offset, gain, (a, b, d), c, w = look_up(texts[part])
-                    done, own = a | whole, k[part]
-                    text = np.repeat(own, np.diff(offset))
-                    add = [np.diff(np.concatenate(([0.0], np.cumsum(x)))[offset]) for x in (done, gain * done, np.maximum(gain - STRONG, 0) * done)]
-                    zero = np.zeros(len(own), np.int64)
-                    out = [[own, zero, zero + TEXT, _signed(mix(own.view(np.uint64))), *add]]
-                    for kind, which, h in ((PAIR, ~done, key), (CONTEXT, ~(done | b), _key(CONTEXT, before)), (WORD, ~(done | d), _key(WORD, word))):
-                        one = np.ones(which.sum())
-                        out.append([text[which], _signed(key[which]), np.full(len(one), kind), _signed(h[which]), one, c[which], w[which]])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["k", "i", "kind", "key", "n", "x", "y"])
-
-        made = rows.mapInArrow(batches, "k long, i long, kind long, key long, n double, x double, y double")
-        if whole:
-            return made.select("k", "n", F.col("x").alias("total"), F.col("y").alias("strong"))
-        found = made.join(self.table.hint("merge"), "key", "left")
-        of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-        # equal texts say the same, so a maximum takes one of them
-        each = found.groupBy("k", "i", (F.col("kind") == TEXT).alias("own")).agg(
-            F.max("n").alias("n"), F.max("x").alias("x"), F.max("y").alias("y"), of(PAIR, "gain").alias("pair"),
-            F.coalesce(of(CONTEXT, "gain"), F.max("x")).alias("context"), F.coalesce(of(WORD, "gain"), F.max("y")).alias("word"),
-        )
-        gain = F.coalesce("pair", F.col("context") + F.col("word"))
-        strong = F.greatest(gain - STRONG, F.lit(0.0))
-        return each.groupBy("k").agg(
-            F.sum("n").alias("n"), F.sum(F.when(F.col("own"), F.col("x")).otherwise(gain)).alias("total"),
-            F.sum(F.when(F.col("own"), F.col("y")).otherwise(strong)).alias("strong"),
+        """id, n, total and strong of every row of ``rows`` (id, text): its distinct bigrams, the sum of their gains
+        (toxic less ordinary), and of what of a gain is above STRONG."""
+        step, found = -(-(1 << 64) // self.passes), []
+        for i in range(self.passes):
+            first = i * step - (1 << 63)
+            held = _held(self.entries.where(F.col("key").between(first, min(first + step, 1 << 63) - 1)))
+            made = rows.select("id", F.xxhash64("text").alias("k"), F.lit(int(i == 0)).alias("rows"), _sums_of(held)("text").alias("s"))
+            found.append(common.stored(made.select("id", "k", "rows", "s.*"), "sums"))
+        # rows of one id and text add up to a multiple of their sums
+        each = reduce(DataFrame.union, found).groupBy("id", "k").agg(
+            F.sum("rows").alias("rows"), F.max("n").alias("n"), F.sum("total").alias("total"), F.sum("strong").alias("strong")
         )
+        base = {"total": self.unseen, "strong": max(self.unseen - STRONG, 0.0)}
+        sums = [(F.col(c) / F.col("rows") / UNIT + F.col("n") * base[c]).alias(c) for c in base]
+        return each.select("id", "n", *sums, F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
 
     def inputs(self) -> list[Column]:
         """What the logistic curve sees of the sums of a text: 1, the difference of the log-likelihoods per word, the
@@ -224,17 +225,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 30) ->
     return w
 
 
-def _smooth(counts: np.ndarray, whole: np.ndarray | float, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Discounted shares of ``whole`` and, by entry, what the discount takes from each."""
-    own = np.maximum(counts - discount, 0) / whole
-    return own, counts / whole - own
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic",
-        most: int = 1_000_000, word_discount: float = 4.0, pair_discount: float = 8.0,
+        held: int = 4_000_000, word_discount: float = 4.0, pair_discount: float = 8.0,
         max_curve_rows: int = 20000) -> Model:
     """A model from all labelled rows: about ``max_curve_rows`` of them (by a hash of the id, at most
-    a fifth) fit the logistic curve, and all others are counted.
+    a fifth) fit the logistic curve, and all others are counted. ``held``: how many entries the
+    tasks hold at a time, about.
 
     The discounts are the counts that a class must exceed for an expression to have a
     probability of its own there; most words are rare, and a count of one or two says
@@ -271,71 +267,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     kept = pairs.where(F.greatest("n0", "n1") > pair_discount).join(contexts.drop("n").hint("merge"), "before")
     kept = kept.join(words.select("word", "p0", "p1").hint("merge"), "word")
     logs = [F.log(above(f"n{c}", pair_discount) / F.col(f"whole{c}") + F.col(f"left{c}") * F.col(f"p{c}")) for c in "01"]
-    none = F.lit(0).cast("long")
-    entries = (
-        _keyed(kept.select("before", "word", (logs[1] - logs[0]).alias("gain"), F.expr("n0 + n1").alias("n")), PAIR)
-        .union(_keyed(contexts.select("before", none.alias("word"), (F.log("left1") - F.log("left0")).alias("gain"), "n"), CONTEXT))
-        .union(_keyed(words.where(F.greatest("t0", "t1") > word_discount).select(none.alias("before"), "word", (F.log("p1") - F.log("p0")).alias("gain"), "n"), WORD))
-    )
-    entries = common.durable(entries.withColumn("size", F.floor(F.log2("n")).cast("int")))
-    least, room, more = 0, most, False
-    for r in entries.groupBy("size").count().orderBy(F.desc("size")).collect():
-        if r["count"] > room:
-            least, more = r["size"] + 1, True
-            break
-        room -= r["count"]
-    here = entries.where(F.col("size") >= least).select("kind", "key", "h", "gain").toPandas()
-
-    def held(kind: int, c: str) -> Vocabulary:
-        own = here[here["kind"] == kind]
-        h = own[c].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(h)
-        return Vocabulary(h[order], own["gain"].to_numpy(np.float64)[order])
-
-    table = entries.where(F.col("size") < least).select("key", "gain") if more else None
     unseen = float(np.log(rest[1]) - np.log(rest[0]))
-    model = Model(held(WORD, "h"), held(PAIR, "key"), held(CONTEXT, "h"), unseen, table, np.zeros(4))
+    excess = lambda c: F.greatest(c - STRONG, F.lit(0.0))
+    none, word, context = F.lit(0).cast("long"), F.log("p1") - F.log("p0"), F.log("left1") - F.log("left0")
+    own = logs[1] - logs[0]
+    entries = (
+        _keyed(kept.select("before", "word", (own - context - word).alias("total"), (excess(own) - excess(word)).alias("strong")), PAIR)
+        .union(_keyed(contexts.select("before", none.alias("word"), context.alias("total"), F.lit(0.0).alias("strong")), CONTEXT))
+        .union(_keyed(words.where(F.greatest("t0", "t1") > word_discount).select(
+            none.alias("before"), "word", (word - unseen).alias("total"), (excess(word) - max(unseen - STRONG, 0.0)).alias("strong")), WORD))
+    )
+    entries = common.stored(entries.sort("key"), "entries")
+    model = Model(entries, max(1, -(-entries.count() // held)), unseen, np.zeros(4))
 
     number = curve_rows.count()
     # a bound only for ids whose rows repeat very often
     drawn = curve_rows.where(F.col("u") < 1.2 * max_curve_rows / max(number, 1))
 
-    drawn = common.durable(drawn.select(F.xxhash64("text").alias("k"), "text", "y", "u"))
-    found = model.sums(drawn.select("k", "text")).groupBy("k").agg(*(F.first(c).alias(c) for c in ("n", "total", "strong")))
-    sample = drawn.select("k", "y", "u").join(found, "k").select("y", "u", F.array(*model.inputs()).alias("x"))
+    drawn = common.durable(drawn.select(F.xxhash64("text").alias("id"), "text", "y", "u"))
+    found = model.sums(drawn.select("id", "text")).groupBy("id").agg(*(F.first(c).alias(c) for c in ("n", "total", "strong")))
+    sample = drawn.select("id", "y", "u").join(found, "id").select("y", "u", F.array(*model.inputs()).alias("x"))
     sample = sample.toPandas().sort_values(["u", "y"], kind="stable")
     y = sample["y"].to_numpy(float)
     model.curve = _logistic(np.array(sample["x"].tolist()).reshape(len(y), 4), y)
     return model
 
 
-def _sums_of(model: Model):
-    """A function of text: n, total and strong, of a model that has all entries at hand. (Spark broadcasts
-    a function that holds a large model.)"""
-    look_up = model.look_up()
-
-    @F.pandas_udf("n double, total double, strong double")
-    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for series in batches:
-            texts, out = [(t or "").encode() for t in series], [np.zeros((0, 3))]
-            for part in _groups(texts):
-                _, _, _, offset, gain, *_ = look_up(texts[part])
-                add = (np.diff(np.concatenate(([0.0], np.cumsum(x)))[offset]) for x in (np.ones(len(gain)), gain, np.maximum(gain - STRONG, 0)))
-                out.append(np.stack(list(add), axis=1))
-            yield pd.DataFrame(np.concatenate(out), columns=["n", "total", "strong"])
-
-    return udf
-
-
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", least: float = 0.3) -> DataFrame:
     """``id_col``, score and predicted (1 from ``least`` on) for every row of ``docs``."""
     z = sum((float(w) * x for w, x in zip(model.curve, model.inputs())), F.lit(0.0))
     score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
-    if model.table is None:
-        look = _sums_of(model)
-        rows = docs.select(F.col(id_col), look(F.col(text)).alias("sums")).select(id_col, "sums.*").select(id_col, score.alias("score"))
-    else:
-        k = F.xxhash64(F.coalesce(text, F.lit(""))).alias("k")
-        scored = model.sums(docs.select(k, F.col(text).alias("text"))).select("k", score.alias("score"))
-        rows = docs.select(F.col(id_col), k).join(scored.hint("merge"), "k").select(id_col, "score")
+    rows = model.sums(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))).select(F.col("id").alias(id_col), score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= least).cast("int"))

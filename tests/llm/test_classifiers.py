@@ -1,6 +1,7 @@
 """Quality, toxicity and language: held-out accuracy, defined results for odd rows."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -83,30 +84,67 @@ def test_trees_against_a_plain_walk():
         assert abs(scores[i] - 1 / (1 + np.exp(-odds))) < 1e-12
 
 
-def test_probabilities_of_a_class_sum_to_one(spark):
-    texts = [(i, " ".join(np.random.default_rng(i).choice(list("abcdefgh"), 30)), i % 3 == 0) for i in range(60)]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
-    given = spark.createDataFrame([(i, int(y)) for i, _, y in texts], "doc_id long, toxic int")
-    model = toxicity.fit(docs, given)
-    assert len(model.vocabulary.hashes) == 8 and len(model.keys) > 10
-    own, taken = toxicity._smooth(np.array([5.0, 1.0, 0.0]), 6.0, 2.0)
-    assert abs(own.sum() + taken.sum() - 1) < 1e-12
+def plain_gains(texts, word_discount, pair_discount):
+    """Class-conditional Kneser-Ney in plain Python: a function of text, and each class's probabilities of the known words."""
+    of = lambda t: set(zip([None, *t.split()], t.split()))
+    n = [Counter(b for t, y in texts if y == c for b in of(t)) for c in (0, 1)]
+    types, every = [Counter(w for _, w in n[c]) for c in (0, 1)], Counter(w for _, w in {*n[0], *n[1]})
+    size = [max(sum(types[c].values()), 1) for c in (0, 1)]
+    rest = [max(1 - sum(max(x - word_discount, 0) for x in types[c].values()) / size[c], toxicity.FLOOR) for c in (0, 1)]
+    shared = lambda w: (every[w] + 0.5) / (sum(every.values()) + 0.5 * (len(every) + 2))
+    p = lambda c, w: max(types[c][w] - word_discount, 0) / size[c] + rest[c] * shared(w)
+    whole, own = [Counter(), Counter()], [Counter(), Counter()]
+    for c in (0, 1):
+        for (b, _), x in n[c].items():
+            whole[c][b] += x
+            own[c][b] += max(x - pair_discount, 0)
+
+    def bigram(c, b, w):
+        all_of = max(whole[c][b], 1)
+        left = max(1 - own[c][b] / all_of, toxicity.FLOOR) if own[0][b] or own[1][b] else 1.0
+        return max(n[c][b, w] - pair_discount, 0) / all_of + left * p(c, w)
+
+    def sums(t):
+        total = strong = 0.0
+        for b, w in of(t):
+            gain = np.log(bigram(1, b, w) / bigram(0, b, w))
+            total += gain
+            strong += max((gain if max(n[0][b, w], n[1][b, w]) > pair_discount else np.log(p(1, w) / p(0, w))) - toxicity.STRONG, 0)
+        return len(of(t)), total, strong
+
+    return sums, [[p(c, w) for w in every] + 2 * [rest[c] * shared("")] for c in (0, 1)]
+
+
+@pytest.mark.parametrize("word_discount, pair_discount", [(4.0, 8.0), (0.75, 0.75), (2.0, 1.0)])
+def test_sums_against_a_plain_kneser_ney(spark, word_discount, pair_discount):
+    rng = np.random.default_rng(5)
+    texts = [(" ".join(rng.choice(list("abcdefghij") if i % 3 else list("defghijklm"), 30)), int(i % 3 == 0)) for i in range(90)]
+    plain, p = plain_gains(texts, word_discount, pair_discount)
+    assert all(abs(sum(x) - 1) < 1e-9 for x in p)  # two halves of a count are for words that were never seen
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    given = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, given, word_discount=word_discount, pair_discount=pair_discount, max_curve_rows=0)
+    asked = [*(t for t, _ in texts), "", "zz", "a zz b zz a b", texts[0][0]]
+    rows = model.sums(spark.createDataFrame(list(enumerate(asked)), "id int, text string")).collect()
+    assert len(rows) == len(asked)
+    for r in rows:
+        assert (r.n, r.total, r.strong) == pytest.approx(plain(asked[r.id]), abs=1e-3)
 
 
 def test_rare_words_count_at_every_size(spark):
     # 40,000 common words in each class, and a word in 40 toxic texts of 800 only
     rng = np.random.default_rng(2)
     texts = [(i, " ".join([*(f"{chr(97 + a)}{chr(97 + b)}" for a, b in rng.integers(0, 26, (100, 2))), *(["rarebad"] * (i % 20 == 0))])) for i in range(800)]
-    docs = spark.createDataFrame([*texts, (None, None), (900, ""), (0, texts[0][1])], "doc_id long, text string")
+    docs = spark.createDataFrame([*texts, (None, None), (900, ""), (0, texts[0][1]), (0, None)], "doc_id long, text string")
     given = labels(spark, [(i, 0, int(i % 4 == 0)) for i, _ in texts])
     seen = {}
-    for most in (1_000_000, 60, 0):
-        model = toxicity.fit(docs, given, most=most)
-        assert (model.table is None) == (most > 60) and len(model.keys) <= max(most, 0)
-        seen[most] = sorted((str(r.doc_id), round(r.score, 9)) for r in toxicity.score_toxicity(docs, model).collect())
-    assert len(seen[0]) == 803 and seen[0] == seen[60] == seen[1_000_000]
-    score = dict(seen[0])
-    assert min(score[str(i)] for i, t in texts if "rarebad" in t) > max(score[str(i)] for i, t in texts if "rarebad" not in t and i % 4)
+    for held in (1_000_000, 250, 60):  # ranges of the entries: whatever their number, the scores are the same to the last bit
+        model = toxicity.fit(docs, given, held=held)
+        assert (model.passes == 1) == (held == 1_000_000) and model.passes * held >= model.entries.count()
+        seen[held] = sorted((str(r.doc_id), r.score) for r in toxicity.score_toxicity(docs, model).collect())
+    assert len(seen[60]) == 804 and seen[60] == seen[250] == seen[1_000_000]
+    score = dict(seen[60])
+    assert min(score[str(i)] for i, t in texts[1:] if "rarebad" in t) > max(score[str(i)] for i, t in texts if "rarebad" not in t and i % 4)
 
 
 def test_all_labelled_texts_but_the_curves_are_counted(spark, monkeypatch):
