@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Date formats accepted by nullable_date, tried in order, each with the
-# shape a text must have to be tried (so a text is parsed only by formats it
-# can match) and, for texts with more than the format reads, the part or parts
-# of the text (regex groups, joined by a space) that it reads. The time part is
-# dropped by the date type.
-_MONTH_FIRST = r"(?i)^([a-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})"
-_DAY_FIRST = r"(?i)^(\d{1,2})[ -]([a-z]{3})[a-z]*\.?[ -](\d{4})"
-DEFAULT_DATE_FORMATS = (
-    ("yyyy-M-d H:m:s", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("yyyy-M-d H:m", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$"),
-    ("yyyy-M-d'T'H:m:s", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
-    ("yyyy/M/d H:m[:s]", r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{1,2}(:\d{1,2})?$"),
-    ("yyyy-M-d'T'H:m", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}$"),
-    # fractions of a second, a zone: the date as written (the rest is cut off before parsing)
-    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d{1,9})?)? ?(Z|UTC|GMT|[+-]\d{2}:?\d{2})?$", r"^(\d{4}-\d{1,2}-\d{1,2})"),
-    ("yyyyMMdd", r"^\d{8}$"),
-    # month first, as the reference's reader takes them
-    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}( \d{1,2}:\d{1,2}(:\d{1,2})?( ?[AaPp][Mm])?)?$", r"^(\d{1,2}/\d{1,2}/\d{4})"),
-    ("MMM d yyyy", r"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.? \d{1,2},? \d{4}\b.*$", _MONTH_FIRST),
-    ("d MMM yyyy", r"(?i)^\d{1,2}[ -](jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?[ -]\d{4}\b.*$", _DAY_FIRST),
+# The date grammar: tokens by role, the orders in which they make a date, and a time
+# behind it that the date type drops. A text of more than 60 characters is no date.
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_TOKEN = {
+    "Y": r"(\d{4}|3[2-9]|[4-9]\d)",  # a year that can't be a day
+    "y": r"(\d{4}|\d{2})",
+    "m": r"(0?[1-9]|1[0-2])",
+    "n": "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)",
+    "d": r"(0?[1-9]|[12]\d|3[01])(?:st|nd|rd|th)?",
+    "F": r"(\d{4})",
+}
+_GAP = r"[-/., ]+(?:of +)?"
+_COMPACT = r"(\d{4})(\d{2})(\d{2})"
+_TIME = (
+    r"(?:[ t,]+(?:[01]?\d|2[0-3]):[0-5]?\d(?::[0-5]?\d(?:[.,]\d{1,9})?)?(?: ?[ap]\.?m\.?)?|t(?:[01]\d|2[0-3])[0-5]\d(?:[0-5]\d)?)"
+    r"(?: ?(?:z|utc|gmt|[+-]\d{2}:?\d{2}))?"
 )
 
+
+def _date_grammar(day_first: bool, partial: str) -> tuple[str, str]:
+    """The pattern of a date and its replacement ``=year-month-day``. Orders are tried one after another, so
+    of two readings the first one counts, and the second where the first makes no sense."""
+    orders = ["Ymd", "Ynd", "dny", "ndy", *(("dmy", "mdy") if day_first else ("mdy", "dmy"))]
+    orders += ["F", "Fm", "Fn", "nF"] if partial == "first" else []
+    roles = "".join(orders) + "ymd"
+    tried = "|".join([*(_GAP.join(_TOKEN[c] for c in order) for order in orders), _COMPACT])
+    taken = ("".join(f"${i + 1}" for i, c in enumerate(roles) if c in of) for of in ("YyF", "mn", "d"))
+    weekday = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[., ]+)?"
+    return rf"^(?=.{{1,60}}$){weekday}(?:{tried})(?:{_TIME})?$", "=" + "-".join(taken)
+
+
 _INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 
@@ -48,20 +54,41 @@ def nullable_int(c: Column) -> tuple[Column, Column]:
     return value, ok
 
 
-def nullable_date(c: Column, formats=DEFAULT_DATE_FORMATS) -> tuple[Column, Column]:
-    """Null or blank -> null; else one of the listed formats, or the row is bad.
-    ``formats`` holds (pattern, shape regex[, part regex]) tuples or bare patterns."""
+def read_date(c: Column, day_first: bool = False, partial: str = "reject") -> Column:
+    """A text in the date grammar as a date, else null. One pass cuts it into tokens; their order follows
+    from what they are:
+
+    * a month's name is the month. If the first token has four digits or is above 31, it is the year; else the last is;
+    * numbers only: if the first is such a year, month and day follow; else the last is the year and the month comes first
+      (``day_first``: the day), but a month above 12 changes places with the day, as ``31/12/1999`` has one reading only;
+    * years have four digits, or two: 00-68 are 2000-2068, 69-99 are 1969-1999;
+    * a text without a day (``2016``, ``May 2016``) is null with ``partial='reject'``; with ``'first'`` what is missing
+      is the first (day, month). Nothing is filled in from today's date;
+    * no such day, two years, a month in words that is none, anything else around the tokens, more than 60
+      characters: null.
+    """
+    if partial not in ("reject", "first"):
+        raise ValueError(f"partial is 'reject' or 'first', not {partial!r}")
+    t = F.lower(F.trim(c))
+    cut = F.regexp_replace(t, *_date_grammar(day_first, partial))  # what the grammar doesn't match stays as it is
+    year, month, day = (F.split_part(F.substr(cut, F.lit(2)), F.lit("-"), F.lit(i)) for i in (1, 2, 3))
+    numbers = [x for i, name in enumerate(_MONTHS) for k in dict.fromkeys((name, f"{i + 1}", f"{i + 1:02}")) for x in (F.lit(k), F.lit(f"{i + 1:02}"))]
+    if partial == "first":
+        numbers, day = [*numbers, F.lit(""), F.lit("01")], F.when(day == "", "1").otherwise(day)
+    # a constant map, so that the token stands in the expression once
+    month = F.element_at(F.create_map(*numbers), F.substr(month, F.lit(1), F.lit(3)))
+    century = F.when(F.length(year) == 4, "").when(year <= "68", "20").otherwise("19")
+    return F.when(cut != t, F.concat(century, year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
+
+
+def nullable_date(c: Column, formats=None, day_first: bool = False, partial: str = "reject") -> tuple[Column, Column]:
+    """Null or blank -> null; else a date by ``read_date``, or the row is bad. With
+    ``formats`` (patterns) the text must have one of these instead."""
     t = F.trim(c)
-    tries = []
-    for f in formats:
-        pattern, shape, part = (*f, None, None)[:3] if isinstance(f, tuple) else (f, None, None)
-        read = t
-        if part:
-            groups = [F.regexp_extract(t, part, i + 1) for i in range(re.compile(part.replace("(?i)", "")).groups)]
-            read = F.concat_ws(" ", *[F.initcap(g) for g in groups])
-        parsed_f = F.try_to_timestamp(read, F.lit(pattern))
-        tries.append(F.when(t.rlike(shape), parsed_f) if shape else parsed_f)
-    parsed = F.coalesce(*tries).cast("date")
+    if formats is None:
+        parsed = read_date(c, day_first, partial)
+    else:
+        parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("date")
     value = F.when(_blank(c), F.lit(None).cast("date")).otherwise(parsed)
     ok = _blank(c) | parsed.isNotNull()
     return value, ok
@@ -80,7 +107,7 @@ class Rule:
     kind: str = "string"  # "int" | "date" | "string"
     required: bool = False
 
-    def apply(self, date_formats=DEFAULT_DATE_FORMATS) -> tuple[Column, Column]:
+    def apply(self, date_formats=None) -> tuple[Column, Column]:
         c = F.col(self.source)
         if self.kind == "int":
             value, ok = nullable_int(c)

@@ -79,6 +79,22 @@ def parse_entities(lines: DataFrame, schemes=ID_SCHEMES, mode: str = "FAILFAST",
     return select_once(lines, parsed.alias("e"), F.col(col).alias("line"))
 
 
+def split_malformed(lines: DataFrame, schemes=ID_SCHEMES, col: str = "line") -> tuple[DataFrame, DataFrame]:
+    """(lines that parse, the others with a ``reason``): with it a malformed line costs
+    itself, not the job. Reasons: ``empty`` (null or blank), ``no JSON object`` (cut off, or another kind of
+    value), ``other types`` (an object whose fields aren't of the types that are read)."""
+    schema = f"{entity_schema(schemes)}, `_corrupt` string"
+    parsed = F.from_json(F.col(col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    blank = F.coalesce(F.trim(F.col(col)) == "", F.lit(True))
+    reason = (
+        F.when(blank, "empty")
+        .when(F.json_object_keys(F.col(col)).isNull(), "no JSON object")
+        .when(parsed["_corrupt"].isNotNull(), "other types")
+    )
+    judged = select_once(lines, *[F.col(c) for c in lines.columns], reason.alias("reason"))
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+
+
 def _values(prop: str) -> Column:
     return F.transform(F.col(f"e.claims.`{prop}`"), lambda c: c["mainsnak"]["datavalue"]["value"])
 

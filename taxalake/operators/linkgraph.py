@@ -85,12 +85,13 @@ def globi_links(
     )
 
 
-def link_union(*links: DataFrame) -> DataFrame:
-    """Union all of link tables (duplicates kept)."""
+def link_union(*links: DataFrame, dedupe_links: bool = False) -> DataFrame:
+    """Union all of link tables. Duplicates are kept, as the reference does, and so can
+    stand twice in a composite key; ``dedupe_links`` keeps one of each."""
     out = links[0].select(*LINK_COLUMNS)
     for other in links[1:]:
         out = out.unionByName(other.select(*LINK_COLUMNS))
-    return out
+    return out.distinct() if dedupe_links else out
 
 
 def with_parts(links: DataFrame) -> DataFrame:

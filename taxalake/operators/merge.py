@@ -69,16 +69,20 @@ def map_from_terms(terms: DataFrame) -> DataFrame:
     )
 
 
-def merge_cache(globi_cache: DataFrame, terms: DataFrame) -> DataFrame:
+def merge_cache(globi_cache: DataFrame, terms: DataFrame, empty_as_null: bool = False) -> DataFrame:
     """Union by position of the GloBI cache and the WD cache rows, distinct.
 
     Null (from CSV) and ``""`` (from terms) stay different, as in the
-    reference. Sort with ``orderBy('id', 'name')`` only for an export.
+    reference; ``empty_as_null`` makes both null before the distinct, so that rows which
+    differ in nothing else become one. Sort with ``orderBy('id', 'name')`` only for an export.
     """
     g = globi_cache.select(*[F.col(c).cast("string") for c in globi_cache.columns[: len(CACHE_COLUMNS)]]).toDF(
         *CACHE_COLUMNS
     )
-    return g.union(cache_from_terms(terms)).distinct()
+    rows = g.union(cache_from_terms(terms))
+    if empty_as_null:
+        rows = rows.select(*[F.nullif(F.col(c), F.lit("")).alias(c) for c in CACHE_COLUMNS])
+    return rows.distinct()
 
 
 def rewire(globi_map: DataFrame, terms: DataFrame) -> DataFrame:

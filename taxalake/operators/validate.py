@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxalake.functions.casts import DEFAULT_DATE_FORMATS, Rule
+from taxalake.functions.casts import Rule
 from taxalake.functions.once import select_once
 from taxalake.operators.topk import top_n
 from taxalake.sources.delimited import CORRUPT
 
 
-def type_rows(raw: DataFrame, rules: list[Rule], keep=("rn",), date_formats=DEFAULT_DATE_FORMATS) -> DataFrame:
+def type_rows(raw: DataFrame, rules: list[Rule], keep=("rn",), date_formats=None) -> DataFrame:
     """Apply typing rules: the kept columns, the typed columns, ``_ok`` and
     ``_bad`` (names of the columns that failed, in rule order, joined by ``,``;
     ``_corrupt`` first for a short or long row of a quoted table).

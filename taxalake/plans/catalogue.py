@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxalake.functions import geometry as GEO
-from taxalake.functions.casts import ITEM_COLUMNS, ITEM_RULES, SUBJECT_RULES
+from taxalake.functions.casts import ITEM_COLUMNS, ITEM_RULES, SUBJECT_RULES, read_date
 from taxalake.operators import catalog as CT
 from taxalake.operators import entities as EN
 from taxalake.operators import linkgraph as LG
@@ -59,6 +59,12 @@ def link_union(spark, sf):
     return links_of(spark, sf)
 
 
+@query
+def link_union_distinct(spark, sf):
+    """Every link once."""
+    return LG.link_union(links_of(spark, sf), dedupe_links=True)
+
+
 @query
 def split_source_ids(spark, sf):
     """The taxonomy as a ``\t|\t``-separated file with a header, read back as
@@ -207,6 +213,27 @@ def entity_dump_scan(spark, sf):
     return t.select("id", F.array_join("sameAsIds", "|").alias("same_as_ids"), F.size("names").cast("bigint").alias("n_names"))
 
 
+def broken_lines(spark, sf):
+    """The dump's taxon lines (``entity``, ``line``), those of every 13th entity cut off, of every 17th of another type."""
+    lines = EN.prefilter_lines(A.entity_dump_lines(spark, sf))
+    k = F.regexp_extract("line", r'"id":"Q([0-9]+)"', 1).cast("bigint")
+    line = F.when(k % 13 == 0, F.expr("substring(line, 1, length(line) div 2)")).when(k % 17 == 0, '{"id":"Q1","claims":"none"}')
+    return lines.select(k.alias("entity"), F.coalesce(line, "line").alias("line"))
+
+
+@query
+def malformed_entities(spark, sf):
+    """Lines of the dump that don't parse, with the reason."""
+    return EN.split_malformed(broken_lines(spark, sf))[1].select("entity", "reason")
+
+
+@query
+def entities_without_malformed(spark, sf):
+    """The terms of the lines that parse."""
+    good = EN.split_malformed(broken_lines(spark, sf))[0]
+    return EN.parse_entities(good).select(F.col("e.id").alias("id"))
+
+
 @query
 def entity_terms(spark, sf):
     t = terms_of(spark, sf)
@@ -263,6 +290,12 @@ def merge_cache(spark, sf):
     return MG.merge_cache(A.resolver_cache(spark, sf), terms_of(spark, sf))
 
 
+@query
+def merge_cache_nulls(spark, sf):
+    """The merged cache with empty texts as nulls."""
+    return MG.merge_cache(A.resolver_cache(spark, sf), terms_of(spark, sf), empty_as_null=True)
+
+
 @query
 def merge_rewire(spark, sf):
     return MG.rewire(A.resolver_map(spark, sf), terms_of(spark, sf))
@@ -292,6 +325,20 @@ def typed_items(spark, sf):
     return V.type_rows(A.raw_items(spark, sf), ITEM_RULES)
 
 
+@query
+def free_dates(spark, sf):
+    """Order dates written in twelve ways, read back by the date grammar, with and without filling what is missing."""
+    ways = (
+        "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "M/d/yyyy h:mm a", "d/M/yyyy", "MMM d, yyyy", "d MMMM yyyy", "EEE, dd MMM yyyy HH:mm:ss 'GMT'",
+        "yyyyMMdd", "yyyy.M.d", "dd-MMM-yyyy", "M/d/yy", "MMMM yyyy", "'around' yyyy",
+    )
+    text = F.element_at(F.array(*[F.date_format("o_orderdate", w) for w in ways]), (F.col("o_orderkey") % 12 + 1).cast("int"))
+    rows = read_table(spark, sf, "orders").select("o_orderkey", text.alias("written"))
+    return rows.select(
+        "o_orderkey", read_date(F.col("written")).alias("date"), read_date(F.col("written"), day_first=True, partial="first").alias("filled")
+    )
+
+
 @query
 def typed_ingest(spark, sf):
     good, _ = V.split_valid(typed_items(spark, sf))
@@ -639,6 +686,11 @@ def grid_cells(spark, sf):
 # exports); L10 (caching) has no result of its own.
 FIXTURE_ONLY = "K3 S6 S7 L3 L10"
 COVERS: dict[str, str] = {
+    "link_union_distinct": "E4 L5 L6",
+    "malformed_entities": "X2 S5",
+    "entities_without_malformed": "X2 S5",
+    "merge_cache_nulls": "F10 L6 X14",
+    "free_dates": "V2",
     "link_union": "E2 E4 L5 X13 F11 E3 X15 S9",
     "split_source_ids": "E3 X15 S3",
     "links_by_source_scheme": "A5 F12 X16",

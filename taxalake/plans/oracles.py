@@ -6,6 +6,8 @@ independently of the Spark code, so a match checks both.
 
 from __future__ import annotations
 
+from taxalake.operators.merge import CACHE_COLUMNS
+
 EXT = (
     "concat(case ({k}) % 5 when 0 then 'NCBI' when 1 then 'GBIF' when 2 then 'WORMS' "
     "when 3 then 'IF' else 'ITIS' end, ':', cast({k} as varchar))"
@@ -475,3 +477,29 @@ select grid_id, (pos % 8)::int as x, (pos // 8)::int as y,
 from c""",
     }
 )
+
+
+ORACLES.update(
+    {
+        "link_union_distinct": f"with {LINKS} select distinct ext, term from links",
+        "merge_cache_nulls": f"""select distinct {', '.join(f"nullif({c}, '') as {c}" for c in CACHE_COLUMNS)}
+from ({ORACLES["merge_cache"]})""",
+        "malformed_entities": """
+select p_partkey as entity, case when p_partkey % 13 = 0 then 'no JSON object' else 'other types' end as reason
+from part where (p_partkey % 5 <> 0 or p_partkey % 11 = 0) and (p_partkey % 13 = 0 or p_partkey % 17 = 0)""",
+        "entities_without_malformed": """
+select 'Q' || cast(p_partkey as varchar) as id
+from part where (p_partkey % 5 <> 0 or p_partkey % 11 = 0) and p_partkey % 13 <> 0 and p_partkey % 17 <> 0""",
+        # ways 1, 2 and 9 with a day up to 12 have two readings; each column takes one
+        "free_dates": """
+with o as (
+  select o_orderkey, cast(o_orderdate as date) as d, o_orderkey % 12 as way from orders
+), both_ways as (
+  select *, case when day(d) <= 12 then make_date(year(d), day(d), month(d)) else d end as swapped from o
+)
+select o_orderkey,
+  case when way = 2 then swapped when way >= 10 then null else d end as date,
+  case when way in (1, 9) then swapped when way = 10 then cast(date_trunc('month', d) as date) when way = 11 then null else d end as filled
+from both_ways""",
+    }
+)

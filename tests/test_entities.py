@@ -105,3 +105,13 @@ def test_cache_rows_paths(dump):
     r = rows["WD:Q140"]
     assert r.path == " | Panthera leo" and r.pathIds == "WD:Q127960 | WD:Q140"
     assert r.pathNames == " | WD:Q7432" and r.externalUrl.endswith("/Q140") and r.commonNames == ""
+
+
+def test_malformed_lines_cost_themselves(spark):
+    from taxalake.operators import entities as EN
+
+    lines = [(1, '{"id":"Q1","claims":{}}'), (2, '{"id":"Q2","cla'), (3, ""), (4, None), (5, "[1]"), (6, '{"id":"Q6","claims":"none"}'), (7, '{"id":"Q7"}')]
+    good, bad = EN.split_malformed(spark.createDataFrame(lines, "entity long, line string"))
+    assert sorted(r.entity for r in good.collect()) == [1, 7]
+    assert {r.entity: r.reason for r in bad.collect()} == {2: "no JSON object", 3: "empty", 4: "empty", 5: "no JSON object", 6: "other types"}
+    assert sorted(r.id for r in EN.parse_entities(good).select("e.id").collect()) == ["Q1", "Q7"]

@@ -151,3 +151,40 @@ def test_short_and_long_rows_are_rejected_with_a_reason(spark, tmp_path):
     assert [(r.itemid, r.titleid) for r in good.collect()] == [(1, 2)]
     reasons = sorted(r.reason for r in V.bad_rows(t).collect())
     assert reasons == ["_corrupt", "_corrupt", "_corrupt,itemid"]
+
+
+DATES = [  # text, month first, day first, day first and the missing filled with the first
+    ("5/3/2016", "2016-05-03", "2016-03-05", "2016-03-05"), ("31/12/1999", "1999-12-31", "1999-12-31", "1999-12-31"),
+    ("12/31/1999", "1999-12-31", "1999-12-31", "1999-12-31"), ("2016-05-03", "2016-05-03", "2016-05-03", "2016-05-03"),
+    ("2016-13-05", None, None, None), ("Tue, 03 May 2016 10:11:12 GMT", "2016-05-03", "2016-05-03", "2016-05-03"),
+    ("3rd of May, 2016", "2016-05-03", "2016-05-03", "2016-05-03"), ("Sept. 21st 2016", "2016-09-21", "2016-09-21", "2016-09-21"),
+    ("2016 May 3", "2016-05-03", "2016-05-03", "2016-05-03"), ("5/3/68", "2068-05-03", "2068-03-05", "2068-03-05"),
+    ("5/3/69", "1969-05-03", "1969-03-05", "1969-03-05"), ("99.1.2", "1999-01-02", "1999-01-02", "1999-01-02"),
+    ("20160503T101112Z", "2016-05-03", "2016-05-03", "2016-05-03"), ("20161305", None, None, None),
+    ("2016", None, None, "2016-01-01"), ("2016-05", None, None, "2016-05-01"), ("May 2016", None, None, "2016-05-01"), ("2016 may", None, None, "2016-05-01"),
+    ("1/2/3", None, None, None), ("2016-05-2017", None, None, None), ("123/5/3", None, None, None), ("2016-05-03 25:00", None, None, None),
+    ("May 3 2016 or so", None, None, None), ("around 2016", None, None, None), ("Mayday 3 2016", None, None, None), ("=2016 5 3", None, None, None),
+    ("2016-02-29", "2016-02-29", "2016-02-29", "2016-02-29"), ("2015-02-29", None, None, None), ("0/1/2016", None, None, None), ("5", None, None, None),
+    ("", None, None, None), ("  ", None, None, None), (None, None, None, None), ("9" * 100_000, None, None, None), ("1/" * 50_000, None, None, None),
+]
+
+
+def test_date_grammar(spark):
+    from taxalake.functions.casts import read_date
+
+    t = F.col("t")
+    rows = spark.createDataFrame([(i, d[0]) for i, d in enumerate(DATES)], "i int, t string").select(
+        "i", read_date(t), read_date(t, day_first=True), read_date(t, day_first=True, partial="first")
+    )
+    got = {r[0]: tuple(str(x) if x else None for x in r[1:]) for r in rows.collect()}
+    assert [(str(d[0])[:30], *got[i]) for i, d in enumerate(DATES)] == [(str(d[0])[:30], *d[1:]) for d in DATES]
+    with pytest.raises(ValueError):
+        read_date(t, partial="today")
+
+
+def test_patterns_instead_of_the_grammar(spark):
+    from taxalake.functions.casts import nullable_date
+
+    value, ok = nullable_date(F.col("t"), formats=("yyyy-M-d",))
+    rows = spark.createDataFrame([("2016-5-3",), ("May 3 2016",), (" ",)], "t string").select(value, ok).collect()
+    assert [(str(r[0]), r[1]) for r in rows] == [("2016-05-03", True), ("None", False), ("None", True)]
