@@ -54,7 +54,12 @@ def nullable_int(c: Column) -> tuple[Column, Column]:
     return value, ok
 
 
-def read_date(c: Column, day_first: bool = False, partial: str = "reject") -> Column:
+def cut_date(c: Column, day_first: bool = False, partial: str = "reject") -> Column:
+    """A text in the date grammar as ``=year-month-day``, another (in lower case) as it is."""
+    return F.regexp_replace(F.lower(F.trim(c)), *_date_grammar(day_first, partial))
+
+
+def read_date(c: Column, day_first: bool = False, partial: str = "reject", cut: Column | None = None) -> Column:
     """A text in the date grammar as a date, else null. One pass cuts it into tokens; their order follows
     from what they are:
 
@@ -66,11 +71,13 @@ def read_date(c: Column, day_first: bool = False, partial: str = "reject") -> Co
       is the first (day, month). Nothing is filled in from today's date;
     * no such day, two years, a month in words that is none, anything else around the tokens, more than 60
       characters: null.
+
+    ``cut``: a column that holds ``cut_date`` already, so that the pattern runs once per row.
     """
     if partial not in ("reject", "first"):
         raise ValueError(f"partial is 'reject' or 'first', not {partial!r}")
     t = F.lower(F.trim(c))
-    cut = F.regexp_replace(t, *_date_grammar(day_first, partial))  # what the grammar doesn't match stays as it is
+    cut = cut_date(c, day_first, partial) if cut is None else cut
     year, month, day = (F.split_part(F.substr(cut, F.lit(2)), F.lit("-"), F.lit(i)) for i in (1, 2, 3))
     numbers = [x for i, name in enumerate(_MONTHS) for k in dict.fromkeys((name, f"{i + 1}", f"{i + 1:02}")) for x in (F.lit(k), F.lit(f"{i + 1:02}"))]
     if partial == "first":
@@ -81,12 +88,12 @@ def read_date(c: Column, day_first: bool = False, partial: str = "reject") -> Co
     return F.when(cut != t, F.concat(century, year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
 
 
-def nullable_date(c: Column, formats=None, day_first: bool = False, partial: str = "reject") -> tuple[Column, Column]:
+def nullable_date(c: Column, formats=None, day_first: bool = False, partial: str = "reject", cut: Column | None = None) -> tuple[Column, Column]:
     """Null or blank -> null; else a date by ``read_date``, or the row is bad. With
     ``formats`` (patterns) the text must have one of these instead."""
     t = F.trim(c)
     if formats is None:
-        parsed = read_date(c, day_first, partial)
+        parsed = read_date(c, day_first, partial, cut)
     else:
         parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("date")
     value = F.when(_blank(c), F.lit(None).cast("date")).otherwise(parsed)
@@ -107,12 +114,12 @@ class Rule:
     kind: str = "string"  # "int" | "date" | "string"
     required: bool = False
 
-    def apply(self, date_formats=None) -> tuple[Column, Column]:
+    def apply(self, date_formats=None, cut: Column | None = None) -> tuple[Column, Column]:
         c = F.col(self.source)
         if self.kind == "int":
             value, ok = nullable_int(c)
         elif self.kind == "date":
-            value, ok = nullable_date(c, date_formats)
+            value, ok = nullable_date(c, date_formats, cut=cut)
         else:
             value, ok = as_string(c)
         if self.required:
