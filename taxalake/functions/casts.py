@@ -88,12 +88,13 @@ def read_date(c: Column, day_first: bool = False, partial: str = "reject", cut:
     return F.when(cut != t, F.concat(century, year, F.lit("-"), month, F.lit("-"), day).try_cast("date"))
 
 
-def nullable_date(c: Column, formats=None, day_first: bool = False, partial: str = "reject", cut: Column | None = None) -> tuple[Column, Column]:
+def nullable_date(c: Column, formats=None, day_first: bool = False, partial: str = "reject", read: Column | None = None) -> tuple[Column, Column]:
     """Null or blank -> null; else a date by ``read_date``, or the row is bad. With
-    ``formats`` (patterns) the text must have one of these instead."""
+    ``formats`` (patterns) the text must have one of these instead. ``read``: a column that
+    holds ``read_date`` already."""
     t = F.trim(c)
     if formats is None:
-        parsed = read_date(c, day_first, partial, cut)
+        parsed = read_date(c, day_first, partial) if read is None else read
     else:
         parsed = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats]).cast("date")
     value = F.when(_blank(c), F.lit(None).cast("date")).otherwise(parsed)
@@ -114,12 +115,12 @@ class Rule:
     kind: str = "string"  # "int" | "date" | "string"
     required: bool = False
 
-    def apply(self, date_formats=None, cut: Column | None = None) -> tuple[Column, Column]:
+    def apply(self, date_formats=None, read: Column | None = None) -> tuple[Column, Column]:
         c = F.col(self.source)
         if self.kind == "int":
             value, ok = nullable_int(c)
         elif self.kind == "date":
-            value, ok = nullable_date(c, date_formats, cut=cut)
+            value, ok = nullable_date(c, date_formats, read=read)
         else:
             value, ok = as_string(c)
         if self.required:

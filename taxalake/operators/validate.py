@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxalake.functions.casts import Rule, cut_date
+from taxalake.functions.casts import Rule, cut_date, read_date
 from taxalake.functions.once import select_once
 from taxalake.operators.topk import top_n
 from taxalake.sources.delimited import CORRUPT
@@ -20,11 +20,12 @@ def type_rows(raw: DataFrame, rules: list[Rule], keep=("rn",), date_formats=None
     step stays in generated code; each rule is evaluated once per row even
     when a filter on ``_ok`` follows.
     """
-    cuts = {r.name: f"_cut_{r.name}" for r in rules if r.kind == "date" and date_formats is None}
-    if cuts:  # the date pattern runs once per text
-        cut = [cut_date(F.col(r.source)).alias(cuts[r.name]) for r in rules if r.name in cuts]
-        raw = select_once(raw, *[F.col(f"`{c}`") for c in raw.columns], *cut)
-    applied = [(r, *r.apply(date_formats, F.col(cuts[r.name]) if r.name in cuts else None)) for r in rules]
+    dates = {r.name: r.source for r in rules if r.kind == "date" and date_formats is None}
+    if dates:  # each text is cut once and read once
+        own = [F.col(f"`{c}`") for c in raw.columns]
+        raw = select_once(raw, *own, *[cut_date(F.col(c)).alias(f"_cut_{n}") for n, c in dates.items()])
+        raw = select_once(raw, *own, *[read_date(F.col(c), cut=F.col(f"_cut_{n}")).alias(f"_read_{n}") for n, c in dates.items()])
+    applied = [(r, *r.apply(date_formats, F.col(f"_read_{r.name}") if r.name in dates else None)) for r in rules]
     ok = F.lit(True)
     for _, _, o in applied:
         ok = ok & o
