@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the lines of templates that recur across documents, from all but the first of them."""
-    found = templates.dedup(docs).select(*docs.columns)
+    """Drops the lines of templates that recur across documents, and passages that two share, from all but the first of them."""
+    found = templates.dedup(docs, long_docs=2).select(*docs.columns)
     return found.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else found
 
 
