@@ -66,3 +66,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     with _cleaned(df.sparkSession):
         df.select("*").write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: A key with more than such a part of the rows is joined apart.
+HOT = 1000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, weight: str, most: int = HOT) -> DataFrame:
+    """Inner join of ``rows`` with ``side``, a written table of one row for each ``key`` and, in ``weight``, the number
+    of ``rows`` that have it. Keys with more than a ``most``-th of all joined rows, so fewer than ``most`` keys, are sent
+    to every task; their rows are dealt by their whole content from then on, all others by the key."""
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * most > F.lit(total).cast("decimal(38,0)")
+    given = [c for c in side.columns if c not in (key, weight)]
+    at, by, other = (fresh(rows, c) for c in ("_hot", "_salt", "_other"))
+    near = side.where(hot).select(key, F.struct(*given).alias(at))
+    far = side.where(~hot).select(key, F.lit(0).cast("long").alias(by), F.struct(*given).alias(other))
+    marked = rows.join(F.broadcast(near), key, "left")
+    marked = marked.withColumn(by, F.when(F.col(at).isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns)))
+    joined = marked.join(far, [key, by], "left").withColumn(at, F.coalesce(at, other)).where(F.col(at).isNotNull())
+    return joined.select(*rows.columns, *(F.col(f"{at}.{c}").alias(c) for c in given))

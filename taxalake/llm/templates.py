@@ -303,11 +303,12 @@ def recurring(docs: DataFrame, min_docs: int, min_tokens: int, similar: float, p
     has = has.join(roots, "line", "left").select("k", "z", "line", F.coalesce("root", "line").alias("root"))
 
     def repeated(lines: DataFrame, least: int) -> DataFrame:
-        spread = lines.select("root", "k", "z").distinct().groupBy("root").agg(
-            F.count("*").alias("n"), F.min(F.struct("z", "k")).alias("first")
+        spread = lines.groupBy("root", "k", "z").agg(F.count("*").alias("n")).groupBy("root").agg(
+            F.count("*").alias("n_docs"), F.sum("n").alias("n"), F.min(F.struct("z", "k")).alias("first")
         )
-        often = spread.where(F.col("n") >= least).select("root", "first")
-        return lines.join(often, "root").where(F.struct("z", "k") != F.col("first")).select("k", "z", "line")
+        often = common.durable(spread.where(F.col("n_docs") >= least).select("root", "n", "first"))
+        found = common.spread_join(lines, often, "root", "n")
+        return found.where(F.struct("z", "k") != F.col("first")).select("k", "z", "line")
 
     lost = repeated(has, min_docs)
     if long_docs:
