@@ -23,8 +23,7 @@ from taxalake.operators import merge as MG
 from taxalake.operators import sideload as SL
 from taxalake.operators import validate as V
 from taxalake.plans import adapters as A
-from taxalake.session import read_table
-from taxalake.session import scratch_path
+from taxalake.session import read_table, scratch_path, spread
 from taxalake.sinks import snapshot as SN
 from taxalake.sinks.files import results, run_new, write_files
 from taxalake.sinks.snapshot import materialize
@@ -206,7 +205,7 @@ def entity_prefilter(spark, sf):
 
 @query
 def entity_dump_scan(spark, sf):
-    """The dump as bz2 text files (many splits), read back as lines and parsed."""
+    """The dump as bz2 text files (one for each task of the spread lines), read back as lines and parsed."""
     path = scratch_path(spark, "entity-dump")
     A.entity_dump_lines(spark, sf).write.option("compression", "bzip2").text(path)
     t = EN.terms_from_lines(read_lines(spark, path))
@@ -402,7 +401,7 @@ def delimited_roundtrip(spark, sf):
     """Customer written as bz2 header TSV (many files), read back typed."""
     c = read_table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     path = scratch_path(spark, "customer-tsv")
-    c.write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "bzip2").csv(path)
+    spread(c, 200_000).write.mode("overwrite").option("sep", "\t").option("header", True).option("compression", "bzip2").csv(path)
     schema = "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string"
     return DL.read_delimited(spark, path, sep="\t", header=True, schema=schema)
 

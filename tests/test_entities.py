@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from taxalake.operators import entities as EN
 from taxalake.operators import merge as MG
+from taxalake.plans import adapters as A
 from taxalake.sources.text import read_lines
 
 
@@ -115,3 +117,18 @@ def test_malformed_lines_cost_themselves(spark):
     assert sorted(r.entity for r in good.collect()) == [1, 7]
     assert {r.entity: r.reason for r in bad.collect()} == {2: "no JSON object", 3: "empty", 4: "empty", 5: "no JSON object", 6: "other types"}
     assert sorted(r.id for r in EN.parse_entities(good).select("e.id").collect()) == ["Q1", "Q7"]
+
+
+def test_lines_of_a_small_file_are_spread_over_tasks(spark, tmp_path):
+    n = 5000
+    part = spark.range(1, n + 1).selectExpr(
+        "nullif(id, 7) AS p_partkey", "concat('name ', id) AS p_name", "'type' AS p_type", "cast(id % 50 AS int) AS p_size"
+    )
+    part = part.unionByName(part.where("p_partkey = 3"))  # a key twice; a null key (no id: the first one in the line is the taxon class)
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    lines = A.entity_dump_lines(spark, str(tmp_path))
+    tasks = min(spark.sparkContext.defaultParallelism, n // 1000)
+    sizes = [r["count"] for r in lines.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n + 1 and len(sizes) == tasks and max(sizes) < 2 * n / tasks
+    by_id = {r.entity: r["count"] for r in lines.select(F.regexp_extract("value", '"id":"(Q[0-9]+)"', 1).alias("entity")).groupBy("entity").count().collect()}
+    assert by_id == {**{f"Q{i}": 1 for i in range(1, n + 1) if i != 7}, "Q3": 2, "Q16521": 1}
