@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from taxalake.sources import quoted
 from taxalake.sources.delimited import CORRUPT, read_quoted_table, string_schema
 from taxalake.sources.quoted import read_records
 
@@ -83,3 +84,30 @@ def test_long_lines_with_many_quotes(spark, tmp_path):
     (tmp_path / "a.txt").write_text(f"A\tB\tC\n{field}\t{field}\t" + "\t".join(["x"] * 20_000) + "\n1\t2\t3\n")
     got = read_quoted_table(spark, str(tmp_path), COLUMNS)
     assert sorted(r["n"] for r in got.select(F.length("A").alias("n")).collect()) == [1, 150_000]
+
+
+@pytest.mark.parametrize("bits", [0, 2])
+def test_chunks_of_few_lines_give_the_same_records(spark, tmp_path, monkeypatch, bits):
+    rng = random.Random(bits)
+    dump(tmp_path / "a.txt", rng, "\n", rows=120, tail='"open\tto the\nend')
+    dump(tmp_path / "b.txt", rng, "\r\n", rows=120)
+    body = "\n".join(f"line {i}" for i in range(60))
+    (tmp_path / "c.txt").write_text(f'A\tB\tC\n1\t"{body}"\t3\n4\t5\t6\n')
+    before = read_quoted_table(spark, str(tmp_path), COLUMNS).collect()
+    monkeypatch.setattr(quoted, "CHUNK_BITS", bits)
+    monkeypatch.setattr(quoted, "TASK_BYTES", 500)
+    got = read_quoted_table(spark, str(tmp_path), COLUMNS)
+    assert sorted(map(str, got.collect())) == sorted(map(str, before))
+    assert sorted(map(str, got.drop("_file", "_row").collect())) == sorted(map(str, whole_files(spark, str(tmp_path)).collect()))
+
+
+@pytest.mark.parametrize("field", ["x y", '"two\nlines"'])
+def test_a_large_split_is_dealt_over_tasks(spark, tmp_path, monkeypatch, field):
+    monkeypatch.setattr(quoted, "CHUNK_BITS", 8, raising=False)
+    monkeypatch.setattr(quoted, "TASK_BYTES", 32_000, raising=False)
+    n = 20_000
+    (tmp_path / "d.txt").write_text("A\tB\tC\n" + "".join(f"{i}\t{field}\tz\n" for i in range(n)))
+    records = read_records(spark, str(tmp_path))
+    sizes = [r["count"] for r in records.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n + 1 and max(sizes) < n / 3
+    assert records.agg(F.count_distinct("_row")).first()[0] == n + 1
