@@ -19,7 +19,8 @@ An entry is what it adds to a text's sums: a word its own gain, a context its ba
 weight, a bigram what it differs by from the two. So a text's sums are those of its entries
 in any order, and scoring runs over ranges of the table: the tasks hold one range of about
 ``held`` entries at a time, and a range's sums of each text (whole numbers of 1 / UNIT) are
-stored and added up. Memory doesn't depend on the number of entries, no text or bigram is
+stored and added up. A range reaches the driver in Arrow pieces, 16 bytes an entry, and goes to
+the tasks as one broadcast. Memory doesn't depend on the number of entries, no text or bigram is
 shuffled, and scores don't depend on the number of ranges.
 
 Results by case
@@ -56,6 +57,8 @@ BEGIN = np.uint64(0x9E3779B97F4A7C15)
 PAIR, CONTEXT, WORD = range(3)
 #: Gains are whole numbers of 1 / UNIT, so that sums don't depend on their order.
 UNIT = 1 << 20
+#: About so many entries come to the driver at a time.
+PIECE = 1 << 20
 
 
 def _groups(texts: list[bytes]) -> Iterator[slice]:
@@ -64,7 +67,7 @@ def _groups(texts: list[bytes]) -> Iterator[slice]:
 
 @dataclass
 class Held:
-    """A range of the entries: sorted hashes, and what each adds."""
+    """A range of the entries: sorted hashes (signed), and what each adds."""
 
     hashes: np.ndarray
     total: np.ndarray
@@ -74,16 +77,28 @@ class Held:
         """What each of ``h`` adds (0 if it isn't here)."""
         if not len(self.hashes):
             return np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+        h = _signed(h)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         known = self.hashes[at] == h
         return np.where(known, self.total[at], 0).astype(np.int64), np.where(known, self.strong[at], 0).astype(np.int64)
 
 
-def _held(entries: DataFrame) -> Held:
-    rows = entries.select("key", "total", "strong").toPandas()
-    h = rows["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return Held(h[order], rows["total"].to_numpy(np.int32)[order], rows["strong"].to_numpy(np.int32)[order])
+def _ranges(n: int, first: int = -(1 << 63), end: int = 1 << 63) -> list[tuple[int, int]]:
+    """The first key and the end of each of ``n`` equal ranges of the keys from ``first`` to before ``end``."""
+    step = -(-(end - first) // n)
+    return [(k, min(k + step, end)) for k in range(first, end, step)]
+
+
+def _held(entries: DataFrame, first: int, end: int, pieces: int) -> Held:
+    """The entries from key ``first`` to before ``end``. They come in pieces and as Arrow whatever the session's
+    settings are: as Python objects they take over 30 times their 16 bytes, and the driver's JVM holds them as rows too."""
+    got: list[list[np.ndarray]] = [[], [], []]
+    for low, high in _ranges(pieces, first, end):
+        rows = entries.where(F.col("key").between(low, high - 1)).select("key", "total", "strong").toArrow()
+        order = np.argsort(rows["key"].to_numpy())
+        for column, to in zip(rows.columns, got):
+            to.append(column.to_numpy()[order])
+    return Held(*map(np.concatenate, got))
 
 
 def _key(kind: int, h: np.ndarray) -> np.ndarray:
@@ -167,20 +182,21 @@ def _sums_of(held: Held):
 @dataclass
 class Model:
     """``entries``: key, total and strong of every entry, by key; ``passes``: the number of ranges they are held in;
-    ``unseen``: the gain of a word without an entry; ``curve``: intercept and weights of the logistic curve."""
+    ``unseen``: the gain of a word without an entry; ``curve``: intercept and weights of the logistic curve;
+    ``pieces``: the number of parts in which a range comes to the driver."""
 
     entries: DataFrame
     passes: int
     unseen: float
     curve: np.ndarray
+    pieces: int = 1
 
     def sums(self, rows: DataFrame) -> DataFrame:
         """id, n, total and strong of every row of ``rows`` (id, text): its distinct bigrams, the sum of their gains
         (toxic less ordinary), and of what of a gain is above STRONG."""
-        step, found = -(-(1 << 64) // self.passes), []
-        for i in range(self.passes):
-            first = i * step - (1 << 63)
-            held = _held(self.entries.where(F.col("key").between(first, min(first + step, 1 << 63) - 1)))
+        found = []
+        for i, (first, end) in enumerate(_ranges(self.passes)):
+            held = _held(self.entries, first, end, self.pieces)
             made = rows.select("id", F.xxhash64("text").alias("k"), F.lit(int(i == 0)).alias("rows"), _sums_of(held)("text").alias("s"))
             found.append(common.stored(made.select("id", "k", "rows", "s.*"), "sums"))
         # rows of one id and text add up to a multiple of their sums
@@ -278,7 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             none.alias("before"), "word", (word - unseen).alias("total"), (excess(word) - max(unseen - STRONG, 0.0)).alias("strong")), WORD))
     )
     entries = common.stored(entries.sort("key"), "entries")
-    model = Model(entries, max(1, -(-entries.count() // held)), unseen, np.zeros(4))
+    size = max(entries.count(), 1)
+    passes = -(-size // held)
+    model = Model(entries, passes, unseen, np.zeros(4), -(-size // (passes * PIECE)))
 
     number = curve_rows.count()
     # a bound only for ids whose rows repeat very often

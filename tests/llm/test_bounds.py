@@ -4,7 +4,9 @@ import os
 import pickle
 import subprocess
 import sys
+import tracemalloc
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark import cloudpickle
@@ -87,3 +89,29 @@ def test_worker_functions_need_no_package(tmp_path):
     out = subprocess.run([sys.executable, "-c", code, str(tmp_path / "f.pkl")], capture_output=True, text=True, cwd=tmp_path, env=env)
     assert out.stdout.strip() == "fine", out.stderr
     assert pickle.loads(cloudpickle.dumps(words.mix)) is not None
+
+
+def test_entries_reach_the_driver_as_arrow_in_pieces(spark):
+    n, arrow = 200_000, "spark.sql.execution.arrow.pyspark.enabled"
+    texts = ["alpha beta gamma", "beta beta", "", None, "delta"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    key, before, word, _ = toxicity._pairs([(t or "").encode() for t in texts])
+    known = np.unique(np.concatenate([key, toxicity._key(toxicity.CONTEXT, before), toxicity._key(toxicity.WORD, word)]).view(np.int64))
+    found = spark.createDataFrame([(int(k), i + 1, -i) for i, k in enumerate(known)], "key long, total int, strong int")
+    entries = spark.range(n).select(F.xxhash64("id").alias("key"), F.lit(7).alias("total"), F.lit(9).alias("strong")).union(found).repartition(8).localCheckpoint()
+    given, seen = spark.conf.get(arrow), {}
+    spark.conf.set(arrow, "false")  # the default: the session's setting must not matter
+    try:
+        for passes in (1, 3):
+            model = toxicity.Model(entries, passes, 0.0, np.zeros(4))
+            model.pieces = 1 if passes == 1 else 4
+            tracemalloc.start()
+            sums = model.sums(rows)
+            assert tracemalloc.get_traced_memory()[1] < 120 * n
+            tracemalloc.stop()
+            seen[passes] = sorted(map(str, sums.collect()))
+    finally:
+        tracemalloc.stop()
+        spark.conf.set(arrow, given)
+    assert seen[1] == seen[3] and len(seen[1]) == len(texts)
+    assert {r.id: r.total * toxicity.UNIT for r in sums.collect()}[4] == sum(int(np.searchsorted(known, h.view(np.int64)[-1])) + 1 for h in (key, toxicity._key(toxicity.CONTEXT, before), toxicity._key(toxicity.WORD, word)))
