@@ -39,6 +39,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,8 +53,11 @@ SHARD_DOCS = 1 << 20
 PART_KEYS = 1 << 10
 #: Bits of a level per key that reaches it, and levels before the rest is listed.
 GAMMA, LEVELS = 2.0, 24
-#: Words that a worker remembers the ids of, before it starts anew.
+#: Words that a worker remembers the ids of.
 MEMORY = 1 << 19
+#: Bytes of texts that are encoded together, and words of them whose ids are put in order together, or one longer text.
+TEXT_BYTES = 1 << 23
+WORDS_AT_ONCE = 1 << 16
 MAGIC = b"TIDS"
 TAIL = "<4sIQQ"
 
@@ -64,16 +68,28 @@ TAIL = "<4sIQQ"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class _Kept(dict):
-    """Values made when they are first asked for."""
+class _Kept:
+    """Values of keys, made many at a time. Of more than ``limit`` those asked for longest ago are dropped."""
 
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
+    def __init__(self, limit: int) -> None:
+        self.limit, self.new, self.old = limit, {}, {}
 
-    def __missing__(self, key):
-        self[key] = value = self.make(key)
-        return value
+    def all(self, keys: list[str], make, step: int = 1 << 12) -> list:
+        """The values of keys that are all different; ``make`` gives those of a list."""
+        if 2 * len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+        found = list(map(self.new.get, keys))
+        if None in found:
+            lost = [i for i, x in enumerate(found) if x is None]
+            for i in lost:
+                found[i] = self.old.get(keys[i])
+            missing = [i for i in lost if found[i] is None]
+            for a in range(0, len(missing), step):
+                some = missing[a : a + step]
+                for i, x in zip(some, make([keys[i] for i in some])):
+                    found[i] = x
+            self.new.update((keys[i], found[i]) for i in lost)
+        return found
 
 
 def _byte_letters() -> dict[int, str]:
@@ -85,69 +101,95 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Texts to bytes of ids. Where a tokenizer's words don't depend on their neighbours, the ids
-    of words met before are remembered, and plain words go straight to the tokenizer's model."""
+    """Texts to bytes of ids. Where a tokenizer's words don't depend on their neighbours, a word is looked up
+    once for many texts, those met before are remembered, and the plain pieces of the others go straight to
+    the tokenizer's model, many at a time."""
 
     def __init__(self, path: str, end: int | None, memory: int = MEMORY) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab_size(with_added_tokens=True), (end or 0) + 1)
         self.width = 2 if size <= 1 << 16 else 4
-        self.code, self.memory = "H" if self.width == 2 else "I", memory
+        self.type = f"<u{self.width}"
         self.end = b"" if end is None else end.to_bytes(self.width, "little")
         with open(path) as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         lower = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers") or []]
+        model, letters = spec.get("model") or {}, _byte_letters()
+        vocab, suffix = self.tokenizer.get_vocab(with_added_tokens=False), model.get("end_of_word_suffix") or ""
         self.apart = (
             (steps[0].get("pattern") or {}).get("Regex") == WORDS and lower == ["NFC", "Replace", "Lowercase"]
             and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and not spec.get("post_processor")
+            # the last id of a piece, and no other, stands for letters with the suffix
+            and bool(suffix) and not model.get("ignore_merges") and all(x in vocab and x + suffix in vocab for x in letters.values())
         )
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.words, self.pieces = _Kept(self._word), _Kept(self._piece)
-        # white space as the tokenizer knows it; str.split also cuts at four control characters
-        self.space = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-        self.odd = re.compile("[\x1c-\x1f]")
-        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-        self.mixed = re.compile("[A-Za-z\x80-\U0010ffff]+|[0-9]|[^A-Za-z0-9\x80-\U0010ffff]+")
+        self.last = np.zeros(size, dtype=bool)
+        self.last[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = CharDelimiterSplit(" ")
+        self.letters = {**letters, 32: " "}
+        self.words, self.pieces = _Kept(memory), _Kept(memory)
+        # white space that the tokenizer knows and Arrow's ASCII words don't end at
+        self.space = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+        # a word's pieces; words are a space apart, and a line end only separates
+        self.cut = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\x80-\U0010ffff]+|[0-9]| |[^A-Za-z0-9\x80-\U0010ffff \n]+")
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return np.array(ids, dtype=self.type).tobytes()
 
     def plain(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _word(self, word: str) -> bytes:
-        if "<|" in word:
-            return self.plain(word)
-        if word.isascii():
-            return b"".join(map(self.pieces.__getitem__, self.ascii.findall(word.lower())))
-        if "'" in word:
-            return self.plain(word)
-        pieces = self.mixed.findall(word)
-        for x in pieces:
-            if not x.isascii() and (not unicodedata.normalize("NFC", x).lower().isalpha() or not x.isalpha() or "Σ" in x):
-                return self.plain(word)
-        return b"".join(self.pieces[x.lower() if x.isascii() else x] for x in pieces)
-
-    def _piece(self, piece: str) -> bytes:
-        """A piece that the pre-tokenizer leaves whole."""
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).lower()
-        piece = piece.encode().decode("latin-1").translate(self.letters)
-        return self._bytes([x.id for x in self.model.tokenize(piece)])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _pieces(self, pieces: list[str]) -> list[bytes | None]:
+        """The ids of pieces that the pre-tokenizer leaves whole, None for those that it may not."""
+        whole = [
+            x.lower() if x.isascii()
+            else y if x.isalpha() and "Σ" not in x and (y := unicodedata.normalize("NFC", x).lower()).isalpha()
+            else None
+            for x in pieces
+        ]
+        line = " ".join([x for x in whole if x is not None]).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([line], add_special_tokens=False)[0].ids, dtype=self.type)
+        data, ends = ids.tobytes(), ((np.flatnonzero(self.last[ids]) + 1) * self.width).tolist()
+        made = (data[a:b] for a, b in zip([0, *ends], ends))
+        return [None if x is None else next(made) for x in whole]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        plain = [self.space.sub("\n", x) if not x.isascii() else x for x in words]
+        plain = [x.lower() if x.isascii() else x for x in plain]
+        # none of the others' pieces
+        odd = ["<|" in x or "'" in x and not x.isascii() for x in plain]
+        cut = self.cut.findall(" ".join(["" if o else x for x, o in zip(plain, odd)]))
+        pieces = list({x: None for x in cut if x != " "})
+        ids = dict(zip(pieces, self.pieces.all(pieces, self._pieces)))
+        out, own = [], []
+        for x in [*cut, " "]:
+            if x != " ":
+                own.append(ids[x])
+                continue
+            out.append(self.plain(words[len(out)]) if odd[len(out)] or None in own else b"".join(own))
+            own = []
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         if not self.apart:
+            texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
             return [self._bytes(x.ids) + self.end for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.words) > self.memory:
-            self.words.clear()
-            self.pieces.clear()
-        ids, out = self.words.__getitem__, []
-        for x in texts:
-            words = [w for w in self.space.split(x) if w] if self.odd.search(x) else x.split()
-            out.append(b"".join(map(ids, words)) + self.end)
+        cut = pc.ascii_split_whitespace(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        words = cut.flatten().dictionary_encode()
+        known = self.words.all(words.dictionary.to_numpy(zero_copy_only=False).tolist(), self._words)
+        ids, code, at = np.frombuffer(b"".join(known), dtype=self.type), words.indices.to_numpy(), cut.offsets.to_numpy()
+        n = np.fromiter(map(len, known), np.int64, len(known)) // self.width
+        first, out = np.cumsum(n) - n, []
+        for a, b in _cuts(at[1:], WORDS_AT_ONCE):
+            some = code[at[a] : at[b]]
+            ends = np.concatenate([[0], np.cumsum(n[some])])
+            data = ids[np.repeat(first[some] - ends[:-1], n[some]) + np.arange(ends[-1])]
+            ends = ends[at[a : b + 1] - at[a]].tolist()
+            out.extend(data[x:y].tobytes() + self.end for x, y in zip(ends, ends[1:]))
         return out
 
 
@@ -160,6 +202,18 @@ def encoder_of(path: str, end: int | None) -> Encoder:
     return kept[key]
 
 
+def _cuts(totals: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive rows of about ``size`` together, by their running totals."""
+    cuts = np.flatnonzero(np.diff(totals // size, prepend=-1)).tolist()
+    return zip(cuts, [*cuts[1:], len(totals)])
+
+
+def _portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive texts of about ``TEXT_BYTES`` together."""
+    totals = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    return (texts.slice(a, b - a) for a, b in _cuts(totals, TEXT_BYTES))
+
+
 # ---------------------------------------------------------------- files
 
 
@@ -217,9 +271,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
                 continue
             encoder = encoder or encoder_of(tokenizer, end)
             out: list[tuple] = []
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
-                for ids in encoder.encode(some.column("text").to_pylist()):
+            for some in _portions(batch.column("text")):
+                for ids in encoder.encode(some):
                     if shard is None:
                         shard = Shard(folder, encoder.width)
                     out.append((seq, shard.name, len(shard.starts) - 1, len(ids) // encoder.width))

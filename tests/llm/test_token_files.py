@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -30,6 +31,54 @@ def test_special_tokens_and_forgetting():
     assert small.encode(texts) == small.encode(texts)
 
 
+class Calls:
+    """A tokenizer that counts how often it is asked."""
+
+    def __init__(self, inner):
+        self.inner, self.n = inner, 0
+
+    def encode_batch_fast(self, *args, **options):
+        self.n += 1
+        return self.inner.encode_batch_fast(*args, **options)
+
+
+def test_new_words_reach_the_model_together():
+    encoder = T.Encoder(PATH, 1)
+    encoder.model = calls = Calls(encoder.model)
+    texts = [f"Éword{chr(97 + i % 26)}{'xyz'[i % 3] * (i % 40)}, it's nr.{i}\xa0end " * 3 for i in range(2000)]
+    # a slice of an array, whose words end at ASCII white space only until they are looked up
+    column = pa.array(["before", *texts, "after"]).slice(1, 2000)
+    assert encoder.apart and encoder.encode(column) == [encoder.plain(x) + encoder.end for x in texts]
+    assert calls.n == 1
+    encoder.encode(column)
+    assert calls.n == 1  # all remembered
+
+
+def test_words_asked_for_lately_are_kept():
+    kept, made = T._Kept(6), []
+
+    def make(keys):
+        made.extend(keys)
+        return [k.encode() for k in keys]
+
+    for i in range(9):
+        assert kept.all(["often", f"once{i}", f"other{i}"], make, step=2) == [b"often", b"once%d" % i, b"other%d" % i]
+        assert len(kept.new) + len(kept.old) <= 2 * 6
+    assert made.count("often") == 1 and kept.all(["once0"], make) == [b"once0"] and made.count("once0") == 2
+
+
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=30))
+def test_portions_are_all_texts_in_order(sizes):
+    texts, old = pa.array(["x" * n for n in sizes]), T.TEXT_BYTES
+    T.TEXT_BYTES = 16
+    try:
+        got = list(T._portions(texts))
+    finally:
+        T.TEXT_BYTES = old
+    assert [x for p in got for x in p.to_pylist()] == texts.to_pylist()
+    assert all(len(p) and sum(map(len, p.to_pylist()[1:])) < 16 for p in got)
+
+
 def expected(rows):
     out, at = [], 0
     key = {t: None for _, t in rows}
